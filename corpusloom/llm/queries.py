@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.chat_format import op10_chat_formatting
+from corpusloom.llm.decontamination import op7_benchmark_decontamination
+from corpusloom.llm.language_id import op5_language_id
+from corpusloom.llm.simhash import op8_simhash_near_dedup
 from corpusloom.llm.token_counts import op2_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op5_language_id": op5_language_id,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
