@@ -9,15 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.chat_format import op10_chat_formatting
 from corpusloom.llm.decontamination import op7_benchmark_decontamination
 from corpusloom.llm.language_id import op5_language_id
+from corpusloom.llm.quality import op1_quality_classifier
+from corpusloom.llm.sentencepiece_codec import op3_sentencepiece
 from corpusloom.llm.simhash import op8_simhash_near_dedup
 from corpusloom.llm.token_counts import op2_token_counts
+from corpusloom.llm.url_filters import OP4_SQL, op4_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_token_counts": op2_token_counts,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_url_filters": op4_url_filters,
     "op5_language_id": op5_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL}
