@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.chat_format import op10_chat_formatting
 from corpusloom.llm.decontamination import op7_benchmark_decontamination
 from corpusloom.llm.language_id import op5_language_id
+from corpusloom.llm.line_dedup import OP6_SQL, op6_line_dedup
 from corpusloom.llm.nearest import op9_nearest_neighbours
 from corpusloom.llm.quality import op1_quality_classifier
 from corpusloom.llm.sentencepiece_codec import op3_sentencepiece
@@ -22,10 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_url_filters": op4_url_filters,
     "op5_language_id": op5_language_id,
+    "op6_line_dedup": op6_line_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op6_line_dedup": OP6_SQL}
