@@ -40,7 +40,7 @@ TEMPLATE = """{%- for m in messages -%}
 {%- endif -%}
 {{ '<|im_end|>' + '\\n' }}
 {%- endfor -%}"""
-GUARD = "​"
+GUARD = "\u200b"
 
 
 class TemplateError(ValueError):

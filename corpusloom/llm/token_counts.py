@@ -33,7 +33,7 @@ MEMO = 1_000_000
 #: Lengths in bytes of the beginnings whose state is kept, longest first.
 SHARED = (12, 9, 6, 4)
 
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _OTHER = rf"[^{_SPACE}\p{{L}}\p{{N}}]"
 #: Stretches whose prefix counts don't depend on what stands before them.
 _UNIT = regex.compile(
