@@ -64,8 +64,8 @@ def _signature() -> Column:
 
 def _letters_agree(a: Column, b: Column, edits: int) -> Column:
     def apart(k: int) -> Column:
-        d = (F.shiftright(a, 8 * k) - F.shiftright(b, 8 * k)).bitwiseAND(255)
-        return F.least(d, 256 - d)
+        d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255))
+        return F.least(d, 256 - d)  # the counts are modulo 256
 
     return reduce(lambda x, y: x + y, map(apart, range(len(LETTERS)))) <= 2 * edits
 
