@@ -34,7 +34,7 @@ UNITS = (
 
 
 def tagged(text: Column) -> Column:
-    """Tokens of a text; a value is a token that starts with the sign of its kind."""
+    """Tokens of a text, one space apart; a value is a token that starts with the sign of its kind."""
     joined = F.regexp_replace(text, r"(?<=\d)[.,:/](?=\d)", "_")
     numbers = F.regexp_replace(joined, r"(?<![\p{L}\p{N}_])(\d[\d_]*)(?![\p{L}\p{N}_])", f" {NUMBER}$1 ")
     units = F.regexp_replace(numbers, rf"({NUMBER}[\d_]+) +(?i:({'|'.join(sorted(UNITS.split(), key=len, reverse=True))}))(?![\p{{L}}\p{{N}}_])", f"$1 {UNIT}$2")
@@ -42,8 +42,7 @@ def tagged(text: Column) -> Column:
     with_numbers = F.when(text.rlike(r"\d"), units).otherwise(text)
     signs = F.when(text.rlike(f"[{NUMBER}-{UNIT}]"), plain).otherwise(with_numbers)
     names = F.regexp_replace(signs, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}\p{L}*)", f"{NAME}$1")
-    words = F.trim(F.lower(F.regexp_replace(names, rf"[^\p{{L}}\p{{M}}\p{{N}}_{NUMBER}-{UNIT}]+", " ")))
-    return F.when(F.length(words) == 0, F.array().cast("array<string>")).otherwise(F.split(words, " "))
+    return F.trim(F.lower(F.regexp_replace(names, rf"[^\p{{L}}\p{{M}}\p{{N}}_{NUMBER}-{UNIT}]+", " ")))
 
 
 def _is_value(token: Column) -> Column:
@@ -51,11 +50,14 @@ def _is_value(token: Column) -> Column:
 
 
 def tokens(df: DataFrame, key: str) -> DataFrame:
-    """key, raw (tokens with values) and kind (tokens with placeholders) of each non-empty text."""
-    raw = df.where(F.length("text") > 0).select(key, tagged(F.col("text")).alias("raw"))
+    """key, raw (tokens with values), kind (tokens with placeholders) and whether there are values, of each text.
+
+    Each step is a projection of its own, as what a later step reads more than once is then computed once.
+    """
+    words = df.select(key, tagged(F.coalesce("text", F.lit(""))).alias("words"))
+    split = words.select(key, F.filter(F.split("words", " "), lambda t: t != "").alias("raw"), F.col("words").rlike(f"[{NUMBER}-{UNIT}]").alias("has_values"))
     kinds = F.transform("raw", lambda t: F.when(_is_value(t), F.left(t, F.lit(1))).otherwise(t))
-    has = F.exists("raw", _is_value)
-    return raw.select(key, "raw", has.alias("has_values")).select(key, "raw", "has_values", F.when(F.col("has_values"), kinds).otherwise(F.col("raw")).alias("kind")).where(F.size("raw") > 0)
+    return split.select(key, "raw", "has_values", F.when(F.col("has_values"), kinds).otherwise(F.col("raw")).alias("kind"))
 
 
 def windows() -> Column:
@@ -66,7 +68,7 @@ def windows() -> Column:
     values = lambda i: sum((F.when(F.length(F.get("kind", i + k)) == 1, _is_value(F.get("kind", i + k)).cast("int")).otherwise(0) for k in range(1, WORDS)), F.when(_is_value(F.get("kind", i)), 1).otherwise(0))
     mixed = F.transform(at, lambda i: F.when(values(i) > WORDS - PLAIN, of("raw", i)).otherwise(of("kind", i)))
     same = F.transform(at, lambda i: of("raw", i))
-    return F.when(n < WORDS, F.array(F.xxhash64(F.array_join("raw", " ")))).when(F.col("has_values"), mixed).otherwise(same)
+    return F.when(n == 0, F.array().cast("array<long>")).when(n < WORDS, F.array(F.xxhash64(F.array_join("raw", " ")))).when(F.col("has_values"), mixed).otherwise(same)
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
