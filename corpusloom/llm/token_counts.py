@@ -34,15 +34,33 @@ MEMO = 1_000_000
 SHARED = (12, 9, 6, 4)
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_OTHER = rf"[^{_SPACE}\p{{L}}\p{{N}}]"
-#: Stretches whose prefix counts don't depend on what stands before them.
-_UNIT = regex.compile(
-    rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?{_OTHER}+|[{_SPACE}](?=[^{_SPACE}])"
-    rf"|[{_SPACE}]{{2,}}(?:'\p{{L}}+|\p{{L}}+|\p{{N}}+|{_OTHER}+)?|[{_SPACE}]"
-)
-_RUN = regex.compile(rf"[{_SPACE}]{{2,}}")
 _CONTRACTION = regex.compile(r"'(?:s|t|re|ve|m|ll|d)$")
-_TAIL = regex.compile(rf"[{_SPACE}]*{_OTHER}*$")
+
+
+class _Patterns:
+    """Patterns of the pre-tokeniser; ``moved`` has signs whose class (L, N or O) the library sees otherwise."""
+
+    def __init__(self, moved: dict[str, str]):
+        of = lambda kinds: "".join(map(regex.escape, (c for c, k in moved.items() if k in kinds)))
+        letter, number = r"\p{L}", r"\p{N}"
+        if moved:
+            letter, number = (rf"[[{x}{of(k)}]--[{of('LNO'.replace(k, ''))}\x00]]" for x, k in ((letter, "L"), (number, "N")))
+        other = rf"[^{_SPACE}{letter}{number}]" if not moved else rf"[[^{_SPACE}\p{{L}}\p{{N}}{of('LN')}]{of('O')}]"
+        compiled = lambda p: regex.compile(p, regex.V1 if moved else regex.V0)
+        #: Stretches whose prefix counts don't depend on what stands before them.
+        self.unit = compiled(
+            rf"'(?:s|t|re|ve|m|ll|d)| ?{letter}+| ?{number}+| ?{other}+|[{_SPACE}](?=[^{_SPACE}])"
+            rf"|[{_SPACE}]{{2,}}(?:'{letter}+|{letter}+|{number}+|{other}+)?|[{_SPACE}]"
+        )
+        self.tail = compiled(rf"[{_SPACE}]*{other}*$")
+        self.kinds = {k: compiled(p) for k, p in (("L", letter), ("N", number), ("O", other))}
+
+
+_RUN = regex.compile(rf"[{_SPACE}]{{2,}}")
+
+
+class _Restart(Exception):
+    """A sign turned out to be of another class; the text is cut anew."""
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -89,8 +107,31 @@ class PrefixCounter(dict):
         self.apart: dict[tuple[bytes, bytes], bool] = {}
         #: The dynamic program's state after common beginnings of pre-tokens.
         self.heads: dict[bytes, tuple[tuple[bytes, ...], tuple[int, ...]]] = {}
+        self.known: set[str] = set(map(chr, range(128)))
+        self.moved: dict[str, str] = {}
+        self.patterns = _Patterns(self.moved)
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
 
+    def check_classes(self, text: str) -> None:
+        """Unicode versions differ: each sign's class is asked of the library once, when it is first met."""
+        fresh = set(text) - self.known
+        if not fresh:
+            return
+        from tokenizers import pre_tokenizers
+
+        pieces = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+        moved = {}
+        for c in fresh:
+            kind = next((k for k, x in (("L", "a"), ("N", "1"), ("O", "!")) if len(pieces(x + c)) == 1), None)
+            if kind and not self.patterns.kinds[kind].match(c):
+                moved[c] = kind
+        self.known |= fresh
+        if moved:
+            self.moved |= moved
+            self.patterns = _Patterns(self.moved)
+            self.clear()
+            raise _Restart
+
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE of a short byte string: the best-ranked pair first, the leftmost of equals."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -161,12 +202,14 @@ class PrefixCounter(dict):
 
     def plain(self, text: str) -> list[int]:
         out, base = [], 0
-        for u in _UNIT.findall(text):
+        for u in self.patterns.unit.findall(text):
             out += (base + k for k in self.unit(u))
             base = out[-1]
         return out
 
     def __missing__(self, unit: str) -> bytes:
+        if not unit.isascii():
+            self.check_classes(unit)
         n = self.unit(unit)
         found = bytes([b - a & 255 for a, b in zip([0, *n], n)])
         if len(unit) <= 64:
@@ -177,20 +220,25 @@ class PrefixCounter(dict):
 
     def table(self, text: str | None) -> bytes:
         """One signed byte for each code point: the change of the exact token count of the prefix."""
-        if not text:
-            return b""
+        while True:
+            try:
+                return self._table(text or "")
+            except _Restart:
+                continue
+
+    def _table(self, text: str) -> bytes:
         if self.special is None or not (found := list(self.special.finditer(text))):
-            return b"".join(map(self.__getitem__, _UNIT.findall(text)))
+            return b"".join(map(self.__getitem__, self.patterns.unit.findall(text)))
         out, at = [], 0
         for m in found:
             part = text[at : m.start()]
-            out += map(self.__getitem__, _UNIT.findall(part))
-            tail = _TAIL.search(part).group()
+            out += map(self.__getitem__, self.patterns.unit.findall(part))
+            tail = self.patterns.tail.search(part).group()
             counts = self.plain(tail + m.group()[:-1])[len(tail) :]
             base = self.plain(tail)[-1] if tail else 0
             out.append(np.diff(np.array([base, *counts, base + 1]) - base).astype(np.int8).tobytes())
             at = m.end()
-        out += map(self.__getitem__, _UNIT.findall(text[at:]))
+        out += map(self.__getitem__, self.patterns.unit.findall(text[at:]))
         return b"".join(out)
 
 
