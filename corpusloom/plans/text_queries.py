@@ -132,7 +132,7 @@ def headings_masked(t: Tables) -> DataFrame:
 def index_exclusion(t: Tables) -> DataFrame:
     from corpusloom.operators.filters import index_exclusion as why
 
-    lines = t.documents.where("lang = 'en'").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), F.trim)).alias("i", "b"))
+    lines = t.documents.where("lang = 'en'").select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("i", "b"))
     return lines.select((F.col("doc_id") * 10000 + F.col("i") + 1).alias("item"), why(F.col("b")).alias("why")).where("why is not null")
 
 
