@@ -52,14 +52,17 @@ def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
     return reduce(lambda a, b: a + b, (size(j) for j in range(i)), F.lit(1)), size(i)
 
 
-def _count(letters: str) -> Column:
-    return sum((F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit(""))) for c in letters[1:]), F.octet_length("line") - F.octet_length(F.replace("line", F.lit(letters[0]), F.lit(""))))
+def measured(lines: DataFrame) -> DataFrame:
+    """``lines`` with chars, and sig: the counts of LETTERS, each modulo 256, in one long."""
+    count = lambda c: F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit("")))
+    one = lambda k, c: F.shiftleft(count(c).cast("long").bitwiseAND(255), 8 * k)
+    sig = reduce(lambda x, y: x.bitwiseOR(y), (one(k, c) for k, c in enumerate(LETTERS)))
+    return lines.withColumns({"chars": F.length("line"), "sig": sig})
 
 
-def _signature() -> Column:
-    """Counts of LETTERS, each modulo 256, in one long."""
-    one = lambda k, c: F.shiftleft(_count(c).cast("long").bitwiseAND(255), 8 * k)
-    return reduce(lambda a, b: a.bitwiseOR(b), (one(k, c) for k, c in enumerate(LETTERS)))
+def _letters_in(sig: Column, start: int) -> Column:
+    """Sum of every second count from ``start``, modulo 256."""
+    return reduce(lambda x, y: x + y, (F.shiftright(sig, 8 * k).bitwiseAND(255) for k in range(start, len(LETTERS), 2)))
 
 
 def _letters_agree(a: Column, b: Column, edits: int) -> Column:
@@ -100,8 +103,8 @@ def distance(x: Column, y: Column, edits: int) -> Column:
 
 
 def edit_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = HOT) -> DataFrame:
-    """Pairs (h, line, other_h, other) of distinct lines within ``edits`` edits. lines: h and line, lines distinct."""
-    parts, n = edits + 1, F.length("line")
+    """Pairs (h, line, other_h, other) of lines within ``edits`` edits. lines: as ``measured`` gives them, distinct."""
+    parts, n = edits + 1, F.col("chars")
     key = lambda size, i, start, length: F.xxhash64(size, F.lit(i), F.substring("line", start, length))
     own, probes = [], []
     for i in range(parts):
@@ -112,38 +115,45 @@ def edit_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = HOT) -> Data
         for i in range(parts):
             start, length = _segment(size, i, parts)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                probes.append((less, key(size, i, start + shift, length)))
-    common = ["h", _signature().alias("sig"), _count(LETTERS[::2]).alias("c1"), _count(LETTERS[1::2]).alias("c2")]
-    index = lines.select(*common, F.explode(F.array(*own)).alias("key"))
-    asked = lines.select(*common, F.explode(F.array(*(F.struct(F.lit(less).cast("byte").alias("less"), k.alias("key")) for less, k in probes))).alias("p")).select("h", "sig", "c1", "c2", "p.less", "p.key")
+                if less or shift:  # an unmoved segment of an equally long line is an indexed one
+                    probes.append((less, key(size, i, start + shift, length)))
+    index = lines.select("h", "sig", F.explode(F.array(*own)).alias("key"))
+    asked = lines.select("h", "sig", F.explode(F.array(*(F.struct(F.lit(less).cast("byte").alias("less"), k.alias("key")) for less, k in probes))).alias("p")).select("h", "sig", "p.less", "p.key")
     crowded, _ = materialise(index.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded-segments")
     n_crowded = crowded.count()
 
     def spread(df: DataFrame, near: int) -> DataFrame:
         """Rows of crowded segments under two letter counts (and all counts within ``near`` of them)."""
         if not n_crowded:
-            return df.drop("c1", "c2")
+            return df
         mark = crowded.select("key", F.lit(True).alias("crowded"))
         around = F.sequence(F.lit(-near), F.lit(near))
-        finer = F.flatten(F.transform(around, lambda a: F.transform(around, lambda b: F.xxhash64("key", F.col("c1") + a, F.col("c2") + b))))
+        at = lambda start, d: (_letters_in(F.col("sig"), start) + d).bitwiseAND(255)
+        finer = F.flatten(F.transform(around, lambda a: F.transform(around, lambda b: F.xxhash64("key", at(0, a), at(1, b)))))
         marked = df.join(F.broadcast(mark) if n_crowded <= BROADCAST_ROWS else mark, "key", "left")
-        return marked.withColumn("key", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("key")))).drop("crowded", "c1", "c2")
-
-    x, y = spread(index, 0).alias("x"), spread(asked, edits).alias("y")
-    meets = (F.col("x.key") == F.col("y.key")) & ((F.col("y.less") > 0) | (F.col("x.h") < F.col("y.h"))) & _letters_agree(F.col("x.sig"), F.col("y.sig"), edits)
-    pairs, _ = materialise(x.join(y, meets).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct(), "line-candidates")
+        return marked.withColumn("key", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("key")))).drop("crowded")
+
+    agree = _letters_agree(F.col("x.sig"), F.col("y.sig"), edits) & (F.col("x.key") == F.col("y.key"))
+    narrow, wide = spread(index, 0).alias("x"), spread(index, edits).alias("y")
+    unmoved = narrow.join(wide, agree & (F.col("x.h") < F.col("y.h")))
+    moved = narrow.join(spread(asked, edits).alias("y"), agree & ((F.col("y.less") > 0) | (F.col("x.h") != F.col("y.h"))))
+    ends = [F.col("x.h").alias("a"), F.col("y.h").alias("b")]
+    pairs, _ = materialise(unmoved.select(*ends).union(moved.select(*ends)).distinct(), "line-candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     n_ids = 2 * pairs.count()
     texts, _ = materialise(lines.select("h", "line").join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, "h", "left_semi"), "candidate-lines")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
-    near = both.where(F.length("line_a") <= F.length("line_b")).withColumn("d", distance(F.col("line_a"), F.col("line_b"), edits)).where("d is not null and d > 0")
+    swap = F.length("line_a") > F.length("line_b")
+    sides = [F.when(swap, F.col(f"{c}_b" if c == "line" else "b")).otherwise(F.col(f"{c}_a" if c == "line" else "a")).alias(name) for c, name in (("id", "a"), ("line", "line_a"))]
+    others = [F.when(swap, F.col("line_a" if c == "line" else "a")).otherwise(F.col("line_b" if c == "line" else "b")).alias(name) for c, name in (("id", "b"), ("line", "line_b"))]
+    near = both.select(*sides, *others).distinct().withColumn("d", distance(F.col("line_a"), F.col("line_b"), edits)).where("d is not null and d > 0")
     return near.select(F.col("a").alias("h"), F.col("line_a").alias("line"), F.col("b").alias("other_h"), F.col("line_b").alias("other"))
 
 
 def verdicts(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """doc, row_key, at, gone and degree (links of the line) for every line that repeats or has a link."""
     grouped = occurrences(docs).groupBy("line").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).select(F.xxhash64("line").alias("h"), "line", "first_doc", "n")
-    lines, _ = materialise(grouped, "lines")
+    lines, _ = materialise(measured(grouped), "lines")
     links, _ = materialise(edit_links(lines, edits), "line-links")
     first = lines.select(F.col("line").alias("t"), "first_doc")
     n_links = links.count()
@@ -169,12 +179,12 @@ def removed_lines(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """The documents without repeated lines; one that had text and keeps no line of it is dropped. Other columns stay."""
     found = removed_lines(docs, edits)
-    left = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(LAST)), "__key": _row_key()})
-    joined = left.join(found, (F.col("__doc") == F.col("doc")) & (F.col("__key") == F.col("row_key")), "left")
-    rest = F.filter(F.split("text", "\n"), lambda x, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False)))
-    text = F.when(F.size("removed") > 0, F.array_join(rest, "\n")).otherwise(F.col("text"))
-    whole = ~F.coalesce((F.size("removed") > 0) & (F.length(F.trim(F.regexp_replace("new_text", r"\s+", " "))) == 0), F.lit(False))
-    return joined.withColumn("new_text", text).where(whole).select(*(F.col("new_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct(*docs.columns).alias("kept"), F.col("text").alias("whole"), F.coalesce("doc_id", F.lit(LAST)).alias("doc"), _row_key())
+    rest = F.filter(F.split("whole", "\n"), lambda x, i: ~F.coalesce(F.array_contains("removed", i), F.lit(False)))
+    fewer = F.size("removed") > 0
+    joined = rows.join(found, ["doc", "row_key"], "left").withColumn("left_over", F.when(fewer, F.array_join(rest, "\n")).otherwise(F.col("whole")))
+    emptied = F.coalesce(fewer & (F.length(F.trim(F.regexp_replace("left_over", r"\s+", " "))) == 0), F.lit(False))
+    return joined.where(~emptied).select(*((F.col("left_over") if c == "text" else F.col("kept")[c]).alias(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
