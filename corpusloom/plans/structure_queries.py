@@ -159,5 +159,6 @@ def word_set_classes(t: Tables) -> DataFrame:
 
 @query("fuzzy_titles")
 def fuzzy_titles(t: Tables) -> DataFrame:
-    asked = t.customer.select(F.col("c_custkey").alias("id"), F.regexp_replace("c_name", "1", "7").alias("title"))
-    return D.fuzzy_titles(asked, t.customer.select(F.col("c_custkey").alias("held_id"), F.col("c_name").alias("title")))
+    name = F.concat_ws(" ", "p_name", "p_type")
+    asked = t.part.select(F.col("p_partkey").alias("id"), F.regexp_replace(name, "a", "e").alias("title"))
+    return D.fuzzy_titles(asked, t.part.select(F.col("p_partkey").alias("held_id"), name.alias("title")))

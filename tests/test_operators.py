@@ -1,0 +1,172 @@
+"""Operators on invented text with the results the semantics ask for."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import catalog, checks, chunking, dedupe, evaluate, filters, joins, retrieval, windows
+from corpusloom.sources import readers, sinks
+
+
+def one(spark, column, value, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(column(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize("text,want", [("Sections of the studies, re-issued classes", ["study", "re", "issued", "classe"]), ("s. 302-B and gas", ["302", "b", "gas"]), (None, [])])
+def test_tokens(spark, text, want):
+    assert one(spark, T.tokens, text) == want
+
+
+def test_question_tokens(spark):
+    assert one(spark, T.question_tokens, "Is talaq valid under s. 25-A?") == ["talaq", "valid", "25", "divorce", "sec25a"]
+
+
+@pytest.mark.parametrize(
+    "f,text,want",
+    [
+        (T.title_key, "12 The LAW%20Reforms Act, 1972", "lawreformsact1972"), (T.slug, "Women's  Act (1990)", "womens-act-1990"), (T.section_number, "25 - a", "25A"),
+        (T.one_space, " a\u00a0\n b ", "a b"), (T.plain_digits, "\u00a0\u0661\u06f2\u2013", " 12-"), (T.file_name, "C:\\a\\b\x00c.pdf", "bc.pdf"), (T.email_domain, "A@Mail.ORG", "mail.org"),
+        (T.without_markdown, "**a** <br/> _b_ c_d_e", "a; b c_d_e"), (T.token_estimate, "abcde", 3), (T.mostly_arabic, "\u0627\u0628 a", True), (T.readable, "123", False),
+        (T.mask_headings, "## x\nb", "    \nb"),
+    ],
+)
+def test_text_functions(spark, f, text, want):
+    assert one(spark, f, text) == want
+
+
+def test_dates(spark):
+    found = one(spark, T.dates, "On 3/4/99, the 5th of March 2001 and Sept 7, 2010; 31.02.2020 too")
+    assert {tuple(d) for d in found} == {(2099, 4, 3), (2001, 3, 5), (2010, 9, 7), (2020, 2, 31)}
+
+
+def test_placeholders(spark):
+    assert one(spark, T.placeholders, "[NAME] {{date}} [IV] [NAME] <<x>> [__]") == ["[NAME]", "{{date}}", "<<x>>", "[__]"]
+
+
+@pytest.mark.parametrize("text,want", [("ten to twenty-five years", {(10, "year"), (25, "year")}), ("Rs. 2,50,000 or 3 months", {(250000, "rupee"), (3, "month")}), ("twenty-five million rupees", {(25000000, "rupee")}), ("one hundred and twenty days", {(120, "day")}), ("offenders 302", set())])
+def test_figures(spark, text, want):
+    assert {tuple(x) for x in one(spark, checks.figures, text)} == want
+
+
+def test_markers_and_lists(spark):
+    assert one(spark, checks.single_markers, "a\u30105\u2020L1\u3011 [4, 5] [1-3] [x]") == "a[5] [4][5] [1][2][3] [x]"
+    assert one(spark, checks.expanded_numbers, "8-10, 7(1) and 489f, 1-99") == ["8", "9", "10", "7", "489F", "1", "99"]
+    assert one(spark, checks.cited_order, "x [2] y [1] z [2]") == [2, 1]
+
+
+def test_quotes(spark):
+    rows = spark.createDataFrame([("the big dog\u2026ran away", "The  big-dog has often ran away."), ("ran away ... the big dog", "The big dog ran away."), ("big dog", "The big dog")], "q string, d string")
+    assert [r.ok for r in rows.select(checks.quote_found(F.col("q"), F.col("d")).alias("ok")).collect()] == [True, False, False]
+
+
+def test_paragraphs(spark):
+    body = "that is long enough to count as a paragraph here"
+    own = one(spark, chunking.paragraphs, f"Heading of the case, {body}\n1. First {body}\n2. Second {body}\n5. not next\n3. Third {body}")
+    assert [p.n for p in own] == [0, 1, 2, 3] and own[2].text.endswith("5. not next")
+    assert [p.n for p in one(spark, chunking.paragraphs, f"One {body}\n\nshort\n\nTwo {body}")] == [1, 2]
+
+
+def test_windows_of_text(spark):
+    cut = one(spark, lambda c: chunking.fixed_windows(c, 10, 3), "abcdefghijklmnopqrstuvwx")
+    assert [c.chunk for c in cut] == ["abcdefghij", "hijklmnopq", "opqrstuvwx"]
+    assert one(spark, lambda c: chunking.fixed_windows(c, 10, 3), "") == []
+    assert all(len(w) <= 20 for w in one(spark, lambda c: chunking.space_windows(c, 20), "some words that go on and on for long"))
+    chunks = one(spark, lambda c: chunking.prefixed_windows(c, F.lit("T:"), chunking.word_spans, 5, 3, 1), "a b c d e f g")
+    assert [c.chunk for c in chunks] == ["T: a b c d", "T: d e f g"]
+
+
+def test_sections(spark):
+    docs = spark.createDataFrame([(1, "intro\nSection 1 - Name\nbody\nChapter II\nmore\nSection 3 - End\nlast")], "id long, text string")
+    found = chunking.sections(docs, "id").orderBy("seq").collect()
+    assert [(r.section, r.heading, r.text) for r in found] == [("1", "Name", "body\nmore"), ("3", "End", "last")]
+    d = chunking.detection(chunking.sections(docs, "id"), "id").first()
+    assert (d.expected, d.found, d.missing) == (3, 2, [2])
+
+
+def test_rrf_is_symmetric(spark):
+    a, b = (spark.createDataFrame(r, "id string, rank int") for r in ([("x", 1), ("y", 2)], [("y", 1), ("z", 2)]))
+    ab, ba = ({r.id: r.fused for r in retrieval.fuse(p, "id").collect()} for p in ([a, b], [b, a]))
+    assert ab == ba and abs(ab["y"] - (1 / 62 + 1 / 61)) < 1e-12
+
+
+def test_pinned_merge(spark):
+    base = spark.createDataFrame([(i, 0.9 - i / 100, i) for i in range(1, 6)], "id long, score double, rank int")
+    extra = spark.createDataFrame([(1, 0.99), (9, 0.97), (8, 0.80)], "id long, score double")
+    out = [r.id for r in retrieval.pinned_merge(base, extra, "id", 2, 0.05, F.col("id") == 5, 6).collect()]
+    assert out == [1, 2, 9, 5, 3, 4]
+
+
+def test_hints(spark):
+    hints = spark.createDataFrame([("a", [["eat", "fruit"], ["apple"]], ["pear"]), ("b", [["apple", "tree"]], [])], "id string, triggers array<array<string>>, unless array<string>")
+    fired = lambda words: [r.id for r in retrieval.hint_terms(F.array(*map(F.lit, words)), hints).orderBy("id").collect()]
+    assert fired(["apple"]) == ["a"] and fired(["apple", "tree", "pear"]) == ["b"]
+
+
+def test_greedy_distinct(spark):
+    words = "array<struct<id:int,words:array<string>>>"
+    kept = one(spark, retrieval.greedy_distinct, [(1, ["a", "b"]), (2, ["b", "a"]), (3, ["c"]), (4, [])], words)
+    assert [k.id for k in kept] == [1, 3, 4]
+
+
+def test_filters(spark):
+    rows = spark.createDataFrame([(None,), ("x",), ("y",)], "court string")
+    assert rows.where(filters.permissive(F.col("court") == "x")).count() == 2 and rows.where(filters.strict(F.col("court") == "x")).count() == 1
+    ranked = spark.createDataFrame([(i, i % 2) for i in range(10)], "id long, odd int")
+    assert filters.filter_after_limit(ranked, F.col("odd") == 1, 3, 5, [F.asc("id")]).count() == 1
+
+
+def test_budget_ends_at_first_overflow(spark):
+    rows = spark.createDataFrame([(1, 1, 2), (1, 2, 50), (1, 3, 4), (2, 1, 99)], "k int, at int, cost int")
+    kept = windows.newest_within_budget(rows, "k", "at", F.col("cost"), 10).collect()
+    assert [(r.k, r.at) for r in kept] == [(1, 3)]
+
+
+def test_nearest_owner(spark):
+    numbers = spark.createDataFrame([(1, 10, 12), (1, 50, 52)], "t int, start int, stop int")
+    owners = spark.createDataFrame([(1, 14, 20, "after"), (1, 0, 9, "before"), (1, 90, 99, "far")], "t int, start int, stop int, law string")
+    assert {r.start: r.law for r in joins.nearest_owner(numbers, owners, "t").collect()} == {10: "after", 50: "after"}
+
+
+def test_reference_status_and_exact(spark):
+    refs = spark.createDataFrame([("q", "A", "25-a", 1), ("q", "B", "1", 2), ("q", None, "2", 3)], "question string, title string, number string, place int")
+    records = spark.createDataFrame([("A", "25A", 1), ("A", "25a", 2)], "title string, section string, seq int")
+    assert [r.seq for r in joins.exact_sections(refs, records).collect()] == [1]
+
+
+def test_fuzzy_titles(spark):
+    asked = spark.createDataFrame([(1, "The Law Reforms Ordinance 1972"), (2, "Law Reform Ordinance 1972"), (3, "Something else")], "id long, title string")
+    held = spark.createDataFrame([(7, "Law Reforms Ordinance, 1972"), (8, "Customs Act 1969")], "held_id long, title string")
+    assert {r.id: (r.match, r.how) for r in dedupe.fuzzy_titles(asked, held).collect()} == {1: (7, "exact"), 2: (7, "near"), 3: (None, None)}
+
+
+def test_evaluation(spark):
+    before, after = (spark.createDataFrame(r, "q string, rank int") for r in ([("a", 1), ("b", None)], [("a", 2), ("b", 4)]))
+    assert {r.q: r.verdict for r in evaluate.compared(before, after, "q").collect()} == {"a": "worse", "b": "better"}
+    assert {r.bucket: r.n for r in evaluate.score_histogram(spark.createDataFrame([(0.9,), (None,)], "s double"), "s", [0.5, 0.8]).collect()} == {0: 0, 1: 0, 2: 1}
+
+
+def test_catalog(spark):
+    rows = spark.createDataFrame([(None,), ("a",), ("a",)], "c string")
+    assert {r.value: r.n for r in catalog.facet(rows, "c").collect()} == {"None": 1, "a": 2}
+
+
+def test_encodings_and_zip(spark):
+    import io
+    import zipfile
+
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w") as z:
+        z.writestr("a.txt", "h\u00e9".encode("cp1252"))
+        z.writestr("b.bin", b"x")
+    files = spark.createDataFrame([("p", bytearray(box.getvalue()))], "path string, content binary")
+    assert [(r.member, r.text) for r in readers.zipped_texts(files).collect()] == [("a.txt", "h\u00e9")]
+
+
+def test_publish_replaces_whole_tables(spark, tmp_path):
+    path = f"file://{tmp_path}/a/table"
+    assert [sinks.publish(spark.range(n), path) for n in (3, 5)] == [3, 5] and spark.read.parquet(path).count() == 5
+
+
+def test_links(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/a/", '<a href="b?q=1&amp;r">T <b>1</b></a><a href="/b">2</a><a href="b?q=1&amp;r">again</a>')], "page_id long, url string, html string")
+    assert [(r.target, r.title) for r in readers.links(pages).orderBy("at").collect()] == [("http://x.org/a/b?q=1&r", "T 1"), ("http://x.org/b", "2")]
