@@ -49,7 +49,7 @@ def bm25(tf: DataFrame, terms: DataFrame, key: str, k1: float = 1.5, b: float =
     scored = hits.join(F.broadcast(df), "term").join(lengths, key).crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return scored.groupBy(key).agg(F.sum(weight).alias("score"))
+    return scored.groupBy(key).agg(F.round(F.sum(weight), 9).alias("score"))  # equal scores tie, whatever the order of addition
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -14,7 +14,7 @@ ONE = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 TOK = "SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+|[0-9]+[a-z]?')) AS t FROM documents"
 BM25_CTE = f"""tok AS ({TOK}), tf AS (SELECT doc_id, t, count(*) AS f FROM tok GROUP BY ALL), dl AS (SELECT doc_id, sum(f) AS len FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS av FROM dl),
  dfq AS (SELECT t, count(*) AS df FROM tf WHERE t IN {TERMS} GROUP BY 1),
- bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / av))) AS s FROM tf JOIN dfq USING (t) JOIN dl USING (doc_id), st GROUP BY 1)"""
+ bm AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / av))), 9) AS s FROM tf JOIN dfq USING (t) JOIN dl USING (doc_id), st GROUP BY 1)"""
 VEC_CTE = f"vs AS (SELECT vec_id, label, list_inner_product(embedding::DOUBLE[], {ONE}::DOUBLE[]) AS s FROM embeddings)"
 
 
