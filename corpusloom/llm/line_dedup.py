@@ -73,13 +73,12 @@ def _letters_agree(a: Column, b: Column, edits: int) -> Column:
     return reduce(lambda x, y: x + y, map(apart, range(len(LETTERS)))) <= 2 * edits
 
 
-def distance(x: Column, y: Column, edits: int) -> Column:
-    """Edit distance of two texts where it is at most ``edits``, else null; x isn't longer than y.
+def distance(xs: Column, ys: Column, edits: int) -> Column:
+    """Edit distance of two arrays of signs where it is at most ``edits``, else null; xs isn't longer than ys.
 
-    Bit b of word e after column j says that the first j + b - edits signs of x are within e edits of the first j of y.
+    Bit b of word e after column j says that the first j + b - edits signs of xs are within e edits of the first j of ys.
     """
     width = 2 * edits + 1
-    xs, ys = F.split(x, ""), F.split(y, "")
     hit = lambda c, j, b: F.when(F.get(xs, j + (b - edits)) == c, 1 << b).otherwise(0)
     columns = F.transform(ys, lambda c, j: reduce(lambda p, q: p + q, (hit(c, j, b) for b in range(width))))
     start = F.struct(*(F.lit(sum(1 << (edits + i) for i in range(e + 1))).alias(f"e{e}") for e in range(edits + 1)))
@@ -95,7 +94,7 @@ def distance(x: Column, y: Column, edits: int) -> Column:
         return F.struct(*(w.alias(f"e{e}") for e, w in enumerate(words)))
 
     def read(state: Column) -> Column:
-        place = F.length(x) - F.length(y) + edits
+        place = F.size(xs) - F.size(ys) + edits
         found = [F.when(F.getbit(state[f"e{e}"], place) == 1, F.lit(e)) for e in range(edits + 1)]
         return F.coalesce(*found)
 
@@ -146,7 +145,9 @@ def edit_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = HOT) -> Data
     swap = F.length("line_a") > F.length("line_b")
     sides = [F.when(swap, F.col(f"{c}_b" if c == "line" else "b")).otherwise(F.col(f"{c}_a" if c == "line" else "a")).alias(name) for c, name in (("id", "a"), ("line", "line_a"))]
     others = [F.when(swap, F.col("line_a" if c == "line" else "a")).otherwise(F.col("line_b" if c == "line" else "b")).alias(name) for c, name in (("id", "b"), ("line", "line_b"))]
-    near = both.select(*sides, *others).distinct().withColumn("d", distance(F.col("line_a"), F.col("line_b"), edits)).where("d is not null and d > 0")
+    ordered = both.select(*sides, *others).distinct()
+    signs = ordered.withColumns({"xs": F.split("line_a", ""), "ys": F.split("line_b", "")})  # a projection of its own: each is read many times
+    near = signs.withColumn("d", distance(F.col("xs"), F.col("ys"), edits)).where("d is not null and d > 0")
     return near.select(F.col("a").alias("h"), F.col("line_a").alias("line"), F.col("b").alias("other_h"), F.col("line_b").alias("other"))
 
 
@@ -164,9 +165,11 @@ def verdicts(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     ends = ordered.select(F.explode(F.array(F.struct(F.col("line").alias("t"), (~F.col("forward")).alias("later")), F.struct(F.col("other").alias("t"), F.col("forward").alias("later")))).alias("e")).select("e.*")
     judged = ends.groupBy("t").agg(F.bool_or("later").alias("later"), F.count("*").alias("degree"))
     marked = lines.where("n > 1").select("h", F.col("line").alias("t"), "first_doc").unionByName(starts.join(lines.where("n = 1").select("h", F.col("line").alias("t")), "t").select("h", "t", "first_doc"))
-    told, _ = materialise(marked.join(judged, "t", "left").select("t", "first_doc", F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("degree", F.lit(0)).alias("degree")), "line-verdicts")
-    seen = occurrences(docs).join(told, F.col("line") == F.col("t"))
-    again = F.dense_rank().over(Window.partitionBy("doc", "row_key", F.xxhash64("line"), "t").orderBy("at")) > 1
+    # Two 64-bit hashes stand for a line from here on, so that no text is shuffled again.
+    both_hashes = lambda c: (F.xxhash64(c).alias("h"), F.xxhash64(F.lit(7), c).alias("g"))
+    told, _ = materialise(marked.join(judged, "t", "left").select(*both_hashes("t"), "first_doc", F.coalesce("later", F.lit(False)).alias("later"), F.coalesce("degree", F.lit(0)).alias("degree")), "line-verdicts")
+    seen = occurrences(docs).select("doc", "row_key", "at", *both_hashes("line")).join(told, ["h", "g"]).repartition("doc", "row_key")
+    again = F.dense_rank().over(Window.partitionBy("doc", "row_key", "h", "g").orderBy("at")) > 1
     return seen.select("doc", "row_key", "at", (F.col("later") | (F.col("doc") != F.col("first_doc")) | again).alias("gone"), "degree")
 
 
