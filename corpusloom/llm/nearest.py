@@ -123,7 +123,7 @@ def scan(queries: pd.DataFrame, block: pd.DataFrame, coarse: Coarse, k: int) ->
         if len(alive) > 4 * k:
             alive = alive[np.argpartition(partial, 4 * k)[: 4 * k]]
         alive = alive[ids[alive] != qid]
-        score = original[alive] @ np.asarray(v, float)
+        score = (original[alive] * np.asarray(v, float)).sum(axis=1)  # row by row, so that equal vectors tie exactly
         best = np.lexsort((ids[alive], -score))[:k]
         out.append(pd.DataFrame({"query_id": qid, "id": ids[alive][best], "score": score[best]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})

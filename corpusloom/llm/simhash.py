@@ -136,11 +136,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that of the smallest id, and one row of it where rows repeat.
+    """One document of each component stays: that of the smallest id, and one row of it where id and text repeat.
 
     Rows with a null id can't be told apart and stay only if their whole component has no id.
     """
     found = near_duplicates(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return kept.dropDuplicates(["doc_id", "text"])
