@@ -30,9 +30,9 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Threads of one task's encoder, and characters given to it at a time.
-THREADS, BATCH_CHARS = 2, 4_000_000
+THREADS, BATCH_CHARS = 2, 1_000_000
 #: Words a worker remembers before it starts anew; bounds its memory only.
-MEMO = 700_000
+MEMO = 250_000
 
 
 class Codec:
@@ -62,7 +62,7 @@ class Codec:
                     if whole[:cut] in scores and whole[cut:] in scores:
                         merges.append((-score, ids[whole[:cut]], ids[whole[cut:]], (whole[:cut], whole[cut:])))
             merges.sort(key=lambda m: m[:3])
-            model = models.BPE(vocab=ids, merges=[m[3] for m in merges], unk_token=pieces[self.unknown][0], fuse_unk=True, byte_fallback=trainer.byte_fallback, cache_capacity=200_000)
+            model = models.BPE(vocab=ids, merges=[m[3] for m in merges], unk_token=pieces[self.unknown][0], fuse_unk=True, byte_fallback=trainer.byte_fallback, cache_capacity=0)
         else:
             raise ValueError("only unigram and BPE models are known")
         tok = Tokenizer(model)
