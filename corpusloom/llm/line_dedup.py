@@ -147,7 +147,9 @@ def edit_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = HOT) -> Data
     others = [F.when(swap, F.col("line_a" if c == "line" else "a")).otherwise(F.col("line_b" if c == "line" else "b")).alias(name) for c, name in (("id", "b"), ("line", "line_b"))]
     ordered = both.select(*sides, *others).distinct()
     signs = ordered.withColumns({"xs": F.split("line_a", ""), "ys": F.split("line_b", "")})  # a projection of its own: each is read many times
-    near = signs.withColumn("d", distance(F.col("xs"), F.col("ys"), edits)).where("d is not null and d > 0")
+    # A generator rather than a filter, which would be pushed below the projection and split the lines for each sign.
+    within = F.filter(F.array(distance(F.col("xs"), F.col("ys"), edits)), lambda d: d > 0)
+    near = signs.select("a", "line_a", "b", "line_b", F.explode(within).alias("d"))
     return near.select(F.col("a").alias("h"), F.col("line_a").alias("line"), F.col("b").alias("other_h"), F.col("line_b").alias("other"))
 
 
