@@ -7,7 +7,8 @@ nearest centroid. A query probes its nearest lists, as many as hold TARGET of th
 neighbours within the sample. In a list the rotated vectors lie in column blocks; after each block
 the partial distance over the first d dimensions estimates the whole one, and a candidate is abandoned when the
 hypothesis that it is nearer than the query's bound is rejected: partial * D / d > bound * (1 + EPSILON / sqrt(d))^2.
-What is left after the last block has its exact inner product computed from the original vectors in double precision.
+Of what is left after the last block, all whose distance is within rounding of the k-th smallest have their exact inner
+product computed from the original vectors in double precision, so that ties go to the smaller id however many they are.
 The first round scans each query's nearest list and sets its bound; the second scans the other probed lists against it.
 
 A list with many vectors is cut into blocks by a hash of the vector's id, and the queries that probe it into groups, so
@@ -37,6 +38,8 @@ COLUMNS, EPSILON = 16, 2.1
 #: Share of true neighbours that the probed lists must hold, by which the number of probes is set on the sample.
 TARGET, CALIBRATED = 0.97, 256
 BLOCK = 4_096
+#: More than rounding changes a whole squared distance (these are 4 at most).
+TIE = 1e-9
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
@@ -111,7 +114,7 @@ def scan(queries: pd.DataFrame, block: pd.DataFrame, coarse: Coarse, k: int) ->
     for qid, v, bound, q in zip(queries["id"], queries["v"], queries["bound"], rotated):
         alive, partial = np.arange(len(x)), np.zeros(len(x))
         # a bound is an inner product; in scaled space |x - q|^2 = 2 - 2 <x, q>
-        limit = np.inf if bound is None or np.isnan(bound) else 2 - 2 * bound / (coarse.norm * np.linalg.norm(v))
+        limit = np.inf if bound is None or np.isnan(bound) else 2 - 2 * bound / (coarse.norm * np.linalg.norm(v)) + TIE
         for c, (a, b) in zip(columns, zip(cuts, cuts[1:])):
             diff = c[alive] - q[a:b]
             partial = partial + (diff * diff).sum(axis=1)
@@ -120,9 +123,11 @@ def scan(queries: pd.DataFrame, block: pd.DataFrame, coarse: Coarse, k: int) ->
                 alive, partial = alive[keep], partial[keep]
             if not len(alive):
                 break
-        if len(alive) > 4 * k:
-            alive = alive[np.argpartition(partial, 4 * k)[: 4 * k]]
-        alive = alive[ids[alive] != qid]
+        other = ids[alive] != qid
+        alive, partial = alive[other], partial[other]
+        if len(alive) > k:
+            # all that may be among the k best, ties of the last one included
+            alive = alive[partial <= np.partition(partial, k - 1)[k - 1] + TIE]
         score = (original[alive] * np.asarray(v, float)).sum(axis=1)  # row by row, so that equal vectors tie exactly
         best = np.lexsort((ids[alive], -score))[:k]
         out.append(pd.DataFrame({"query_id": qid, "id": ids[alive][best], "score": score[best]}))

@@ -1,5 +1,7 @@
 """Every operator on nulls, empty and very long texts, repeated rows, empty tables and clashing extra columns."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,22 @@ def test_nearest(spark):
     assert nearest.search(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_of_many_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1800, 24))
+    x[rng.choice(1800, 300, replace=False)] = np.ones(24) * 2
+    ids, q = rng.permutation(1800), np.ones(24)
+    norm = float(np.linalg.norm(x, axis=1).max())
+    coarse = nearest.Coarse(np.linalg.qr(rng.standard_normal((25, 25)))[0], norm, np.zeros((1, 25)))
+    want = ids[np.lexsort((ids, -(x * q).sum(axis=1)))[:20]].tolist()
+    for bound in (None, 48.0):
+        asked = pd.DataFrame({"id": [-1], "v": [q], "bound": [bound]})
+        assert nearest.scan(asked, pd.DataFrame({"id": ids, "v": list(x)}), coarse, 20)["id"].tolist() == want
+    rows = [(i, [1.0, 0.5]) for i in range(200, 0, -1)] + [(1000 + i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.standard_normal((60, 2)) / 9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in nearest.search(vectors, F.col("id") == 50).orderBy("rank").collect()] == list(range(1, 21))
+
+
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, spans int, n_turns string"
     rows = [(1, 1, "assistant", None, 0, ""), (1, 0, "user", "<|im_end|>", 0, ""), (1, 0, "user", "<|im_end|>", 0, ""), (None, 0, None, "x", 0, "")]
