@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders that keep their values beside them. A window is five tokens in a
 row with placeholders for values; a window with fewer than two plain words keeps its values, so that columns of
-figures match only themselves. An item is found in a document that holds at least 0.8 of its distinct windows. To
-find such pairs without meeting common windows, only an item's rarest windows are looked up first: a document that
+figures match only themselves. A window is held where it stands with placeholders or as plain lower-case words, so a
+copy in other letter case counts. An item is found in a document that holds at least 0.8 of its distinct windows. To find such pairs without meeting common windows, only an item's rarest windows are looked up first: a document that
 holds 0.8 of n windows holds one of any n - ceil(0.8 n) + 1. Pairs found are verified on all windows. Then values are compared:
 where an item's value recurs, the document must put one value of its own in all those places (per alignment); a pair
 whose values don't map that way in 0.8 of the cases is no copy. A pair is ``verbatim`` if all values are the same,
@@ -34,14 +34,12 @@ UNITS = (
 
 
 def tagged(text: Column) -> Column:
-    """Tokens of a text, one space apart; a value is a token that starts with the sign of its kind."""
+    """Tokens of a text without the signs of kinds, one space apart; a value is a token that starts with the sign of its kind."""
     joined = F.regexp_replace(text, r"(?<=\d)[.,:/](?=\d)", "_")
     numbers = F.regexp_replace(joined, r"(?<![\p{L}\p{N}_])(\d[\d_]*)(?![\p{L}\p{N}_])", f" {NUMBER}$1 ")
     units = F.regexp_replace(numbers, rf"({NUMBER}[\d_]+) +(?i:({'|'.join(sorted(UNITS.split(), key=len, reverse=True))}))(?![\p{{L}}\p{{N}}_])", f"$1 {UNIT}$2")
-    plain = F.regexp_replace(text, f"[{NUMBER}-{UNIT}]", " ")
     with_numbers = F.when(text.rlike(r"\d"), units).otherwise(text)
-    signs = F.when(text.rlike(f"[{NUMBER}-{UNIT}]"), plain).otherwise(with_numbers)
-    names = F.regexp_replace(signs, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}\p{L}*)", f"{NAME}$1")
+    names = F.regexp_replace(with_numbers, r"(?<=[\p{Ll},;])([\s\p{Z}\x85]+)(\p{Lu}\p{Ll}\p{L}*)", f"$1{NAME}$2")
     return F.trim(F.lower(F.regexp_replace(names, rf"[^\p{{L}}\p{{M}}\p{{N}}_{NUMBER}-{UNIT}]+", " ")))
 
 
@@ -50,25 +48,38 @@ def _is_value(token: Column) -> Column:
 
 
 def tokens(df: DataFrame, key: str) -> DataFrame:
-    """key, raw (tokens with values), kind (tokens with placeholders) and whether there are values, of each text.
+    """key, raw (tokens with values), kind (placeholders), plain (no signs) and whether there are values, of each text.
 
     Each step is a projection of its own, as what a later step reads more than once is then computed once.
     """
-    words = df.select(key, tagged(F.coalesce("text", F.lit(""))).alias("words"))
+    clean = df.select(key, F.translate(F.coalesce("text", F.lit("")), NUMBER + NAME + UNIT, "   ").alias("text"))
+    words = clean.select(key, tagged(F.col("text")).alias("words"))
     split = words.select(key, F.filter(F.split("words", " "), lambda t: t != "").alias("raw"), F.col("words").rlike(f"[{NUMBER}-{UNIT}]").alias("has_values"))
     kinds = F.transform("raw", lambda t: F.when(_is_value(t), F.left(t, F.lit(1))).otherwise(t))
-    return split.select(key, "raw", "has_values", F.when(F.col("has_values"), kinds).otherwise(F.col("raw")).alias("kind"))
+    plain = F.transform("raw", lambda t: F.when(_is_value(t), F.substr(t, F.lit(2))).otherwise(t))
+    return split.select(key, "raw", "has_values", *(F.when(F.col("has_values"), c).otherwise(F.col("raw")).alias(name) for c, name in ((kinds, "kind"), (plain, "plain"))))
 
 
 def windows() -> Column:
-    """Hashes of the windows over the columns of ``tokens``, in order."""
+    """Hashes of the windows over the columns of ``tokens``, in order; where there are values, plain ones come after them.
+
+    A plain hash is over the words alone, whatever is taken for a value; it is null where it is the same as the other.
+    """
     n = F.size("kind")
     at = F.sequence(F.lit(0), n - WORDS)
     of = lambda c, i: F.xxhash64(*(F.get(c, i + k) for k in range(WORDS)))
     values = lambda i: sum((F.when(F.length(F.get("kind", i + k)) == 1, _is_value(F.get("kind", i + k)).cast("int")).otherwise(0) for k in range(1, WORDS)), F.when(_is_value(F.get("kind", i)), 1).otherwise(0))
     mixed = F.transform(at, lambda i: F.when(values(i) > WORDS - PLAIN, of("raw", i)).otherwise(of("kind", i)))
+    words = F.transform(at, lambda i: F.when(values(i) > 0, of("plain", i)))
     same = F.transform(at, lambda i: of("raw", i))
-    return F.when(n == 0, F.array().cast("array<long>")).when(n < WORDS, F.array(F.xxhash64(F.array_join("raw", " ")))).when(F.col("has_values"), mixed).otherwise(same)
+    short = F.array(F.xxhash64(F.array_join("raw", " ")), F.when(F.col("has_values"), F.xxhash64(F.array_join("plain", " "))))
+    return F.when(n == 0, F.array().cast("array<long>")).when(n < WORDS, short).when(F.col("has_values"), F.concat(mixed, words)).otherwise(same)
+
+
+def _places(df: DataFrame, key: str, at: str) -> DataFrame:
+    """key, place (named ``at``) and hash h of every window over the columns of ``tokens``, and its plain hash as one more row."""
+    each = df.select(key, F.greatest(F.size("kind") - (WORDS - 1), F.lit(1)).alias("n_places"), F.posexplode(windows()).alias("pos", "h"))
+    return each.where("h is not null").select(key, (F.col("pos") % F.col("n_places")).alias(at), "h", (F.col("pos") >= F.col("n_places")).alias("plain"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -80,24 +91,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows, n_found, containment, consistency and kind of every leaked item."""
     items = benchmark.select("item_id", "text")
     item_tokens = tokens(items, "item_id")
-    places, _ = materialise(item_tokens.select("item_id", F.posexplode(windows()).alias("item_at", "h")), "item-windows")
-    item_windows = places.select("item_id", "h").distinct()
+    both_ways = _places(item_tokens, "item_id", "item_at")
+    template = both_ways.where("not plain").select(F.col("item_id").alias("i"), F.col("item_at").alias("a"), F.col("h").alias("w"))
+    places, _ = materialise(both_ways.join(template, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_at") == F.col("a"))).select("item_id", "item_at", "w", "h"), "item-windows")
+    item_windows = places.select("item_id", "w", "h").distinct()
     n_rows = places.count()
     known = _small(item_windows.select("h").distinct(), n_rows)
-    every = tokens(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(windows()).alias("doc_at", "h"))
+    every = _places(tokens(docs.select("doc_id", "text"), "doc_id"), "doc_id", "doc_at").select("doc_id", "doc_at", "h")
     hits, _ = materialise(every.join(known, "h", "left_semi"), "window-hits")
 
-    # The rarest windows of each item; rarity is counted over all documents.
+    # The rarest windows of each item; rarity is counted over all documents, under both hashes of a window.
     often = hits.groupBy("h").agg(F.count("*").alias("often"))
     of_item = Window.partitionBy("item_id")
-    ranked = item_windows.join(often, "h", "left").select("item_id", "h", F.count("*").over(of_item).alias("n"), F.row_number().over(of_item.orderBy(F.coalesce("often", F.lit(0)), "h")).alias("r"))
-    anchors = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SHARE) + 1).select("item_id", "h", "n")
+    rarity = item_windows.join(often, "h", "left").groupBy("item_id", "w").agg(F.sum(F.coalesce("often", F.lit(0))).alias("often"))
+    ranked = rarity.select("item_id", "w", F.count("*").over(of_item).alias("n"), F.row_number().over(of_item.orderBy("often", "w")).alias("r"))
+    rarest = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SHARE) + 1)
+    anchors = rarest.alias("r").join(item_windows.alias("w"), F.expr("r.item_id <=> w.item_id AND r.w = w.w")).select("r.item_id", "w.h", "r.n")
     found = hits.select("doc_id", "h").distinct()
     candidates = found.join(_small(anchors, n_rows), "h").select("doc_id", "item_id", "n").distinct()
 
-    # All windows of the candidates.
-    wanted = candidates.alias("c").join(_small(item_windows, n_rows).alias("w"), F.expr("c.item_id <=> w.item_id")).select("c.doc_id", "c.item_id", "c.n", "w.h")
-    held = wanted.alias("a").join(found.alias("f"), F.expr("a.h = f.h AND a.doc_id <=> f.doc_id")).groupBy("a.doc_id", "a.item_id", "a.n").agg(F.count("*").alias("n_found"))
+    # All windows of the candidates; a window is held under either of its hashes.
+    wanted = candidates.alias("c").join(_small(item_windows, n_rows).alias("w"), F.expr("c.item_id <=> w.item_id")).select("c.doc_id", "c.item_id", "c.n", "w.w", "w.h")
+    either = wanted.alias("a").join(found.alias("f"), F.expr("a.h = f.h AND a.doc_id <=> f.doc_id")).select("a.doc_id", "a.item_id", "a.n", "a.w").distinct()
+    held = either.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_found"))
     pairs, _ = materialise(held.where(F.col("n_found") >= F.ceil(F.col("n") * SHARE)), "leak-pairs")
     n_pairs = pairs.count()
 

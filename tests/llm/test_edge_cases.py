@@ -90,6 +90,20 @@ def test_decontamination(spark, docs, none):
     assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(docs, items.limit(0)).count() == 0
 
 
+ITEM = "In March the farmer John sold 25 apples and 13 pears to Mary for 7 dollars a week in Boston. How many apples did John sell?"
+
+
+def _leaks(spark, rows, item=ITEM):
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    return sorted((r.doc_id, r.kind) for r in decontamination.leaks(docs, items).collect())
+
+
+def test_leaks_in_other_forms(spark):
+    other = ITEM.replace("John", "Peter").replace("25", "31")
+    rows = [(1, f"{other} \x03"), (2, ITEM.lower()), (3, ITEM.upper()), (4, other.replace("farmer ", "farmer\n").replace("to ", "to  ").replace("in Boston", "in\u00a0Boston").replace("did ", "did\t")), (5, ITEM.title())]
+    assert _leaks(spark, rows) == [(1, "reparameterised"), (2, "verbatim"), (3, "verbatim"), (4, "reparameterised"), (5, "verbatim")]
+
+
 def test_nearest(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [0.9, 0.1]), (8, [0.9, 0.1]), (None, [1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double, v int".replace(", label int, score double, v int", ""))
