@@ -5,9 +5,10 @@ row with placeholders for values; a window with fewer than two plain words keeps
 figures match only themselves. A window is held where it stands with placeholders or as plain lower-case words, so a
 copy in other letter case counts. An item is found in a document that holds at least 0.8 of its distinct windows. To find such pairs without meeting common windows, only an item's rarest windows are looked up first: a document that
 holds 0.8 of n windows holds one of any n - ceil(0.8 n) + 1. Pairs found are verified on all windows. Then values are compared:
-where an item's value recurs, the document must put one value of its own in all those places (per alignment); a pair
-whose values don't map that way in 0.8 of the cases is no copy. A pair is ``verbatim`` if all values are the same,
-else ``reparameterised``.
+where an item's value recurs, the document must put one value of its own in all those places. Each alignment is judged
+by itself, and the best ones that together hold 0.8 of the windows decide: a pair whose values don't map that way in 0.8
+of their cases is no copy, unless 0.8 of the windows are there word for word. A pair is ``verbatim`` if all values of
+these alignments are the same, else ``reparameterised``.
 
 Defined results: null and empty texts have no windows and never match; texts and items of fewer than five tokens have
 one window of all their tokens; documents with a null doc_id are one document of id null, items with a null item_id one
@@ -92,9 +93,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", "text")
     item_tokens = tokens(items, "item_id")
     both_ways = _places(item_tokens, "item_id", "item_at")
+    # words: whether the hash stands for the words themselves, as it does for plain hashes and windows that have no other.
+    two = both_ways.where("plain").select(F.col("item_id").alias("i2"), F.col("item_at").alias("a2"))
+    both_ways = both_ways.join(two, F.col("item_id").eqNullSafe(F.col("i2")) & (F.col("item_at") == F.col("a2")), "left").withColumn("words", F.col("plain") | F.col("a2").isNull())
     template = both_ways.where("not plain").select(F.col("item_id").alias("i"), F.col("item_at").alias("a"), F.col("h").alias("w"))
-    places, _ = materialise(both_ways.join(template, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_at") == F.col("a"))).select("item_id", "item_at", "w", "h"), "item-windows")
-    item_windows = places.select("item_id", "w", "h").distinct()
+    places, _ = materialise(both_ways.join(template, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_at") == F.col("a"))).select("item_id", "item_at", "w", "h", "words"), "item-windows")
+    item_windows = places.select("item_id", "w", "h", "words").distinct()
     n_rows = places.count()
     known = _small(item_windows.select("h").distinct(), n_rows)
     every = _places(tokens(docs.select("doc_id", "text"), "doc_id"), "doc_id", "doc_at").select("doc_id", "doc_at", "h")
@@ -111,9 +115,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     candidates = found.join(_small(anchors, n_rows), "h").select("doc_id", "item_id", "n").distinct()
 
     # All windows of the candidates; a window is held under either of its hashes.
-    wanted = candidates.alias("c").join(_small(item_windows, n_rows).alias("w"), F.expr("c.item_id <=> w.item_id")).select("c.doc_id", "c.item_id", "c.n", "w.w", "w.h")
-    either = wanted.alias("a").join(found.alias("f"), F.expr("a.h = f.h AND a.doc_id <=> f.doc_id")).select("a.doc_id", "a.item_id", "a.n", "a.w").distinct()
-    held = either.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_found"))
+    wanted = candidates.alias("c").join(_small(item_windows, n_rows).alias("w"), F.expr("c.item_id <=> w.item_id")).select("c.doc_id", "c.item_id", "c.n", "w.w", "w.h", "w.words")
+    either = wanted.alias("a").join(found.alias("f"), F.expr("a.h = f.h AND a.doc_id <=> f.doc_id")).groupBy("a.doc_id", "a.item_id", "a.n", "a.w").agg(F.bool_or("words").alias("words"))
+    held = either.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_found"), F.count_if("words").alias("n_same"))
     pairs, _ = materialise(held.where(F.col("n_found") >= F.ceil(F.col("n") * SHARE)), "leak-pairs")
     n_pairs = pairs.count()
 
@@ -123,7 +127,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     doc_tokens = tokens(texts, "doc_id").where("has_values").select("doc_id", F.posexplode("raw").alias("at", "value")).where(_is_value(F.col("value"))).distinct()
     slots = item_tokens.where("has_values").select("item_id", F.posexplode("raw").alias("at", "value")).where(_is_value(F.col("value"))).distinct()
     met = hits.alias("x").join(_small(pairs, n_pairs).alias("p"), F.expr("x.doc_id <=> p.doc_id")).join(_small(places, n_rows).alias("i"), F.expr("i.item_id <=> p.item_id AND i.h = x.h"))
-    shifts = met.select("x.doc_id", "i.item_id", (F.col("x.doc_at") - F.col("i.item_at")).alias("shift"), F.explode(F.sequence("i.item_at", F.col("i.item_at") + WORDS - 1)).alias("at")).distinct()
+    aligned, _ = materialise(met.select("x.doc_id", "i.item_id", "p.n", (F.col("x.doc_at") - F.col("i.item_at")).alias("shift"), "i.item_at", "i.w").distinct(), "alignments")
+    shifts = aligned.select("doc_id", "item_id", "shift", F.explode(F.sequence("item_at", F.col("item_at") + WORDS - 1)).alias("at")).distinct()
     both = (
         shifts.alias("s")
         .join(_small(slots, n_rows).alias("i"), F.expr("i.item_id <=> s.item_id AND i.at = s.at"))
@@ -132,12 +137,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     values = both.select("s.doc_id", "s.item_id", "s.shift", F.col("i.value").alias("asked"), F.col("d.value").alias("put"))
     mapped = values.groupBy("doc_id", "item_id", "shift", "asked").agg((F.min("put") == F.max("put")).alias("one"), F.bool_and(F.col("put") == F.col("asked")).alias("equal"))
-    judged = mapped.groupBy("doc_id", "item_id").agg(F.avg(F.col("one").cast("int")).alias("consistency"), F.bool_and("equal").alias("equal"))
-    out = pairs.alias("p").join(judged.alias("j"), F.expr("p.doc_id <=> j.doc_id AND p.item_id <=> j.item_id"), "left")
-    consistency = F.coalesce("j.consistency", F.lit(1.0))
-    return out.where(consistency >= SHARE).select(
+    judged = mapped.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("asked"), F.sum(F.col("one").cast("int")).alias("kept"), F.bool_and("equal").alias("equal"))
+
+    # The best alignments first, as many as hold the share of the windows; only their values decide.
+    each = aligned.groupBy("doc_id", "item_id", "n", "shift").agg(F.count_distinct("w").alias("windows"))
+    known_values = each.alias("e").join(judged.alias("j"), F.expr("e.doc_id <=> j.doc_id AND e.item_id <=> j.item_id AND e.shift = j.shift"), "left")
+    scored = known_values.select("e.*", F.coalesce("asked", F.lit(0)).alias("asked"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("equal", F.lit(True)).alias("equal"))
+    of_pair = Window.partitionBy("doc_id", "item_id")
+    share = F.coalesce(F.try_divide("kept", "asked"), F.lit(1.0))
+    ordered, _ = materialise(scored.withColumn("r", F.row_number().over(of_pair.orderBy(F.desc(share), F.desc("equal"), F.desc("windows"), "shift"))), "ranked-alignments")
+    rank_of = ordered.select("doc_id", "item_id", "shift", "r")
+    first = aligned.alias("a").join(rank_of.alias("o"), F.expr("a.doc_id <=> o.doc_id AND a.item_id <=> o.item_id AND a.shift = o.shift")).groupBy("a.doc_id", "a.item_id", "a.w").agg(F.min("r").alias("r"))
+    fresh = first.groupBy("doc_id", "item_id", "r").agg(F.count("*").alias("fresh"))
+    counted = ordered.alias("o").join(fresh.alias("f"), F.expr("o.doc_id <=> f.doc_id AND o.item_id <=> f.item_id AND o.r = f.r"), "left").select("o.*", F.coalesce("fresh", F.lit(0)).alias("fresh"))
+    before = F.coalesce(F.sum("fresh").over(of_pair.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = counted.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n") * SHARE))
+    verdict = best.groupBy("doc_id", "item_id").agg(F.coalesce(F.try_divide(F.sum("kept"), F.sum("asked")), F.lit(1.0)).alias("consistency"), F.bool_and("equal").alias("equal"))
+    out = pairs.alias("p").join(verdict.alias("j"), F.expr("p.doc_id <=> j.doc_id AND p.item_id <=> j.item_id"))
+    word_for_word = F.col("n_same") >= F.ceil(F.col("p.n") * SHARE)
+    return out.where((F.col("consistency") >= SHARE) | word_for_word).select(
         "p.doc_id", "p.item_id", F.col("p.n").cast("long").alias("n_windows"), "p.n_found", (F.col("p.n_found") / F.col("p.n")).alias("containment"),
-        consistency.alias("consistency"), F.when(F.coalesce("j.equal", F.lit(True)), "verbatim").otherwise("reparameterised").alias("kind"),
+        "j.consistency", F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
 
 

@@ -104,6 +104,13 @@ def test_leaks_in_other_forms(spark):
     assert _leaks(spark, rows) == [(1, "reparameterised"), (2, "verbatim"), (3, "verbatim"), (4, "reparameterised"), (5, "verbatim")]
 
 
+def test_leak_beside_a_variant(spark):
+    item = "A train with 40 red seats leaves the old station early and every one of the 40 seats is taken by a child"
+    variant = item.replace("40 red", "31 red").replace("the 40", "the 57")
+    moved = item.replace("40", "66")
+    assert _leaks(spark, [(1, f"{item}. {variant}"), (2, variant), (3, f"{variant}. {moved}. {variant}")], item) == [(1, "verbatim"), (3, "reparameterised")]
+
+
 def test_nearest(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [0.9, 0.1]), (8, [0.9, 0.1]), (None, [1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double, v int".replace(", label int, score double, v int", ""))
