@@ -11,8 +11,8 @@ of their cases is no copy, unless 0.8 of the windows are there word for word. A
 these alignments are the same, else ``reparameterised``.
 
 Defined results: null and empty texts have no windows and never match; texts and items of fewer than five tokens have
-one window of all their tokens; documents with a null doc_id are one document of id null, items with a null item_id one
-item; repeated rows count once.
+one window of all their tokens; rows of different texts are documents of their own, also where they share an id or have
+none (the query gives a row for each); items with a null item_id are one item; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -89,7 +89,8 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, n_found, containment, consistency and kind of every leaked item."""
+    """doc_id, row_key (hash of the text), item_id, n_windows, n_found, containment, consistency and kind of every leaked item."""
+    docs = docs.select(F.struct("doc_id", F.xxhash64("text").alias("row_key")).alias("doc"), "text")
     items = benchmark.select("item_id", "text")
     item_tokens = tokens(items, "item_id")
     both_ways = _places(item_tokens, "item_id", "item_at")
@@ -101,7 +102,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_windows = places.select("item_id", "w", "h", "words").distinct()
     n_rows = places.count()
     known = _small(item_windows.select("h").distinct(), n_rows)
-    every = _places(tokens(docs.select("doc_id", "text"), "doc_id"), "doc_id", "doc_at").select("doc_id", "doc_at", "h")
+    every = _places(tokens(docs, "doc"), "doc", "doc_at").select("doc", "doc_at", "h")
     hits, _ = materialise(every.join(known, "h", "left_semi"), "window-hits")
 
     # The rarest windows of each item; rarity is counted over all documents, under both hashes of a window.
@@ -111,61 +112,61 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ranked = rarity.select("item_id", "w", F.count("*").over(of_item).alias("n"), F.row_number().over(of_item.orderBy("often", "w")).alias("r"))
     rarest = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SHARE) + 1)
     anchors = rarest.alias("r").join(item_windows.alias("w"), F.expr("r.item_id <=> w.item_id AND r.w = w.w")).select("r.item_id", "w.h", "r.n")
-    found = hits.select("doc_id", "h").distinct()
-    candidates = found.join(_small(anchors, n_rows), "h").select("doc_id", "item_id", "n").distinct()
+    found = hits.select("doc", "h").distinct()
+    candidates = found.join(_small(anchors, n_rows), "h").select("doc", "item_id", "n").distinct()
 
     # All windows of the candidates; a window is held under either of its hashes.
-    wanted = candidates.alias("c").join(_small(item_windows, n_rows).alias("w"), F.expr("c.item_id <=> w.item_id")).select("c.doc_id", "c.item_id", "c.n", "w.w", "w.h", "w.words")
-    either = wanted.alias("a").join(found.alias("f"), F.expr("a.h = f.h AND a.doc_id <=> f.doc_id")).groupBy("a.doc_id", "a.item_id", "a.n", "a.w").agg(F.bool_or("words").alias("words"))
-    held = either.groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_found"), F.count_if("words").alias("n_same"))
+    wanted = candidates.alias("c").join(_small(item_windows, n_rows).alias("w"), F.expr("c.item_id <=> w.item_id")).select("c.doc", "c.item_id", "c.n", "w.w", "w.h", "w.words")
+    either = wanted.alias("a").join(found.alias("f"), F.expr("a.h = f.h AND a.doc <=> f.doc")).groupBy("a.doc", "a.item_id", "a.n", "a.w").agg(F.bool_or("words").alias("words"))
+    held = either.groupBy("doc", "item_id", "n").agg(F.count("*").alias("n_found"), F.count_if("words").alias("n_same"))
     pairs, _ = materialise(held.where(F.col("n_found") >= F.ceil(F.col("n") * SHARE)), "leak-pairs")
     n_pairs = pairs.count()
 
     # Values at the places where windows of a pair meet; documents without leaks aren't tokenised again.
-    in_docs = _small(pairs.select("doc_id").distinct(), n_pairs)
-    texts = docs.select("doc_id", "text").alias("d").join(in_docs.alias("p"), F.expr("d.doc_id <=> p.doc_id"), "left_semi")
-    doc_tokens = tokens(texts, "doc_id").where("has_values").select("doc_id", F.posexplode("raw").alias("at", "value")).where(_is_value(F.col("value"))).distinct()
+    in_docs = _small(pairs.select("doc").distinct(), n_pairs)
+    texts = docs.alias("d").join(in_docs.alias("p"), F.expr("d.doc <=> p.doc"), "left_semi")
+    doc_tokens = tokens(texts, "doc").where("has_values").select("doc", F.posexplode("raw").alias("at", "value")).where(_is_value(F.col("value"))).distinct()
     slots = item_tokens.where("has_values").select("item_id", F.posexplode("raw").alias("at", "value")).where(_is_value(F.col("value"))).distinct()
-    met = hits.alias("x").join(_small(pairs, n_pairs).alias("p"), F.expr("x.doc_id <=> p.doc_id")).join(_small(places, n_rows).alias("i"), F.expr("i.item_id <=> p.item_id AND i.h = x.h"))
-    aligned, _ = materialise(met.select("x.doc_id", "i.item_id", "p.n", (F.col("x.doc_at") - F.col("i.item_at")).alias("shift"), "i.item_at", "i.w").distinct(), "alignments")
-    shifts = aligned.select("doc_id", "item_id", "shift", F.explode(F.sequence("item_at", F.col("item_at") + WORDS - 1)).alias("at")).distinct()
+    met = hits.alias("x").join(_small(pairs, n_pairs).alias("p"), F.expr("x.doc <=> p.doc")).join(_small(places, n_rows).alias("i"), F.expr("i.item_id <=> p.item_id AND i.h = x.h"))
+    aligned, _ = materialise(met.select("x.doc", "i.item_id", "p.n", (F.col("x.doc_at") - F.col("i.item_at")).alias("shift"), "i.item_at", "i.w").distinct(), "alignments")
+    shifts = aligned.select("doc", "item_id", "shift", F.explode(F.sequence("item_at", F.col("item_at") + WORDS - 1)).alias("at")).distinct()
     both = (
         shifts.alias("s")
         .join(_small(slots, n_rows).alias("i"), F.expr("i.item_id <=> s.item_id AND i.at = s.at"))
-        .join(doc_tokens.alias("d"), F.expr("d.doc_id <=> s.doc_id AND d.at = s.at + s.shift"))
+        .join(doc_tokens.alias("d"), F.expr("d.doc <=> s.doc AND d.at = s.at + s.shift"))
         .where("left(i.value, 1) = left(d.value, 1)")
     )
-    values = both.select("s.doc_id", "s.item_id", "s.shift", F.col("i.value").alias("asked"), F.col("d.value").alias("put"))
-    mapped = values.groupBy("doc_id", "item_id", "shift", "asked").agg((F.min("put") == F.max("put")).alias("one"), F.bool_and(F.col("put") == F.col("asked")).alias("equal"))
-    judged = mapped.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("asked"), F.sum(F.col("one").cast("int")).alias("kept"), F.bool_and("equal").alias("equal"))
+    values = both.select("s.doc", "s.item_id", "s.shift", F.col("i.value").alias("asked"), F.col("d.value").alias("put"))
+    mapped = values.groupBy("doc", "item_id", "shift", "asked").agg((F.min("put") == F.max("put")).alias("one"), F.bool_and(F.col("put") == F.col("asked")).alias("equal"))
+    judged = mapped.groupBy("doc", "item_id", "shift").agg(F.count("*").alias("asked"), F.sum(F.col("one").cast("int")).alias("kept"), F.bool_and("equal").alias("equal"))
 
     # The best alignments first, as many as hold the share of the windows; only their values decide.
-    each = aligned.groupBy("doc_id", "item_id", "n", "shift").agg(F.count_distinct("w").alias("windows"))
-    known_values = each.alias("e").join(judged.alias("j"), F.expr("e.doc_id <=> j.doc_id AND e.item_id <=> j.item_id AND e.shift = j.shift"), "left")
+    each = aligned.groupBy("doc", "item_id", "n", "shift").agg(F.count_distinct("w").alias("windows"))
+    known_values = each.alias("e").join(judged.alias("j"), F.expr("e.doc <=> j.doc AND e.item_id <=> j.item_id AND e.shift = j.shift"), "left")
     scored = known_values.select("e.*", F.coalesce("asked", F.lit(0)).alias("asked"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("equal", F.lit(True)).alias("equal"))
-    of_pair = Window.partitionBy("doc_id", "item_id")
+    of_pair = Window.partitionBy("doc", "item_id")
     share = F.coalesce(F.try_divide("kept", "asked"), F.lit(1.0))
     ordered, _ = materialise(scored.withColumn("r", F.row_number().over(of_pair.orderBy(F.desc(share), F.desc("equal"), F.desc("windows"), "shift"))), "ranked-alignments")
-    rank_of = ordered.select("doc_id", "item_id", "shift", "r")
-    first = aligned.alias("a").join(rank_of.alias("o"), F.expr("a.doc_id <=> o.doc_id AND a.item_id <=> o.item_id AND a.shift = o.shift")).groupBy("a.doc_id", "a.item_id", "a.w").agg(F.min("r").alias("r"))
-    fresh = first.groupBy("doc_id", "item_id", "r").agg(F.count("*").alias("fresh"))
-    counted = ordered.alias("o").join(fresh.alias("f"), F.expr("o.doc_id <=> f.doc_id AND o.item_id <=> f.item_id AND o.r = f.r"), "left").select("o.*", F.coalesce("fresh", F.lit(0)).alias("fresh"))
+    rank_of = ordered.select("doc", "item_id", "shift", "r")
+    first = aligned.alias("a").join(rank_of.alias("o"), F.expr("a.doc <=> o.doc AND a.item_id <=> o.item_id AND a.shift = o.shift")).groupBy("a.doc", "a.item_id", "a.w").agg(F.min("r").alias("r"))
+    fresh = first.groupBy("doc", "item_id", "r").agg(F.count("*").alias("fresh"))
+    counted = ordered.alias("o").join(fresh.alias("f"), F.expr("o.doc <=> f.doc AND o.item_id <=> f.item_id AND o.r = f.r"), "left").select("o.*", F.coalesce("fresh", F.lit(0)).alias("fresh"))
     before = F.coalesce(F.sum("fresh").over(of_pair.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     best = counted.withColumn("before", before).where(F.col("before") < F.ceil(F.col("n") * SHARE))
-    verdict = best.groupBy("doc_id", "item_id").agg(F.coalesce(F.try_divide(F.sum("kept"), F.sum("asked")), F.lit(1.0)).alias("consistency"), F.bool_and("equal").alias("equal"))
-    out = pairs.alias("p").join(verdict.alias("j"), F.expr("p.doc_id <=> j.doc_id AND p.item_id <=> j.item_id"))
+    verdict = best.groupBy("doc", "item_id").agg(F.coalesce(F.try_divide(F.sum("kept"), F.sum("asked")), F.lit(1.0)).alias("consistency"), F.bool_and("equal").alias("equal"))
+    out = pairs.alias("p").join(verdict.alias("j"), F.expr("p.doc <=> j.doc AND p.item_id <=> j.item_id"))
     word_for_word = F.col("n_same") >= F.ceil(F.col("p.n") * SHARE)
     return out.where((F.col("consistency") >= SHARE) | word_for_word).select(
-        "p.doc_id", "p.item_id", F.col("p.n").cast("long").alias("n_windows"), "p.n_found", (F.col("p.n_found") / F.col("p.n")).alias("containment"),
+        "p.doc.doc_id", "p.doc.row_key", "p.item_id", F.col("p.n").cast("long").alias("n_windows"), "p.n_found", (F.col("p.n_found") / F.col("p.n")).alias("containment"),
         "j.consistency", F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "row_key").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["row_key"]), "left_anti")

@@ -81,13 +81,13 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+    """doc_id, row_key (hash of the text) and fp (the 64 bits as a signed long) of every row."""
 
     @F.pandas_udf("long")
     def bits(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", bits("text").alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("row_key"), bits("text").alias("fp"))
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -120,14 +120,14 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id of the component, by rows of any component member)."""
+    """doc_id, row_key, fp, component_id (smallest doc_id of the component) and component_key (smallest row_key of its rows without id)."""
     prints, _ = materialise(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min(F.when(F.col("doc_id").isNull(), F.col("row_key"))).alias("first_key"))
     roots = components(links(nodes))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", "first_key", F.coalesce("root", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.min("first_key").alias("component_key"))
+    by_print = named.join(smallest, "root").select("fp", "component_id", "component_key")
+    return prints.join(by_print, "fp").select("doc_id", "row_key", "fp", "component_id", "component_key")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +138,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that of the smallest id, and one row of it where id and text repeat.
 
-    Rows with a null id can't be told apart and stay only if their whole component has no id.
+    Different texts that share the smallest id all stay. Rows with a null id are told apart by their text: one of them
+    (of the smallest hash) stays where the whole component has no id, none elsewhere.
     """
     found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    chosen = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | (F.col("row_key") == F.col("component_key")))
+    keep = found.where(chosen).select("doc_id", "row_key").distinct()
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]) & (F.xxhash64(docs["text"]) == keep["row_key"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])

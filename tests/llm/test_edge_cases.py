@@ -111,6 +111,18 @@ def test_leak_beside_a_variant(spark):
     assert _leaks(spark, [(1, f"{item}. {variant}"), (2, variant), (3, f"{variant}. {moved}. {variant}")], item) == [(1, "verbatim"), (3, "reparameterised")]
 
 
+def test_rows_without_or_with_equal_ids_are_told_apart(spark, tmp_path):
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = ["Nothing of that kind is in here at all.", "The cat sat on the mat all night.", ITEM[:60], ITEM[60:]]
+    rows = [(i, t) for i in (None, 7) for t in [f"So. {ITEM}", *clean]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontamination.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, ((i, t) for i in (None, 7) for t in clean)))
+    rows = [(1, clean[0]), (None, clean[0]), (None, clean[1]), (None, clean[1].upper()), (None, clean[2]), (5, clean[3]), (5, clean[0].upper())]
+    kept = sorted((str(r.doc_id), r.text.lower()) for r in simhash.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert kept == [("1", clean[0].lower()), ("5", clean[3].lower()), ("None", clean[2].lower()), ("None", clean[1].lower())]
+
+
 def test_nearest(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [0.9, 0.1]), (8, [0.9, 0.1]), (None, [1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double, v int".replace(", label int, score double, v int", ""))
