@@ -56,17 +56,22 @@ def sessions(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     return rows.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"), F.min(at).alias("first_at"), F.max(at).alias("last_at")).drop("w")
 
 
-def next_as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, bucket: int, horizon: int) -> DataFrame:
-    """For each left row the first right row at or after it, within ``horizon`` seconds; unmatched rows stay.
+def next_as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, bucket: int) -> DataFrame:
+    """For each left row the first right row at or after it, however late; unmatched rows stay.
 
-    Both sides meet in buckets of time, so no row meets the whole other side: a left row looks into its own bucket and the
-    ones up to the horizon. right has the columns right_at and payload (a struct).
+    Both sides meet in buckets of ``bucket`` seconds, so no row meets the whole other side: a left row looks into its own
+    bucket and at the earliest row of the next bucket that has any, which is carried back over the table of buckets. right
+    has the columns right_at and payload (a struct).
     """
     slot = lambda c: F.floor(F.col(c).cast("timestamp").cast("long") / bucket)
-    ahead = left.withColumn("__slot", F.explode(F.sequence(slot(left_at), slot(left_at) + -(-horizon // bucket))))
-    met = ahead.join(right.withColumn("__slot", slot(right_at)), "__slot", "left")
-    fits = (F.col(right_at) >= F.col(left_at)) & (F.col(right_at).cast("timestamp").cast("long") - F.col(left_at).cast("timestamp").cast("long") <= horizon)
-    return met.groupBy(*left.columns).agg(F.min(F.when(fits, F.struct(F.col(right_at), F.col("payload")))).alias("next"))
+    ahead, behind = left.withColumn("__slot", slot(left_at)), right.withColumn("__slot", slot(right_at))
+    row = F.struct(F.col(right_at), F.col("payload"))
+    earliest = behind.where("__slot is not null").groupBy("__slot").agg(F.min(row).alias("__first"))
+    after = Window.orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
+    later = ahead.select("__slot").distinct().join(earliest, "__slot", "full").select("__slot", F.first("__first", ignorenulls=True).over(after).alias("__later"))
+    met = ahead.join(behind, "__slot", "left").join(later, "__slot", "left")
+    own = F.min(F.when(F.col(right_at) >= F.col(left_at), row))
+    return met.groupBy(*left.columns).agg(F.coalesce(own, F.min("__later")).alias("next"))
 
 
 def neighbours(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -74,10 +74,10 @@ def sliding_win(t: Tables) -> DataFrame:
 
 @query("asof_forward", """SELECT a.event_id, b.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'error') a ASOF LEFT JOIN (SELECT ts, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON a.ts <= b.ts WHERE b.ts IS NULL OR epoch(date_trunc('second', b.ts)) - epoch(date_trunc('second', a.ts)) <= 864000""")
 def asof_forward(t: Tables) -> DataFrame:
-    """The first purchase at or after each error; a horizon of ten days bounds the buckets looked into."""
+    """The first purchase at or after each error."""
     left = t.events.where("event_type = 'error'").select("event_id", F.col("ts").alias("at"))
     right = t.events.where("event_type = 'purchase'").select(F.col("ts").alias("run_at"), F.struct("event_id").alias("payload"))
-    return W.next_as_of(left, right, "at", "run_at", 3600 * 6, 864000).select("event_id", F.col("next.payload.event_id").alias("purchase_id"))
+    return W.next_as_of(left, right, "at", "run_at", 3600 * 6).select("event_id", F.col("next.payload.event_id").alias("purchase_id"))
 
 
 @query("latest_state", "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")

@@ -170,3 +170,15 @@ def test_publish_replaces_whole_tables(spark, tmp_path):
 def test_links(spark):
     pages = spark.createDataFrame([(1, "http://x.org/a/", '<a href="b?q=1&amp;r">T <b>1</b></a><a href="/b">2</a><a href="b?q=1&amp;r">again</a>')], "page_id long, url string, html string")
     assert [(r.target, r.title) for r in readers.links(pages).orderBy("at").collect()] == [("http://x.org/a/b?q=1&r", "T 1"), ("http://x.org/b", "2")]
+
+
+def test_next_as_of_finds_later_rows_of_any_distance(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import windows
+
+    starts, runs = [0, 5, 9, 10, 95, 3_000_000, 90_000_000, 90_000_001], [5, 9, 9, 99, 90_000_000]
+    left = spark.createDataFrame([(x,) for x in starts], "a long").select(F.timestamp_seconds("a").alias("at"), "a")
+    right = spark.createDataFrame([(x, i) for i, x in enumerate(runs)], "s long, i int").select(F.timestamp_seconds("s").alias("run_at"), F.struct("i").alias("payload"))
+    got = {r.a: r.next and r.next.payload.i for r in windows.next_as_of(left, right, "at", "run_at", 10).collect()}
+    assert got == {a: next((i for i, x in enumerate(runs) if x >= a), None) for a in starts}
