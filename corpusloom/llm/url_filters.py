@@ -35,22 +35,27 @@ def host_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """list_name, kind, pattern, start, stop (null: still active) of each stretch in which a pattern is listed."""
-    whole = entries.dropna(subset=["list_name", "kind", "pattern", "action", "effective_at"]).withColumn("pattern", F.lower("pattern"))
+    whole = entries.dropna(subset=["list_name", "kind", "pattern", "action", "effective_at"])
+    host = F.lower(F.substring_index("pattern", "/", 1))  # paths keep their letter case
+    folded = F.concat(host, F.substr("pattern", F.length(F.substring_index("pattern", "/", 1)) + 1))
+    whole = whole.withColumn("pattern", F.when(F.col("kind") == "prefix", folded).otherwise(F.lower("pattern")))
     last = whole.groupBy("list_name", "kind", "pattern", "effective_at").agg(F.max("action").alias("action"))  # remove sorts after add
     by_time = Window.partitionBy("list_name", "kind", "pattern").orderBy("effective_at")
     turns = last.withColumn("before", F.lag("action").over(by_time)).where(F.coalesce("before", F.lit("remove")) != F.col("action"))
     return turns.withColumn("stop", F.lead("effective_at").over(by_time)).where("action = 'add'").select("list_name", "kind", "pattern", F.col("effective_at").alias("start"), "stop")
 
 
-def _keys(host: Column, path: Column, depth: Column) -> Column:
-    """All (kind, pattern) that could cover a URL."""
+def _keys(host: Column, path: Column, depth: Column, lengths: list[int]) -> Column:
+    """All (kind, pattern) that could cover a URL. lengths: those of listed prefixes that don't end in a slash."""
     labels = F.split(host, r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.split(path, "/")  # the first part is empty
     cuts = F.least(F.size(parts) - 1, depth)
     folders = F.transform(F.sequence(F.lit(1), cuts), lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
     named = lambda kind, xs: F.transform(xs, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("pattern")))
-    prefixes = F.when(cuts > 0, F.array_distinct(F.concat(folders, F.array(F.concat(host, path))))).otherwise(F.array().cast("array<string>"))
+    none, whole = F.array().cast("array<string>"), F.concat(host, path)
+    cut = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(whole)), lambda n: F.substr(whole, F.lit(1), n)) if lengths else none
+    prefixes = F.array_distinct(F.concat(F.when(cuts > 0, F.concat(folders, F.array(whole))).otherwise(none), cut))
     return F.concat(named("domain", parents), named("host", F.array(host)), named("prefix", prefixes))
 
 
@@ -60,15 +65,16 @@ def judge(captures: DataFrame, entries: DataFrame, bucket: int = BUCKET) -> Data
     n_spans = spans.count()
     depth = spans.where("kind = 'prefix'").agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))).alias("d"))
     deepest = depth.first()["d"] or 0
+    lengths = [r["n"] for r in spans.where("kind = 'prefix' and not endswith(pattern, '/') and pattern <> ''").select(F.length("pattern").alias("n")).distinct().collect()]
     base = captures.select("id", "url", "fetched_at", F.col("fetched_at").cast("long").alias("t"), host_of(F.col("url")).alias("host"))
     latest = base.agg(F.max("t").alias("t")).first()["t"] or 0
     slot = lambda c: F.floor(c / bucket)
-    ends = F.least(F.coalesce(F.col("stop").cast("long") - 1, F.lit(latest)), F.lit(latest))
+    ends = F.least(F.coalesce(F.ceil(F.col("stop").cast("double")) - 1, F.lit(latest)), F.lit(latest))
     first = F.col("start").cast("long")
     listed = spans.where(first <= ends).withColumn("slot", F.explode(F.sequence(slot(first), slot(ends))))
     path = F.coalesce(F.nullif(F.regexp_extract("url", REST, 1), F.lit("")), F.lit("/"))
     distinct = base.where("host is not null and t is not null").select("url", "host", "fetched_at", "t").distinct()
-    asked = distinct.select("url", "fetched_at", slot(F.col("t")).alias("slot"), F.explode(_keys(F.col("host"), path, F.lit(int(deepest)))).alias("k")).select("url", "fetched_at", "slot", "k.*")
+    asked = distinct.select("url", "fetched_at", slot(F.col("t")).alias("slot"), F.explode(_keys(F.col("host"), path, F.lit(int(deepest)), lengths)).alias("k")).select("url", "fetched_at", "slot", "k.*")
     met = asked.join(F.broadcast(listed) if n_spans <= BROADCAST_ROWS else listed, ["kind", "pattern", "slot"]).where("start <= fetched_at and (stop is null or fetched_at < stop)")
     found = met.groupBy("url", "fetched_at").agg(F.count("*").alias("n_matches"), F.min(F.concat_ws(":", "list_name", "kind", "pattern")).alias("first_match"))
     joined = base.join(found, ["url", "fetched_at"], "left")

@@ -164,3 +164,12 @@ def test_url_filters(spark):
     assert sum(n for n, _ in got.values()) == 2 and len(got) == 6
     assert url_filters.judge(captures.limit(0), entries).count() == 0
     assert url_filters.judge(captures, entries.limit(0)).where("blocked").count() == 0
+
+
+def test_url_filters_by_letter_case_length_and_fraction(spark):
+    when = lambda df: df.withColumn("at", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+    captures = when(spark.createDataFrame([(1, "http://Example.com/EN/x", 10.0), (2, "http://example.com/en/x", 10.0), (3, "http://b.example/abcd", 10.0), (4, "http://c.example/", 10.3), (5, "http://d.example/", 20.2)], "id long, url string, at double")).withColumnRenamed("at", "fetched_at")
+    rows = [("prefix", "Example.com/EN/", "add", 1.0), ("prefix", "b.example/ab", "add", 1.0), ("host", "c.example", "add", 10.2), ("host", "c.example", "remove", 10.7), ("host", "d.example", "add", 11.0), ("host", "d.example", "remove", 20.5)]
+    entries = when(spark.createDataFrame([("a", *r) for r in rows], "list_name string, kind string, pattern string, action string, at double")).withColumnRenamed("at", "effective_at")
+    got = {r.id: r.blocked for r in url_filters.judge(captures, entries, bucket=10).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: True}
