@@ -124,13 +124,25 @@ def test_rows_without_or_with_equal_ids_are_told_apart(spark, tmp_path):
 
 
 def test_nearest(spark):
-    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [0.9, 0.1]), (8, [0.9, 0.1]), (None, [1.0, 1.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double, v int".replace(", label int, score double, v int", ""))
-    found = [(r.query_id, r.rank, r.vec_id) for r in nearest.search(vectors, F.col("id") == 1).orderBy("rank").collect()]
-    assert found == [(1, 1, 2), (1, 2, 8)]
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (8, [0.9, 0.1]), (8, [0.9, 0.1]), (None, [1.0, 1.0]), (9, [2.0]), (10, [float("inf"), 0.0])]
+    clashing = "label int, score double, v int, id string, list int, lists string, unit int, part int, bound double, copy int, rank int, query_id int"
+    vectors = spark.createDataFrame([(*r, 1, 0.5, 2, "x", 3, "y", 4, 5, 0.1, 6, 7, 8) for r in rows], f"vec_id long, embedding array<float>, {clashing}")
+    found = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in nearest.search(vectors, F.col("id").isin(1, 7)).collect())
+    assert found == [(1, 1, 2, 0.9), (1, 2, 8, 0.9), (7, 1, 9, 2.0)]
     assert nearest.search(vectors.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_is_whole_whatever_the_groups(spark):
+    rng = np.random.default_rng(5)
+    equal = [(i, [1.0, 2.0, 2.0]) for i in range(1, 401)]
+    found = [(r.query_id, r.vec_id) for r in nearest.search(spark.createDataFrame(equal, "vec_id long, embedding array<float>"), F.col("id").isin(3, 300)).orderBy("query_id", "rank").collect()]
+    assert found == [(3, i) for i in range(1, 22) if i != 3] + [(300, i) for i in range(1, 21)]
+    few = [(i, list(map(float, v))) for i, v in enumerate(rng.standard_normal((60, 4)))]
+    x = np.array([v for _, v in few], np.float32).astype(float)
+    found = nearest.search(spark.createDataFrame(equal[:0] + few, "vec_id long, embedding array<float>"), F.lit(True), k=80).toPandas()
+    assert len(found) == 60 * 59 and np.allclose(found.score, (x[found.query_id] * x[found.vec_id]).sum(axis=1), atol=1e-12)
+
+
 def test_nearest_of_many_equal_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((1800, 24))
