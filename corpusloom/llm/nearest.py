@@ -10,7 +10,8 @@ abandoned when the hypothesis that it is within the query's bound is rejected at
 partial > bound * quantile(1 - ALPHA; beta(d / 2, (D - d) / 2)).
 Of what is left after the last block, all whose distance is within rounding of the k-th smallest have their exact inner
 product computed from the original vectors in double precision, so that ties go to the smaller id however many they are.
-The first round scans the nearest eighth of a query's lists and sets its bound; the second scans the others against it.
+The first round scans the lists nearest to a query, until they hold START * (k + 1) vectors, and sets its bound; the
+second scans as many as make an eighth of its lists against that bound, the third the others against the better one.
 
 Lists that lie close together form a unit of about UNIT vectors, which is one task's work, so a query travels once for
 many lists. A unit that holds more is cut by a hash of the id, and its queries into groups of QUERIES. Of equal vectors
@@ -43,6 +44,8 @@ COLUMNS, ALPHA = 16, 0.002
 TARGET, CALIBRATED = 0.96, 256
 #: Vectors in a unit of lists, queries that meet it in one task, and queries computed at a time.
 UNIT, QUERIES, TILE = 2_048, 4_096, 256
+#: How many times k + 1 vectors the first round scans for each query.
+START = 8
 #: Share of pairs still alive below which partial distances are summed pair by pair rather than by whole matrices.
 SPARSE = 0.1
 #: More than rounding changes a whole squared distance (these are 4 at most).
@@ -78,6 +81,10 @@ class Coarse(NamedTuple):
         c = self.centroids
         return (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)
 
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """Number of the nearest centroid of each row, computed a few rows at a time."""
+        return np.concatenate([self.distances(x[i : i + TILE]).argmin(axis=1) for i in range(0, len(x), TILE)] or [[]]).astype(np.int32)
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """Centroids of k clusters or fewer; those that nothing is nearest to are dropped."""
@@ -105,7 +112,7 @@ def fit(rows: DataFrame, total: int, norm: float) -> Coarse:
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
     near = (-asked @ original.T).argsort(axis=1)[:, : K + 1]
-    needed = np.take_along_axis(place, coarse.distances(x).argmin(axis=1)[near], axis=1)
+    needed = np.take_along_axis(place, coarse.nearest(x)[near], axis=1)
     return coarse._replace(probes=int(min(order.shape[1], 1 + np.quantile(needed, TARGET, method="higher"))))
 
 
@@ -192,7 +199,7 @@ def search_one_length(rows: DataFrame, is_query: Column, k: int, kept: list[str]
 
     @F.pandas_udf("int")
     def nearest_list(v: pd.Series) -> pd.Series:
-        return pd.Series(coarse.distances(coarse.vectors(_matrix(v))).argmin(axis=1).astype(np.int32))
+        return pd.Series(coarse.nearest(coarse.vectors(_matrix(v))))
 
     listed = stored(few.select("id", "v", nearest_list("v").alias("list")), "lists")
     # One number for each list: how many vectors it holds, by which lists are put together to units.
@@ -201,21 +208,29 @@ def search_one_length(rows: DataFrame, is_query: Column, k: int, kept: list[str]
     for r in listed.groupBy("list").count().collect():
         size[r["list"]] = r["count"]
     heads = kmeans(coarse.centroids, int(max(1, size.sum() // UNIT)), 5, rng)
-    unit_of = coarse._replace(centroids=heads).distances(coarse.centroids).argmin(axis=1)
+    unit_of = coarse._replace(centroids=heads).nearest(coarse.centroids)
     parts = np.maximum(1, -(-np.bincount(unit_of, weights=size, minlength=len(heads)).astype(np.int64) // UNIT))
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One row for each query, round and unit, with the lists of that unit that the query probes."""
         for b in batches:
-            order = np.argsort(coarse.distances(coarse.queries(_matrix(b["v"]))), axis=1, kind="stable")
-            enough = (np.cumsum(size[order], axis=1) < k + 1).sum(axis=1) + 1
-            for q, v, lists, n in zip(b["id"], b["v"], order, np.clip(np.maximum(enough, coarse.probes), 1, n_lists)):
-                first = max(1, n // 8)
-                for turn, probed in ((1, lists[:first]), (2, lists[first:n])):
-                    units = unit_of[probed]
-                    found = [(int(u), probed[units == u].astype(np.int32)) for u in np.unique(units)]
-                    if found:
-                        yield pd.DataFrame({"id": q, "v": [v] * len(found), "turn": turn, "unit": [u for u, _ in found], "lists": [x for _, x in found]})
+            for at in range(0, len(b), TILE):
+                tile = b.iloc[at : at + TILE]
+                order = np.argsort(coarse.distances(coarse.queries(_matrix(tile["v"]))), axis=1, kind="stable")
+                held = np.cumsum(size[order], axis=1)
+                until = lambda n: np.minimum((held < n).sum(axis=1) + 1, n_lists)
+                last = np.maximum(until(k + 1), min(coarse.probes, n_lists))
+                one = np.minimum(until(START * (k + 1)), last)
+                two = np.clip(last // 8, one, last)
+                place = np.arange(n_lists)[None, :]
+                turn = 1 + (place >= one[:, None]).astype(int) + (place >= two[:, None])
+                q, p = np.nonzero(place < last[:, None])
+                lists, turns = order[q, p], turn[q, p]
+                units = unit_of[lists]
+                by = np.lexsort((lists, units, turns, q))
+                q, lists, turns, units = q[by], lists[by], turns[by], units[by]
+                new = np.flatnonzero(np.r_[True, (np.diff(q) != 0) | (np.diff(turns) != 0) | (np.diff(units) != 0)])
+                yield pd.DataFrame({"id": tile["id"].to_numpy()[q[new]], "v": tile["v"].to_numpy()[q[new]], "turn": turns[new], "unit": units[new], "lists": np.split(lists.astype(np.int32), new[1:])})
 
     asked = rows.where(is_query)
     heads_asked = stored(asked.groupBy("v").agg(F.min("id").alias("id")), "queries")
@@ -241,11 +256,17 @@ def search_one_length(rows: DataFrame, is_query: Column, k: int, kept: list[str]
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
-    start = stored(top(one_round(1, routes.where("turn = 1").withColumn("bound", F.lit(None).cast("double")))).drop("rank"), "first-round")
-    bounds = start.groupBy("query_id").agg(F.when(F.count("*") > k, F.min("score")).alias("bound"))
-    rest = routes.where("turn = 2").join(bounds, F.col("id") == F.col("query_id"), "left").drop("query_id")
-    both_rounds = top(start.unionByName(one_round(2, rest))).select("query_id", F.struct("rank", "id", "score").alias("hit"))
-    hits = both_rounds.groupBy("query_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))  # k + 1 at most
+    sofar = None
+    for turn in (1, 2, 3):
+        queries = routes.where(F.col("turn") == turn)
+        if sofar is None:
+            found = one_round(turn, queries.withColumn("bound", F.lit(None).cast("double")))
+        else:
+            bounds = sofar.groupBy("query_id").agg(F.when(F.count("*") > k, F.min("score")).alias("bound"))
+            found = sofar.unionByName(one_round(turn, queries.join(bounds, F.col("id") == F.col("query_id"), "left").drop("query_id")))
+        sofar = stored(top(found).select("query_id", "id", "score", "rank"), "round").drop("rank") if turn < 3 else top(found)
+    all_rounds = sofar.select("query_id", F.struct("rank", "id", "score").alias("hit"))
+    hits = all_rounds.groupBy("query_id").agg(F.array_sort(F.collect_list("hit")).alias("hits"))  # k + 1 at most
     each = asked.join(heads_asked.select("v", F.col("id").alias("head")), "v").select("id", "head").join(hits, F.col("head") == F.col("query_id"))
     others = F.slice(F.filter("hits", lambda h: h["id"] != F.col("id")), 1, k)
     return each.select(F.col("id").alias("query_id"), F.posexplode(others).alias("place", "hit")).select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), "hit.score")
