@@ -7,8 +7,8 @@ near its place. So each line probes the index for all lengths down to MAX_EDITS
 which such a segment can stand (multi-match-aware selection). What meets must agree in its counts of common letters (an
 edit changes two of them by one), which the join itself tests, and is verified with a banded bit-parallel edit distance: bit
 b of a word stands for the b-th diagonal, there is a word for each number of edits, and a column takes a few operations on
-whole words. Segments that very many lines share are indexed under two letter counts as well, and probed within MAX_EDITS of
-each; that loses no link and keeps such groups from meeting as a whole.
+whole words. Lines of a segment that very many share are told apart by the segments of what is left of them without it,
+and so on (``candidates``); that loses no link and keeps such groups from meeting as a whole.
 
 A line's class is kept where it comes first: an occurrence is removed unless it is the first one of its text (by
 document id, then line number) and no line within MAX_EDITS edits comes before it (by document id, then by text).
@@ -29,8 +29,8 @@ from corpusloom.llm.common import materialise, table
 MIN_CHARS, MAX_EDITS = 20, 1
 #: Letters counted by the filter; any would be right, common ones sort out most.
 LETTERS = "etanioshr"[:8]
-#: Distinct lines that share an indexed segment before its group is told apart by letter counts.
-HOT = 200
+#: Pairs for each line of a group that shares a segment, beyond which its lines are told apart by their rests.
+HOT = 50
 #: Line hashes (8 bytes each) up to which they are broadcast to fetch texts; beyond that the join shuffles.
 BROADCAST_ROWS = 2_000_000
 LAST = (1 << 63) - 1
@@ -60,11 +60,6 @@ def measured(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"chars": F.length("line"), "sig": sig})
 
 
-def _letters_in(sig: Column, start: int) -> Column:
-    """Sum of every second count from ``start``, modulo 256."""
-    return reduce(lambda x, y: x + y, (F.shiftright(sig, 8 * k).bitwiseAND(255) for k in range(start, len(LETTERS), 2)))
-
-
 def _letters_agree(a: Column, b: Column, edits: int) -> Column:
     def apart(k: int) -> Column:
         d = F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255))
@@ -101,51 +96,116 @@ def distance(xs: Column, ys: Column, edits: int) -> Column:
     return F.aggregate(columns, start, step, read)
 
 
+def _places(n: Column, edits: int) -> list[tuple[int, Column, Column]]:
+    """(number, start, length) of the segments of n characters."""
+    return [(i, *_segment(n, i, edits + 1)) for i in range(edits + 1)]
+
+
+def _shifts(i: int, less: int, edits: int) -> range:
+    """Places, from that of the i-th segment, at which a line longer by ``less`` can hold it (multi-match-aware selection)."""
+    return range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+
+
+def _piece(text: Column, context: list[Column], size: Column, i: int, start: Column, length: Column) -> Column:
+    """Key of one segment, with its place, so that the rest of the text can be told later."""
+    key = F.xxhash64(*context, size, F.lit(i), F.substring(text, start, length))
+    return F.struct(key.alias("key"), start.alias("start"), length.alias("length"))
+
+
+def _own(text: Column, context: list[Column], n: Column, edits: int) -> Column:
+    """The segments under which a text is indexed."""
+    return F.array(*(_piece(text, context, n, i, start, length) for i, start, length in _places(n, edits)))
+
+
+def _asked(text: Column, context: list[Column], n: Column, less: int, edits: int, unmoved: bool) -> Column:
+    """What a text of n characters looks for among texts shorter by ``less``; ``unmoved``: at their own places, too."""
+    size, out = n - less, []
+    for i, start, length in _places(size, edits):
+        out += [_piece(text, context, size, i, start + shift, length) for shift in _shifts(i, less, edits) if less or shift or unmoved]
+    return F.array(*out)
+
+
+def _without(text: Column, start: Column, length: Column) -> Column:
+    """The text without one segment."""
+    return F.concat(F.substring(text, F.lit(1), start - 1), F.substr(text, start + length))
+
+
+def _meeting(x: DataFrame, y: DataFrame, edits: int) -> DataFrame:
+    """Candidates (a, b) under equal keys: of equally long lines each pair once, letter counts as near as edits allow."""
+    met = (F.col("x.key") == F.col("y.key")) & _letters_agree(F.col("x.sig"), F.col("y.sig"), edits)
+    once = (F.col("y.less") > 0) | (F.col("x.h") < F.col("y.h"))
+    return x.alias("x").join(y.alias("y"), met & once).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+
+
+def _crowded(sides: DataFrame, hot: int) -> tuple[DataFrame, int]:
+    """Keys whose rows would make over ``hot`` pairs each, and their number. sides: key, x (indexed rows), n (indexed and looking)."""
+    sizes = sides.groupBy("key").agg(F.sum("x").alias("nx"), F.sum("n").alias("n"))
+    found, _ = materialise(sizes.where(F.col("nx") * (F.col("n") - F.col("nx")) > hot * F.col("n")).select("key"), "crowded-segments")
+    return found, found.count()
+
+
+def _finer(x: DataFrame, y: DataFrame, edits: int) -> list[DataFrame]:
+    """Both sides of crowded keys under the segments of ``text``, which is what is left of a line, and without them."""
+    text, key = F.col("text"), [F.col("key")]
+    asked = F.lit(None)
+    for less in range(edits, -1, -1):
+        asked = F.when(F.col("less") == less, _asked(text, key, F.length(text), less, edits, True)).otherwise(asked)
+    out = []
+    for side, pieces in ((x, _own(text, key, F.length(text), edits)), (y, asked)):
+        each = side.select("h", "sig", "less", "text", F.explode(pieces).alias("p"))
+        rest = _without(F.col("text"), F.col("p.start"), F.col("p.length"))
+        out.append(materialise(each.select("h", "sig", "less", "p.key", rest.alias("text")), "finer-segments")[0])
+    return out
+
+
+def candidates(lines: DataFrame, edits: int = MAX_EDITS, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b) of line hashes that share a segment, and where it is crowded segments of the rest as well.
+
+    lines: as ``measured`` gives them, distinct. A key is crowded if its lines would make more than ``hot`` pairs each.
+    Two lines that share a segment are within ``edits`` edits only if what is left of them without it is, so a crowded
+    key's lines are split by the segments of their rests, and those again as long as they are crowded; each step leaves
+    a smaller rest. Lines that still meet when ``edits`` characters are left agree in all others.
+    """
+    text, n = F.col("line"), F.col("chars")
+    own = lines.select("h", "sig", F.lit(0).cast("byte").alias("less"), "line", F.explode(_own(text, [], n, edits)).alias("p"))
+    longer_by = range(0 if edits > 1 else 1, edits + 1)  # with one edit, equally long lines share an unmoved segment
+
+    def marked(less: int) -> Column:
+        return F.transform(_asked(text, [], n, less, edits, False), lambda p: F.struct(F.lit(less).cast("byte").alias("less"), p.alias("p")))
+
+    other = lines.select("h", "sig", "line", F.explode(F.concat(*map(marked, longer_by))).alias("q")).select("h", "sig", "q.less", "line", "q.p")
+    x, moved = (df.select("h", "sig", "less", "p.key", "line", "p.start", "p.length") for df in (own, other))
+    # A line's own segments are both indexed and looked for.
+    side = lambda df, x, n: df.select("key", F.lit(x).alias("x"), F.lit(n).alias("n"))
+    crowded, n_crowded = _crowded(side(x, 1, 2).union(side(moved, 0, 1)), hot)
+    marks = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
+    kept = (lambda df: df.join(marks, "key", "left_anti")) if n_crowded else (lambda df: df)
+    found = [_meeting(kept(x), kept(x), edits), _meeting(kept(x), kept(moved), edits)]
+    rest = _without(F.col("line"), F.col("start"), F.col("length")).alias("text")
+    y = x.unionByName(moved).join(marks, "key", "left_semi").select("h", "sig", "less", "key", rest)
+    x = x.join(marks, "key", "left_semi").select("h", "sig", "less", "key", rest)
+    while n_crowded:
+        x, y = _finer(x, y, edits)
+        open_ended = F.length("text") - F.col("less") > edits
+        crowded, n_crowded = _crowded(side(x.where(open_ended), 1, 1).union(side(y.where(open_ended), 0, 1)), hot)
+        marks = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
+        found.append(_meeting(x.join(marks, "key", "left_anti"), y.join(marks, "key", "left_anti"), edits))
+        x, y = x.join(marks, "key", "left_semi"), y.join(marks, "key", "left_semi")
+    return reduce(DataFrame.union, found).distinct()
+
+
 def edit_links(lines: DataFrame, edits: int = MAX_EDITS, hot: int = HOT) -> DataFrame:
     """Pairs (h, line, other_h, other) of lines within ``edits`` edits. lines: as ``measured`` gives them, distinct."""
-    parts, n = edits + 1, F.col("chars")
-    key = lambda size, i, start, length: F.xxhash64(size, F.lit(i), F.substring("line", start, length))
-    own, probes = [], []
-    for i in range(parts):
-        start, length = _segment(n, i, parts)
-        own.append(key(n, i, start, length))
-    for less in range(edits + 1):
-        size = n - less
-        for i in range(parts):
-            start, length = _segment(size, i, parts)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                if less or shift:  # an unmoved segment of an equally long line is an indexed one
-                    probes.append((less, key(size, i, start + shift, length)))
-    index = lines.select("h", "sig", F.explode(F.array(*own)).alias("key"))
-    asked = lines.select("h", "sig", F.explode(F.array(*(F.struct(F.lit(less).cast("byte").alias("less"), k.alias("key")) for less, k in probes))).alias("p")).select("h", "sig", "p.less", "p.key")
-    crowded, _ = materialise(index.groupBy("key").count().where(F.col("count") > hot).select("key"), "crowded-segments")
-    n_crowded = crowded.count()
-
-    def spread(df: DataFrame, near: int) -> DataFrame:
-        """Rows of crowded segments under two letter counts (and all counts within ``near`` of them)."""
-        if not n_crowded:
-            return df
-        mark = crowded.select("key", F.lit(True).alias("crowded"))
-        around = F.sequence(F.lit(-near), F.lit(near))
-        at = lambda start, d: (_letters_in(F.col("sig"), start) + d).bitwiseAND(255)
-        finer = F.flatten(F.transform(around, lambda a: F.transform(around, lambda b: F.xxhash64("key", at(0, a), at(1, b)))))
-        marked = df.join(F.broadcast(mark) if n_crowded <= BROADCAST_ROWS else mark, "key", "left")
-        return marked.withColumn("key", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("key")))).drop("crowded")
-
-    agree = _letters_agree(F.col("x.sig"), F.col("y.sig"), edits) & (F.col("x.key") == F.col("y.key"))
-    narrow, wide = spread(index, 0).alias("x"), spread(index, edits).alias("y")
-    unmoved = narrow.join(wide, agree & (F.col("x.h") < F.col("y.h")))
-    moved = narrow.join(spread(asked, edits).alias("y"), agree & ((F.col("y.less") > 0) | (F.col("x.h") != F.col("y.h"))))
-    ends = [F.col("x.h").alias("a"), F.col("y.h").alias("b")]
-    pairs, _ = materialise(unmoved.select(*ends).union(moved.select(*ends)).distinct(), "line-candidates")
+    pairs, _ = materialise(candidates(lines, edits, hot), "line-candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     n_ids = 2 * pairs.count()
     texts, _ = materialise(lines.select("h", "line").join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, "h", "left_semi"), "candidate-lines")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+    line_a, line_b = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
+    both = pairs.join(line_a, "a").join(line_b, "b")
     swap = F.length("line_a") > F.length("line_b")
-    sides = [F.when(swap, F.col(f"{c}_b" if c == "line" else "b")).otherwise(F.col(f"{c}_a" if c == "line" else "a")).alias(name) for c, name in (("id", "a"), ("line", "line_a"))]
-    others = [F.when(swap, F.col("line_a" if c == "line" else "a")).otherwise(F.col("line_b" if c == "line" else "b")).alias(name) for c, name in (("id", "b"), ("line", "line_b"))]
-    ordered = both.select(*sides, *others).distinct()
+    first = [F.when(swap, F.col(other)).otherwise(F.col(own)).alias(own) for own, other in (("a", "b"), ("line_a", "line_b"))]
+    second = [F.when(swap, F.col(own)).otherwise(F.col(other)).alias(other) for own, other in (("a", "b"), ("line_a", "line_b"))]
+    ordered = both.select(*first, *second).distinct()
     signs = ordered.withColumns({"xs": F.split("line_a", ""), "ys": F.split("line_b", "")})  # a projection of its own: each is read many times
     # A generator rather than a filter, which would be pushed below the projection and split the lines for each sign.
     within = F.filter(F.array(distance(F.col("xs"), F.col("ys"), edits)), lambda d: d > 0)
@@ -158,10 +218,9 @@ def verdicts(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     grouped = occurrences(docs).groupBy("line").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).select(F.xxhash64("line").alias("h"), "line", "first_doc", "n")
     lines, _ = materialise(measured(grouped), "lines")
     links, _ = materialise(edit_links(lines, edits), "line-links")
-    first = lines.select(F.col("line").alias("t"), "first_doc")
     n_links = links.count()
-    linked = links.select("line").union(links.select("other")).distinct()
-    starts, _ = materialise(first.join(F.broadcast(linked) if n_links <= BROADCAST_ROWS // 20 else linked, F.col("t") == F.col("line"), "left_semi"), "linked-lines")
+    linked = links.select("h").union(links.select(F.col("other_h").alias("h"))).distinct()
+    starts, _ = materialise(lines.join(F.broadcast(linked) if 2 * n_links <= BROADCAST_ROWS else linked, "h", "left_semi").select(F.col("line").alias("t"), "first_doc"), "linked-lines")
     a, b = starts.select(F.col("t").alias("line"), F.col("first_doc").alias("doc_a")), starts.select(F.col("t").alias("other"), F.col("first_doc").alias("doc_b"))
     ordered = links.join(a, "line").join(b, "other").withColumn("forward", F.struct("doc_a", "line") < F.struct("doc_b", "other"))
     ends = ordered.select(F.explode(F.array(F.struct(F.col("line").alias("t"), (~F.col("forward")).alias("later")), F.struct(F.col("other").alias("t"), F.col("forward").alias("later")))).alias("e")).select("e.*")

@@ -106,6 +106,24 @@ def test_edit_links(spark, edits, hot):
     assert got == {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if _distance(a, b) <= edits}
 
 
+def test_template_lines_make_few_candidates(spark):
+    """Lines that share half of their text, or all but some digits, meet in proportion to their number, not to its square."""
+    random.seed(2)
+    n = 3000
+    lines = {f"{random.randrange(10**9, 10**10)} the package left the depot" for _ in range(n)} | {f"page {i:05d} of the yearly report of the office" for i in range(n)}
+    lines |= {x + "s" for x in list(lines)[::3]}
+    df = line_dedup.measured(spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line"))
+    assert line_dedup.candidates(df).count() < 120 * len(lines)
+    got = {tuple(sorted((r.line, r.other))) for r in line_dedup.edit_links(df).collect()}
+    holes = {}
+    for x in lines:
+        for i in range(len(x)):
+            holes.setdefault((x[:i], x[i + 1 :]), []).append(x)
+    want = {(a, b) for group in holes.values() for a in group for b in group if a < b}
+    want |= {tuple(sorted((x, a + b))) for x in lines for a, b in ((x[:i], x[i + 1 :]) for i in range(len(x))) if a + b in lines}
+    assert got == want and len(want) > n
+
+
 def test_golay_code():
     words = np.arange(0, 1 << 23, 997)
     own, keys = simhash.fuzzy_keys(words)
@@ -158,9 +176,9 @@ def test_reparameterised_questions(spark):
     item = "In March the farmer John sold 25 apples and 13 pears to Mary for 7 dollars a week in Boston. How many apples did John sell?"
     same = item.replace("John", "Peter").replace("25", "31").replace("Mary", "Anna")
     mixed = "In March the farmer Peter sold 31 apples and 19 pears to Anna for 9 dollars a week in Denver. How many apples did Karl sell and when did Peter or John or Mary sell?"
-    docs = spark.createDataFrame([(1, f"So. {same}"), (2, item), (3, "Nothing of that kind is in here at all.")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, f"So. {same}"), (2, item), (3, "Nothing of that kind is in here at all."), (4, mixed)], "doc_id long, text string")
     found = {r.doc_id: r.kind for r in decontamination.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert found == {1: "reparameterised", 2: "verbatim"} and mixed
+    assert found == {1: "reparameterised", 2: "verbatim"}
 
 
 def test_nearest_recall(spark, small):
