@@ -104,6 +104,15 @@ def test_leaks_in_other_forms(spark):
     assert _leaks(spark, rows) == [(1, "reparameterised"), (2, "verbatim"), (3, "verbatim"), (4, "reparameterised"), (5, "verbatim")]
 
 
+def test_values_must_map_one_to_one(spark):
+    """A value that recurs becomes one value, and two values don't become the same."""
+    two_names = ITEM.replace("farmer John", "farmer Peter").replace("did John", "did Karl")
+    one_number = ITEM.replace("25", "31").replace("13", "31").replace(" 7 ", " 31 ").replace("farmer John", "farmer Peter").replace("did John", "did Boris")
+    merged = ITEM.replace("25", "31").replace("13", "31").replace("John", "Peter").replace("Mary", "Anna").replace("7", "9")
+    kept = ITEM.replace("25", "31").replace("13", "19").replace("John", "Peter").replace("Mary", "Anna").replace("7", "9")
+    assert _leaks(spark, [(1, kept), (2, merged), (3, one_number), (4, f"Well, {two_names.replace('25', '31').replace('13', '19').replace('Mary', 'Anna').replace('7', '9')}")]) == [(1, "reparameterised")]
+
+
 def test_leak_beside_a_variant(spark):
     item = "A train with 40 red seats leaves the old station early and every one of the 40 seats is taken by a child"
     variant = item.replace("40 red", "31 red").replace("the 40", "the 57")
@@ -183,5 +192,14 @@ def test_url_filters_by_letter_case_length_and_fraction(spark):
     captures = when(spark.createDataFrame([(1, "http://Example.com/EN/x", 10.0), (2, "http://example.com/en/x", 10.0), (3, "http://b.example/abcd", 10.0), (4, "http://c.example/", 10.3), (5, "http://d.example/", 20.2)], "id long, url string, at double")).withColumnRenamed("at", "fetched_at")
     rows = [("prefix", "Example.com/EN/", "add", 1.0), ("prefix", "b.example/ab", "add", 1.0), ("host", "c.example", "add", 10.2), ("host", "c.example", "remove", 10.7), ("host", "d.example", "add", 11.0), ("host", "d.example", "remove", 20.5)]
     entries = when(spark.createDataFrame([("a", *r) for r in rows], "list_name string, kind string, pattern string, action string, at double")).withColumnRenamed("at", "effective_at")
-    got = {r.id: r.blocked for r in url_filters.judge(captures, entries, bucket=10).collect()}
+    got = {r.id: r.blocked for r in url_filters.judge(captures, entries, part=2).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True, 5: True}
+
+
+def test_url_filters_with_seconds_over_years(spark):
+    rows = [(i, "http://a.example/x", i * 1000) for i in range(0, 100_000, 997)]
+    captures = spark.createDataFrame([(i, u, t) for i, u, t in rows], "id long, url string, fetched_at long")
+    entries = spark.createDataFrame([("l", "domain", "a.example", a, t) for a, t in (("add", 0), ("remove", 30_000_000), ("add", 60_000_001), ("remove", 94_000_000))] + [("m", "host", "a.example", "add", 50_000_000), ("m", "prefix", "a.example/X", "add", 0)], "list_name string, kind string, pattern string, action string, effective_at long")
+    want = {i: int(t < 30_000_000 or 60_000_001 <= t < 94_000_000) + int(t >= 50_000_000) for i, _, t in rows}
+    for part in (7, 50_000):
+        assert {r.id: r.n_matches for r in url_filters.judge(captures, entries, part).collect()} == want
