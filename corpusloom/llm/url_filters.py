@@ -1,9 +1,12 @@
 """URL filters with temporal lists: every capture is judged by the entries that were active when it was fetched.
 
 Dated list entries (add or remove a pattern) become validity intervals. A capture asks for all patterns that could
-cover its URL (each parent domain, the host, each path prefix up to the depth that patterns have), and an as-of join
-on (kind, pattern, time bucket) keeps the entries whose interval holds the fetch time. Buckets of time bound how many
-intervals of one pattern a capture meets, and spread a host with very many captures.
+cover its URL (each parent domain, the host, each path prefix up to the depth that patterns have); those that some list
+has go on, one row for each list. An as-of join then gives each the last interval of that list and pattern that begins
+at or before its fetch: both sides are put in one order of time, and the interval is carried forward. Nothing is
+exploded over time, so neither the unit of time nor the length of an interval matters. The captures of a pattern are
+dealt to as many parts as hold PART of them, with the pattern's intervals in each, so a host with very many captures is
+no single task.
 
 Tables: captures (id, url, fetched_at), entries (list_name, kind in domain/host/prefix, pattern, action in add/remove,
 effective_at); times are timestamps or whole numbers.
@@ -20,9 +23,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import table
 
-#: Width of a time bucket, in seconds (or in units of whole-number times).
-BUCKET = 64
-#: Interval rows up to which they are broadcast (about 100 bytes each); beyond that the join shuffles.
+#: Captures of a pattern in one part of the as-of join.
+PART = 50_000
+#: Listed patterns up to which they are broadcast (about 100 bytes each); beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 REST = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?"
@@ -59,24 +62,35 @@ def _keys(host: Column, path: Column, depth: Column, lengths: list[int]) -> Colu
     return F.concat(named("domain", parents), named("host", F.array(host)), named("prefix", prefixes))
 
 
-def judge(captures: DataFrame, entries: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def as_of(asked: DataFrame, spans: DataFrame, key: list[str], part: int = PART) -> DataFrame:
+    """The rows of ``asked`` (key, at and others) with begun: the last span (start, stop) of their key that starts at or before ``at``."""
+    parts = asked.groupBy(*key).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    dealt = asked.withColumn("__row", F.struct(*asked.columns)).join(parts, key).withColumn("__part", F.pmod(F.xxhash64(*(c for c in asked.columns if c not in key)), "parts").cast("int"))
+    copies = spans.join(parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    span = spans.select(F.struct("start", "stop").alias("s")).schema["s"].dataType
+    # Spans come before the captures of the same instant, as an interval holds its start.
+    left = dealt.select(*key, "__part", "at", F.lit(1).alias("__side"), "__row", F.lit(None).cast(span).alias("__span"))
+    right = copies.select(*key, "__part", F.col("start").alias("at"), F.lit(0).alias("__side"), F.lit(None).cast(dealt.schema["__row"].dataType).alias("__row"), F.struct("start", "stop").alias("__span"))
+    by_time = Window.partitionBy(*key, "__part").orderBy("at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    carried = left.unionByName(right).withColumn("begun", F.last("__span", ignorenulls=True).over(by_time))
+    return carried.where("__side = 1").select("__row.*", "begun")
+
+
+def judge(captures: DataFrame, entries: DataFrame, part: int = PART) -> DataFrame:
     """Captures with host, n_matches (lists and patterns that were active), first_match and blocked."""
     spans = intervals(entries)
-    n_spans = spans.count()
     depth = spans.where("kind = 'prefix'").agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))).alias("d"))
     deepest = depth.first()["d"] or 0
     lengths = [r["n"] for r in spans.where("kind = 'prefix' and not endswith(pattern, '/') and pattern <> ''").select(F.length("pattern").alias("n")).distinct().collect()]
-    base = captures.select("id", "url", "fetched_at", F.col("fetched_at").cast("long").alias("t"), host_of(F.col("url")).alias("host"))
-    latest = base.agg(F.max("t").alias("t")).first()["t"] or 0
-    slot = lambda c: F.floor(c / bucket)
-    ends = F.least(F.coalesce(F.ceil(F.col("stop").cast("double")) - 1, F.lit(latest)), F.lit(latest))
-    first = F.col("start").cast("long")
-    listed = spans.where(first <= ends).withColumn("slot", F.explode(F.sequence(slot(first), slot(ends))))
+    base = captures.select("id", "url", "fetched_at", host_of(F.col("url")).alias("host"))
     path = F.coalesce(F.nullif(F.regexp_extract("url", REST, 1), F.lit("")), F.lit("/"))
-    distinct = base.where("host is not null and t is not null").select("url", "host", "fetched_at", "t").distinct()
-    asked = distinct.select("url", "fetched_at", slot(F.col("t")).alias("slot"), F.explode(_keys(F.col("host"), path, F.lit(int(deepest)), lengths)).alias("k")).select("url", "fetched_at", "slot", "k.*")
-    met = asked.join(F.broadcast(listed) if n_spans <= BROADCAST_ROWS else listed, ["kind", "pattern", "slot"]).where("start <= fetched_at and (stop is null or fetched_at < stop)")
-    found = met.groupBy("url", "fetched_at").agg(F.count("*").alias("n_matches"), F.min(F.concat_ws(":", "list_name", "kind", "pattern")).alias("first_match"))
+    distinct = base.where("host is not null and fetched_at is not null").select("url", "host", F.col("fetched_at").alias("at")).distinct()
+    asked = distinct.select("url", "at", F.explode(_keys(F.col("host"), path, F.lit(int(deepest)), lengths)).alias("k")).select("url", "at", "k.*")
+    listed = spans.select("list_name", "kind", "pattern").distinct()
+    n_listed = listed.count()
+    known = asked.join(F.broadcast(listed) if n_listed <= BROADCAST_ROWS else listed, ["kind", "pattern"])
+    met = as_of(known, spans, ["list_name", "kind", "pattern"], part).where("begun is not null and (begun.stop is null or at < begun.stop)")
+    found = met.groupBy("url", F.col("at").alias("fetched_at")).agg(F.count("*").alias("n_matches"), F.min(F.concat_ws(":", "list_name", "kind", "pattern")).alias("first_match"))
     joined = base.join(found, ["url", "fetched_at"], "left")
     n = F.coalesce("n_matches", F.lit(0)).cast("long")
     return joined.select("id", "url", "fetched_at", "host", n.alias("n_matches"), "first_match", (n > 0).alias("blocked"))
