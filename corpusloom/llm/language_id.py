@@ -6,7 +6,8 @@ leaves the fewest bytes in all wins. The score is the margin to the runner-up; w
 rejects the text (column ``accepted``).
 
 Bound of the sample: at most ``DOCS_PER_LANGUAGE`` documents for each language, those of the smallest hash of their
-id, and ``DICTIONARY_BYTES`` of text from them. Pieces of texts in all sampled documents are taken in turn.
+id. Their whole texts go into the dictionary in that order, each that still fits ``DICTIONARY_BYTES``; where none fits,
+the shortest one is the dictionary. No text is cut, and all are compressed at one level.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and not accepted; equal sizes go to the
 language that comes first by name; where nothing can be learned every text is ``und``; documents with a null
@@ -29,10 +30,8 @@ from corpusloom.llm.common import held_out, table
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 300
 DICTIONARY_BYTES = 64 * 1024
-SAMPLE_CHARS = 2_000
 PIECE = 8_192
-#: Fast compression, and strong compression for texts that say so little (or repeat so much) that fewer bytes are left.
-LEVELS, LITTLE = (3, 12), 300
+LEVEL = 9
 #: A margin, as a share of the runner-up's size over what any compressor adds, under which a text is rejected.
 NARROW = 0.004
 _LETTER = regex.compile(r"\p{L}")
@@ -46,7 +45,7 @@ MARK = bytes(range(128, 224))
 def training_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """lang and text of the bounded sample; held-out documents are not in it."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = usable.select("lang", F.xxhash64("doc_id").alias("h"), F.left(F.col("text"), F.lit(SAMPLE_CHARS)).alias("text"))
+    ranked = usable.select("lang", F.xxhash64("doc_id").alias("h"), "text")
     first = Window.partitionBy("lang").orderBy("h", "text")
     return ranked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language).select("lang", "r", "text")
 
@@ -61,33 +60,33 @@ def dictionaries(sample: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, b
     rows = sample.toPandas().sort_values(["lang", "r"])
     out = {}
     for lang, group in rows.groupby("lang"):
-        share = max(200, 2 * size // max(1, len(group)))
-        out[str(lang)] = b" ".join(_normal(t[:share]) for t in group["text"])[-size:] + MARK
+        texts, left, taken = [_normal(t) for t in group["text"]], size, []
+        for t in texts:
+            if len(t) <= left:
+                taken.append(t)
+                left -= len(t)
+        out[str(lang)] = b"".join(taken or [min(texts, key=len)]) + MARK
     return out
 
 
 class Compressors:
-    """One compressor for each language and level; the dictionaries are digested once."""
+    """One compressor for each language; the dictionaries are digested once."""
 
-    def __init__(self, content: dict[str, bytes]):
+    def __init__(self, content: dict[str, bytes], level: int = LEVEL):
         self.langs = sorted(content)
-        self.by_level = {level: [zstandard.ZstdCompressor(level=level, dict_data=self._digested(content[k], level), write_content_size=False, write_checksum=False, write_dict_id=False) for k in self.langs] for level in LEVELS}
+        self.tools = [self._compressor(content[k], level) for k in self.langs]
 
     @staticmethod
-    def _digested(content: bytes, level: int) -> zstandard.ZstdCompressionDict:
-        found = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        found.precompute_compress(level=level)
-        return found
+    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        digested = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        digested.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=digested, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def sizes(self, text: str) -> np.ndarray:
         """Bytes left by each dictionary."""
         data = _normal(text)
         pieces = [MARK + data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        for level in LEVELS:
-            found = np.array([sum(len(c.compress(p)) for p in pieces) for c in self.by_level[level]], float)
-            if found.min() > LITTLE:
-                break
-        return found
+        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.tools], float)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not _LETTER.search(text):
