@@ -18,30 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset one in the warehouse, or a temporary one in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
     return _FALLBACK[app]
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back; lost executors then cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    """Write ``df`` as a table in the shared folder and read it back; lost executors then cost no recomputation.
+
+    The application's tables go when it ends; those that nothing will read any more can go earlier (``release``).
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    files, place = _file_system(spark, folder)
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete tables of ``materialise`` that nothing will read any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        p = hadoop.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        files, place = _file_system(spark, path)
+        files.delete(place, True)
 
 
 def held_out(key: Column) -> Column:

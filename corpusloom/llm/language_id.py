@@ -31,7 +31,7 @@ UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 300
 DICTIONARY_BYTES = 64 * 1024
 PIECE = 8_192
-LEVEL = 9
+LEVEL = 6
 #: A margin, as a share of the runner-up's size over what any compressor adds, under which a text is rejected.
 NARROW = 0.004
 _LETTER = regex.compile(r"\p{L}")
