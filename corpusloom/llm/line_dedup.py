@@ -106,22 +106,22 @@ def _shifts(i: int, less: int, edits: int) -> range:
     return range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
 
 
-def _piece(text: Column, context: list[Column], size: Column, i: int, start: Column, length: Column) -> Column:
-    """Key of one segment, with its place, so that the rest of the text can be told later."""
+def _piece(text: Column, context: list[Column], size: Column, i: int, start: Column, length: Column, place: bool) -> Column:
+    """Key of one segment; with its ``place``, so that the rest of the text can be told later."""
     key = F.xxhash64(*context, size, F.lit(i), F.substring(text, start, length))
-    return F.struct(key.alias("key"), start.alias("start"), length.alias("length"))
+    return F.struct(key.alias("key"), start.alias("start"), length.alias("length")) if place else key
 
 
-def _own(text: Column, context: list[Column], n: Column, edits: int) -> Column:
+def _own(text: Column, context: list[Column], n: Column, edits: int, place: bool) -> Column:
     """The segments under which a text is indexed."""
-    return F.array(*(_piece(text, context, n, i, start, length) for i, start, length in _places(n, edits)))
+    return F.array(*(_piece(text, context, n, i, start, length, place) for i, start, length in _places(n, edits)))
 
 
-def _asked(text: Column, context: list[Column], n: Column, less: int, edits: int, unmoved: bool) -> Column:
+def _asked(text: Column, context: list[Column], n: Column, less: int, edits: int, unmoved: bool, place: bool) -> Column:
     """What a text of n characters looks for among texts shorter by ``less``; ``unmoved``: at their own places, too."""
     size, out = n - less, []
     for i, start, length in _places(size, edits):
-        out += [_piece(text, context, size, i, start + shift, length) for shift in _shifts(i, less, edits) if less or shift or unmoved]
+        out += [_piece(text, context, size, i, start + shift, length, place) for shift in _shifts(i, less, edits) if less or shift or unmoved]
     return F.array(*out)
 
 
@@ -149,9 +149,9 @@ def _finer(x: DataFrame, y: DataFrame, edits: int) -> list[DataFrame]:
     text, key = F.col("text"), [F.col("key")]
     asked = F.lit(None)
     for less in range(edits, -1, -1):
-        asked = F.when(F.col("less") == less, _asked(text, key, F.length(text), less, edits, True)).otherwise(asked)
+        asked = F.when(F.col("less") == less, _asked(text, key, F.length(text), less, edits, True, True)).otherwise(asked)
     out = []
-    for side, pieces in ((x, _own(text, key, F.length(text), edits)), (y, asked)):
+    for side, pieces in ((x, _own(text, key, F.length(text), edits, True)), (y, asked)):
         each = side.select("h", "sig", "less", "text", F.explode(pieces).alias("p"))
         rest = _without(F.col("text"), F.col("p.start"), F.col("p.length"))
         out.append(materialise(each.select("h", "sig", "less", "p.key", rest.alias("text")), "finer-segments")[0])
@@ -167,23 +167,26 @@ def candidates(lines: DataFrame, edits: int = MAX_EDITS, hot: int = HOT) -> Data
     a smaller rest. Lines that still meet when ``edits`` characters are left agree in all others.
     """
     text, n = F.col("line"), F.col("chars")
-    own = lines.select("h", "sig", F.lit(0).cast("byte").alias("less"), "line", F.explode(_own(text, [], n, edits)).alias("p"))
     longer_by = range(0 if edits > 1 else 1, edits + 1)  # with one edit, equally long lines share an unmoved segment
 
-    def marked(less: int) -> Column:
-        return F.transform(_asked(text, [], n, less, edits, False), lambda p: F.struct(F.lit(less).cast("byte").alias("less"), p.alias("p")))
+    def sides_of(place: bool) -> tuple[DataFrame, DataFrame]:
+        """Rows (h, sig, less, p) of the lines' own segments, and of those that they look for elsewhere; p: key, or struct with its place."""
+        mark = lambda less: F.transform(_asked(text, [], n, less, edits, False, place), lambda p: F.struct(F.lit(less).cast("byte").alias("less"), p.alias("p")))
+        keep = ["h", "sig", *(["line"] if place else [])]
+        own = lines.select(*keep, F.lit(0).cast("byte").alias("less"), F.explode(_own(text, [], n, edits, place)).alias("p"))
+        other = lines.select(*keep, F.explode(F.concat(*map(mark, longer_by))).alias("q")).select(*keep, "q.less", "q.p")
+        return own, other
 
-    other = lines.select("h", "sig", "line", F.explode(F.concat(*map(marked, longer_by))).alias("q")).select("h", "sig", "q.less", "line", "q.p")
-    x, moved = (df.select("h", "sig", "less", "p.key", "line", "p.start", "p.length") for df in (own, other))
+    x, moved = (df.withColumnRenamed("p", "key") for df in sides_of(False))
     # A line's own segments are both indexed and looked for.
     side = lambda df, x, n: df.select("key", F.lit(x).alias("x"), F.lit(n).alias("n"))
     crowded, n_crowded = _crowded(side(x, 1, 2).union(side(moved, 0, 1)), hot)
     marks = F.broadcast(crowded) if n_crowded <= BROADCAST_ROWS else crowded
     kept = (lambda df: df.join(marks, "key", "left_anti")) if n_crowded else (lambda df: df)
     found = [_meeting(kept(x), kept(x), edits), _meeting(kept(x), kept(moved), edits)]
+    own, other = (df.select("h", "sig", "less", "p.key", "line", "p.start", "p.length").join(marks, "key", "left_semi") for df in sides_of(True))
     rest = _without(F.col("line"), F.col("start"), F.col("length")).alias("text")
-    y = x.unionByName(moved).join(marks, "key", "left_semi").select("h", "sig", "less", "key", rest)
-    x = x.join(marks, "key", "left_semi").select("h", "sig", "less", "key", rest)
+    x, y = own.select("h", "sig", "less", "key", rest), own.unionByName(other).select("h", "sig", "less", "key", rest)
     while n_crowded:
         x, y = _finer(x, y, edits)
         open_ended = F.length("text") - F.col("less") > edits
