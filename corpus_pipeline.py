@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import materialise, release
 from corpusloom.llm.decontamination import decontamination_stage
 from corpusloom.llm.language_id import language_stage
 from corpusloom.llm.line_dedup import line_dedup_stage
@@ -27,7 +27,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what each other stage returns is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, path = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:  # all that is read from now on is in the new table
+            release(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

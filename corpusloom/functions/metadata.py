@@ -26,8 +26,10 @@ def clean_title(title: Column) -> Column:
 
 
 def short_title(text: Column) -> Column:
-    """The name by which a law says it may be called."""
-    return _or_null(F.regexp_extract(text, r"(?is)may\s+be\s+(?:called|cited\s+as)\s+(?:the\s+)?([^.;\n]{5,150}?(?:Act|Ordinance|Order|Code|Rules)(?:,?\s*\d{4})?)", 1))
+    """The name by which a law says it may be called: what follows, up to the first word for a kind of law and its year."""
+    behind = F.regexp_extract(text, r"(?i)\bmay\s+be\s+(?:called|cited\s+as)\s+([^.;\n]{5,160})", 1)
+    kinds = "|".join(k for k in DOCUMENT_TYPES if k not in ("Bill", "Notification", "Regulations"))
+    return _or_null(F.regexp_extract(F.regexp_replace(behind, r"(?i)^the\s+", ""), rf"(?i)^(.*?\b(?:{kinds})\b(?:,?\s*\d{{4}})?)", 1))
 
 
 def year_of(title: Column, text: Column) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from corpusloom.functions import text as T
 
@@ -82,24 +83,34 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"\S+", text)]
 
 
+def _from_one(found: list[float | None] | None) -> list[bool]:
+    out, want = [], 1
+    for n in [] if found is None else found:
+        out.append(n is not None and n == want)
+        want += out[-1]
+    return out
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def from_one(numbers: pd.Series) -> pd.Series:
+    """Which of an array's numbers go 1, 2, 3; others (and nulls) between them are passed over."""
+    return numbers.map(_from_one)
+
+
 def paragraphs(text: Column, least: int = 40) -> Column:
     """Structs n and text: the text's own paragraphs 1., 2., 3. if three or more are in order (what stands before is 0), else blank-line blocks."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x)
-    number = lambda x: F.regexp_extract(x, r"^\s*(\d{1,3})[.)]\s", 1).try_cast("int")
-    start = F.struct(F.lit(1).alias("want"), F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("text"))).alias("out"))
-    end = lambda s: F.element_at(s["out"], -1)
-
-    def step(s: Column, x: Column) -> Column:
-        opens = F.coalesce(number(x) == s["want"], F.lit(False))
-        added = F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.struct(end(s)["n"].alias("n"), F.concat_ws(" ", end(s)["text"], x).alias("text"))))
-        fresh = F.concat(s["out"], F.array(F.struct(s["want"].alias("n"), F.regexp_replace(x, r"^\s*\d{1,3}[.)]\s", "").alias("text"))))
-        return F.when(opens, F.struct((s["want"] + 1).alias("want"), fresh.alias("out"))).otherwise(F.struct(s["want"].alias("want"), added.alias("out")))
-
-    own = F.aggregate(lines, start, step, lambda s: s["out"])
-    flat = lambda xs: F.filter(F.transform(xs, lambda p: F.struct(p["n"].alias("n"), T.one_space(p["text"]).alias("text"))), lambda p: F.length(p["text"]) >= least)
-    blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), T.one_space), lambda b: F.length(b) >= least)
+    whole, sign = F.coalesce(text, F.lit("")), r"^\s*(\d{1,3})[.)]\s"
+
+    @F.pandas_udf("array<boolean>")
+    def opens(texts: pd.Series) -> pd.Series:
+        numbers = texts.map(lambda t: [m and int(m[1]) for m in map(re.compile(sign).match, t.split("\n"))])
+        return numbers.map(_from_one)
+
+    marked = F.zip_with(F.split(whole, "\n"), opens(whole), lambda x, ok: F.when(ok, F.concat(F.lit("\x1e"), F.regexp_replace(x, sign, ""))).otherwise(x))
+    own = F.transform(F.split(F.array_join(marked, "\n"), "\x1e"), lambda p, i: F.struct(i.alias("n"), T.one_space(p).alias("text")))
+    blocks = F.filter(F.transform(F.split(whole, r"\n\s*\n"), T.one_space), lambda b: F.length(b) >= least)
     by_blank = F.transform(blocks, lambda b, i: F.struct((i + 1).alias("n"), b.alias("text")))
-    return F.when(F.size(F.filter(lines, lambda x: number(x).isNotNull())) >= 3, F.when(F.size(own) > 3, flat(own)).otherwise(by_blank)).otherwise(by_blank)
+    return F.when(F.size(own) > 3, F.filter(own, lambda p: F.length(p["text"]) >= least)).otherwise(by_blank)
 
 
 def sections(docs: DataFrame, key: str, header: str = r"^Section\s+(\w+)\s*[-.:]\s*(.*)$", skip: str = r"^(?i:chapter|part)\b") -> DataFrame:
@@ -129,15 +140,28 @@ def units(text: Column) -> Column:
 
 
 def packed(items: Column, budget: int) -> Column:
-    """Greedy packing of strings, in order, into parts of ``budget`` characters (an item over it is a part of its own)."""
-    start = F.array().cast("array<string>")
-    last = lambda a: F.element_at(a, -1)
+    """Greedy packing of strings, in order, into parts of ``budget`` characters (an item over it is a part of its own).
 
-    def step(a: Column, x: Column) -> Column:
-        fits = (F.size(a) > 0) & (F.length(last(a)) + 1 + F.length(x) <= budget)
-        return F.when(fits, F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat_ws("\n", last(a), x)))).otherwise(F.concat(a, F.array(x)))
+    items: a column as such, since a Python function can't take an expression that holds lambdas.
+    """
 
-    return F.aggregate(items, start, step)
+    def one(found: list[str] | None) -> list[str]:
+        parts: list[list[str]] = []
+        room = -1
+        for x in [] if found is None else found:
+            if parts and len(x) < room:
+                parts[-1].append(x)
+                room -= 1 + len(x)
+            else:
+                parts.append([x])
+                room = budget - len(x)
+        return ["\n".join(p) for p in parts]
+
+    @F.pandas_udf("array<string>")
+    def pack(lists: pd.Series) -> pd.Series:
+        return lists.map(one)
+
+    return pack(items)
 
 
 def bio_spans(tags: DataFrame, key: list[str], at: str) -> DataFrame:
@@ -173,3 +197,12 @@ def joined_words(words: DataFrame, key: str, vocabulary: DataFrame, least: int =
     both = words.withColumn("joined", F.concat("word", "following")).join(count("n_joined", "joined"), "joined")
     pieces = both.join(count("n_word", "word"), "word", "left").join(count("n_following", "following"), "following", "left")
     return pieces.where((F.col("n_joined") >= least) & (F.col("n_joined") > F.greatest(F.coalesce("n_word", F.lit(0)), F.coalesce("n_following", F.lit(0))))).select(key, "place", "word", "following", "joined")
+
+
+def ocr_errors(words: DataFrame, key: str, vocabulary: DataFrame, least: int = 10) -> DataFrame:
+    """key, split (neighbours whose joined form is the commoner word) and rate, in 10,000 words. words: key and w, an array."""
+    from corpusloom.operators.joins import bigrams
+
+    split = joined_words(bigrams(words, key, F.col("w")), key, vocabulary, least).groupBy(key).agg(F.count("*").alias("split"))
+    counted = words.select(key, F.size("w").alias("n")).where("n > 0").join(split, key, "left")
+    return counted.select(key, F.coalesce("split", F.lit(0)).alias("split"), F.round(10_000 * F.coalesce("split", F.lit(0)) / F.col("n"), 1).alias("rate"))

@@ -28,17 +28,33 @@ def nearest_owner(numbers: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+#: Shingles of chunks (8 bytes each) up to which they are broadcast to the sections' scan; beyond that the join shuffles.
+BROADCAST_SHINGLES = 2_000_000
+
+
+def shingles(rows: DataFrame, size: int, step: int) -> DataFrame:
+    """``rows`` with text replaced by h, a row for each hash of ``size`` characters at every ``step``-th place (shorter texts have one).
+
+    The characters are cut once, in a projection of their own; each shingle is a slice of them.
+    """
+    signs = rows.withColumn("__signs", F.split("text", "")).drop("text")
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__signs") - size + 1), F.lit(step))
+    return signs.withColumn("h", F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("__signs", i, size))))).drop("__signs")
+
+
 def shingle_containment(chunks: DataFrame, sections: DataFrame, group: str, size: int = 30, stride: int = 10, share: float = 0.3) -> DataFrame:
     """For each chunk the section of its group that holds most of its shingles, ``share`` of them at least.
 
     chunks: group, chunk_id, text; sections: group, section_id, text; texts squashed. Shingles of sections start at every
-    place, those of chunks at every ``stride``; they meet by hash and group, so no pair of texts is compared as such.
+    place, those of chunks at every ``stride``; they meet by hash and group. Only the shingles that a chunk has leave the
+    scan of the sections: the chunks' hashes are broadcast where their number allows it.
     """
-    starts = lambda c, step: F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - size + 1), F.lit(step))
-    cut = lambda c, step: F.transform(starts(c, step), lambda i: F.xxhash64(F.substring(c, i, F.lit(size))))
-    asked = chunks.select(group, "chunk_id", F.explode(F.array_distinct(cut("text", stride))).alias("h"))
+    asked = shingles(chunks.select(group, "chunk_id", "text"), size, stride).distinct()
+    known = asked.select("h").distinct()
+    if known.count() <= BROADCAST_SHINGLES:
+        known = F.broadcast(known)
     total = Window.partitionBy(group, "chunk_id")
-    held = sections.select(group, "section_id", F.explode(F.array_distinct(cut("text", 1))).alias("h"))
+    held = shingles(sections.select(group, "section_id", "text"), size, 1).join(known, "h", "left_semi").distinct()
     met = asked.withColumn("of", F.count("*").over(total)).join(held, [group, "h"]).groupBy(group, "chunk_id", "section_id", "of").agg(F.count("*").alias("n"))
     best = total.orderBy(F.desc("n"), "section_id")
     return met.where(F.col("n") >= F.col("of") * share).withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
@@ -49,6 +65,25 @@ def bigrams(rows: DataFrame, key: str, words: Column) -> DataFrame:
     return rows.select(key, F.posexplode(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.struct(w.alias("word"), F.get(words, i + 1).alias("following")))).alias("place", "p")).select(key, "place", "p.*")
 
 
+#: Words of a law's title that many titles have. Fixed values.
+TITLE_NOISE = "the of and act ordinance order code rules law laws for to in pakistan amendment".split()
+
+
+def law_patterns(laws: DataFrame, aliases: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """title and pattern: the words of each title, year and "the" left out, if ``least`` of them tell it; and its aliases (title, pattern)."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.regexp_replace("title", r",?\s*\d{4}$", "")), F.lit("[a-z]+"), F.lit(0)), lambda w: w != "the")
+    telling = F.size(F.filter(words, lambda w: ~w.isin(TITLE_NOISE)))
+    own = laws.withColumn("pattern", F.array_join(words, r"\s+")).where(telling >= least).select("title", "pattern")
+    return own if aliases is None else own.unionByName(aliases.join(laws.select("title").distinct(), "title", "left_semi").select("title", "pattern"))
+
+
+def laws_named(questions: DataFrame, patterns: DataFrame, key: str) -> DataFrame:
+    """key and title of the laws that a question names (column question). A pattern's first word selects the questions that are searched."""
+    words = questions.select(key, F.lower("question").alias("__q"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), F.lit(0)))).alias("__w"))
+    asked = patterns.withColumn("__w", F.regexp_extract("pattern", "^([a-z]+)", 1))
+    return words.join(asked, "__w").where(F.regexp_like(F.col("__q"), F.concat(F.lit(r"\b(?:"), F.col("pattern"), F.lit(r")\b")))).select(key, "title").distinct()
+
+
 def exact_sections(refs: DataFrame, records: DataFrame, limit: int = 2) -> DataFrame:
     """Records for (title, number) references; the first record of a pair wins, ``limit`` for each question."""
     from corpusloom.functions.text import section_number

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,29 +29,34 @@ class SearchOptions:
     priority_ids: tuple[str, ...] = field(default=())
 
 
-def term_frequencies(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """key, term and f, the weighted count over the fields (columns of token arrays)."""
+def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """key and score of the documents that have one of a question's terms. fields: columns of token arrays, and their weights.
 
-    def weighted_terms(column: str, weight: float) -> Column:
-        return F.transform(column, lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("w")))
-
-    weighted = [weighted_terms(c, x) for c, x in fields.items()]
-    return docs.select(key, F.explode(F.concat(*weighted)).alias("t")).groupBy(key, "t.term").agg(F.sum("t.w").alias("f"))
-
-
-def bm25(tf: DataFrame, terms: DataFrame, key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """key and score. ``terms`` has the question's distinct terms (a bounded table: it comes from one question).
-
-    Lengths and the number of documents are one pass over ``tf``; only postings of the terms are joined.
+    The few terms of a question are counted in each document's own arrays, so no posting is made or shuffled; numbers of
+    documents and their mean length are one aggregate, which is one row.
     """
-    lengths = tf.groupBy(key).agg(F.sum("f").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    hits = tf.join(F.broadcast(terms.select("term").distinct()), "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(lengths, key).crossJoin(F.broadcast(stats))  # stats is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return scored.groupBy(key).agg(F.round(F.sum(weight), 9).alias("score"))  # equal scores tie, whatever the order of addition
+    asked = sorted(set(terms))
+    wanted = [F.filter(c, lambda w: w.isin(asked)).alias(f"__hits{n}") for n, c in enumerate(fields)]
+    length = reduce(lambda x, y: x + y, (F.greatest(F.size(c), F.lit(0)) * float(w) for c, w in fields.items()))
+    found = docs.select(key, length.alias("__len"), *wanted)
+
+    def frequency(term: str) -> Column:
+        each = (F.coalesce(F.size(F.filter(f"__hits{n}", lambda w: w == term)), F.lit(0)) * float(w) for n, w in enumerate(fields.values()))
+        return reduce(lambda x, y: x + y, each)
+
+    counted = found.select(key, "__len", *(frequency(t).alias(f"__f{i}") for i, t in enumerate(asked)))
+    some = F.col("__len") > 0
+    stats = counted.agg(F.count_if(some).alias("__n"), F.avg(F.when(some, F.col("__len"))).alias("__mean"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__df{i}") for i in range(len(asked))))
+
+    def weight(i: int) -> Column:
+        f, df, n = F.col(f"__f{i}"), F.col(f"__df{i}"), F.col("__n")
+        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+        return F.when(f > 0, idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("__len") / F.col("__mean")))).otherwise(0.0)
+
+    hit = reduce(lambda x, y: x | y, (F.col(f"__f{i}") > 0 for i in range(len(asked))), F.lit(False))
+    total = reduce(lambda x, y: x + y, map(weight, range(len(asked))), F.lit(0.0))
+    scored = counted.where(hit).crossJoin(F.broadcast(stats))  # stats is one row
+    return scored.select(key, F.round(total, 9).alias("score"))  # equal scores tie, whatever the order of addition
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,19 +60,23 @@ def sessions(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
 def next_as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, bucket: int) -> DataFrame:
     """For each left row the first right row at or after it, however late; unmatched rows stay.
 
-    Both sides meet in buckets of ``bucket`` seconds, so no row meets the whole other side: a left row looks into its own
-    bucket and at the earliest row of the next bucket that has any, which is carried back over the table of buckets. right
-    has the columns right_at and payload (a struct).
+    Both sides are put in one order of time, bucket by bucket (``bucket`` seconds each), and a right row is carried back to
+    the left rows before it; no row meets another. What a bucket doesn't answer comes from the first row of the next
+    bucket that has any: a table of one row for each bucket, whose number follows the span of time and not the rows.
+    right has the columns right_at and payload (a struct); of right rows of one time the smallest payload counts.
     """
     slot = lambda c: F.floor(F.col(c).cast("timestamp").cast("long") / bucket)
-    ahead, behind = left.withColumn("__slot", slot(left_at)), right.withColumn("__slot", slot(right_at))
     row = F.struct(F.col(right_at), F.col("payload"))
-    earliest = behind.where("__slot is not null").groupBy("__slot").agg(F.min(row).alias("__first"))
-    after = Window.orderBy("__slot").rowsBetween(1, Window.unboundedFollowing)
-    later = ahead.select("__slot").distinct().join(earliest, "__slot", "full").select("__slot", F.first("__first", ignorenulls=True).over(after).alias("__later"))
-    met = ahead.join(behind, "__slot", "left").join(later, "__slot", "left")
-    own = F.min(F.when(F.col(right_at) >= F.col(left_at), row))
-    return met.groupBy(*left.columns).agg(F.coalesce(own, F.min("__later")).alias("next"))
+    behind = right.where(F.col(right_at).isNotNull()).select(slot(right_at).alias("__slot"), F.col(right_at).alias("__at"), row.alias("__right"))
+    ahead = left.select(slot(left_at).alias("__slot"), F.col(left_at).alias("__at"), F.struct(*left.columns).alias("__left"))
+    both = ahead.unionByName(behind, allowMissingColumns=True)
+    # Backwards in time; a right row comes before the left rows of its own time.
+    backwards = Window.partitionBy("__slot").orderBy(F.desc("__at"), F.desc(F.col("__right").isNotNull()), F.desc("__right")).rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("__own", F.last("__right", ignorenulls=True).over(backwards)).where("__left is not null")
+    firsts = both.where("__slot is not null").groupBy("__slot").agg(F.min("__right").alias("__first"))
+    after = Window.orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, -1)
+    later = firsts.select("__slot", F.last("__first", ignorenulls=True).over(after).alias("__later"))
+    return carried.join(later, "__slot", "left").select("__left.*", F.when(F.col("__at").isNotNull(), F.coalesce("__own", "__later")).alias("next"))
 
 
 def neighbours(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
@@ -109,6 +114,36 @@ def round_robin(rows: DataFrame, group: str, order: list[str], per_round: int =
     return rows.withColumn("round", F.ceil(F.row_number().over(Window.partitionBy(group).orderBy(*order)) / per_round))
 
 
+def pilot(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows: favoured ones first (column weight, most first), then a round of the groups at a time, those with unseen names first.
+
+    rows: key, weight, group and names (array). In its turn a group gives its first row (by key) with a name that no row
+    taken so far has, else its first one. That can only be one of its first n rows or the first one of some name, so just
+    those are gathered, and their number doesn't follow the rows.
+    """
+    favoured = last_n(rows.where("weight > 0").withColumn("__all", F.lit(1)), "__all", [F.desc("weight"), F.asc(key)], n).drop("__all")
+    rest = rows.where("weight = 0 or weight is null")
+    firsts = rest.select("group", key, F.explode("names").alias("name")).groupBy("group", "name").agg(F.min(key).alias(key)).select("group", key)
+    early = last_n(rest.select("group", key), "group", [F.asc(key)], n)
+    pool = rest.join(firsts.unionByName(early).distinct(), ["group", key], "left_semi")
+    both = favoured.select(key, F.lit(True).alias("first"), "weight", "group", "names").unionByName(pool.select(key, F.lit(False).alias("first"), "weight", "group", "names"))
+
+    def choose(found: pd.DataFrame) -> pd.DataFrame:
+        head = found[found["first"]].sort_values(["weight", key], ascending=[False, True])
+        picked, seen = list(head[key]), {x for names in head["names"] for x in names}
+        by_group = {g: list(zip(p[key], p["names"])) for g, p in found[~found["first"]].sort_values(key).groupby("group")}
+        while len(picked) < n and any(by_group.values()):
+            for g in sorted(by_group):
+                if by_group[g] and len(picked) < n:
+                    at = next((i for i, (_, names) in enumerate(by_group[g]) if not set(names) <= seen), 0)
+                    chosen, names = by_group[g].pop(at)
+                    picked.append(chosen)
+                    seen |= set(names)
+        return pd.DataFrame({key: picked, "place": range(1, len(picked) + 1)})
+
+    return both.groupBy(F.lit(1).alias("__all")).applyInPandas(choose, f"{key} long, place int")
+
+
 def seeded_sample(rows: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
     """n rows of each group by the hash of their key and a seed: the same rows in every run."""
     return last_n(rows, group, [F.asc(F.xxhash64(F.col(key), F.lit(seed))), F.asc(key)], n)

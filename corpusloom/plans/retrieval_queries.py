@@ -23,8 +23,7 @@ def _words(t: Tables) -> DataFrame:
 
 
 def _bm25(t: Tables) -> DataFrame:
-    terms = t.spark.range(1).select(F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
-    return R.bm25(R.term_frequencies(_words(t), "doc_id", {"words": 1.0}), terms, "doc_id")
+    return R.bm25(_words(t), "doc_id", {"words": 1.0}, TERMS)
 
 
 def _question(t: Tables) -> list[float]:
@@ -47,8 +46,7 @@ def bm25_topk(t: Tables) -> DataFrame:
  SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / av)))::DOUBLE, 6) AS score FROM tf JOIN dfq USING (t) JOIN dl USING (doc_id), st GROUP BY 1""")
 def bm25_weighted(t: Tables) -> DataFrame:
     words = _words(t).withColumn("head", F.slice("words", 1, 8))
-    terms = t.spark.range(1).select(F.explode(F.array(*map(F.lit, TERMS))).alias("term"))
-    scored = R.bm25(R.term_frequencies(words, "doc_id", {"words": 1.0, "head": 3.0}), terms, "doc_id")
+    scored = R.bm25(words, "doc_id", {"words": 1.0, "head": 3.0}, TERMS)
     return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators import catalog
 from corpusloom.plans.registry import Tables, query
 from corpusloom.sources import readers, sinks
-
-
-def _place(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session (a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+from corpusloom.sources.scratch import scratch_path
 
 
 @query("scan_jsonl", "SELECT lang, count(*) FILTER (doc_id % 50 <> 0) AS records, CAST(sum(CASE WHEN doc_id % 50 <> 0 THEN length(text) END) AS BIGINT) AS chars FROM documents WHERE doc_id % 50 <> 0 GROUP BY 1 UNION ALL SELECT 'unreadable', count(*), NULL FROM documents WHERE doc_id % 50 = 0")
 def scan_jsonl(t: Tables) -> DataFrame:
     """Records written as JSON lines, every fiftieth one cut short; unreadable lines are counted, not lost."""
-    path, line = _place(t.spark, "jsonl"), F.to_json(F.struct("doc_id", "text", "lang"))
+    path, line = scratch_path(t.spark, "jsonl"), F.to_json(F.struct("doc_id", "text", "lang"))
     t.documents.select(F.when(F.col("doc_id") % 50 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
     rows = readers.json_lines(t.spark, path, schema)
@@ -34,14 +25,14 @@ def scan_jsonl(t: Tables) -> DataFrame:
 
 @query("scan_csv", "SELECT c_custkey::VARCHAR AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey % 5 <> 0")
 def scan_csv(t: Tables) -> DataFrame:
-    path = _place(t.spark, "csv")
+    path = scratch_path(t.spark, "csv")
     t.customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).otherwise(" ").alias("name"), F.col("c_mktsegment").alias("segment")).write.option("header", True).csv(path)
     return readers.csv_table(t.spark, path, ["id", "name", "segment"], ["name"])
 
 
 @query("scan_markdown", "SELECT p_partkey::VARCHAR AS n, p_name AS title, p_size::VARCHAR AS chunks FROM part")
 def scan_markdown(t: Tables) -> DataFrame:
-    path = _place(t.spark, "markdown")
+    path = scratch_path(t.spark, "markdown")
     row = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
     head = t.region.select(F.lit("| n | title | chunks |").alias("value")).union(t.region.select(F.lit("|---|:--|--:|")))
     head.union(t.part.select(row(F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_size").cast("string")))).write.text(path)
@@ -50,17 +41,17 @@ def scan_markdown(t: Tables) -> DataFrame:
 
 @query("scan_tagged", "SELECT event_type AS token, 'B-' || left(event_type, 1) AS tag, count(*) AS n FROM events GROUP BY ALL")
 def scan_tagged(t: Tables) -> DataFrame:
-    path = _place(t.spark, "tagged")
+    path = scratch_path(t.spark, "tagged")
     line = F.concat(F.col("event_type"), F.lit(" B-"), F.left("event_type", F.lit(1)), F.lit("\nmalformed\n"))
     t.events.select(line.alias("value")).write.text(path)
     return readers.tagged_sentences(t.spark, path).groupBy("token", "tag").agg(F.count("*").alias("n"))
 
 
-@query("scan_encodings", "SELECT doc_id, length(text) AS chars FROM documents WHERE doc_id < 200")
+@query("scan_encodings", "SELECT doc_id, length(text) AS chars FROM documents")
 def scan_encodings(t: Tables) -> DataFrame:
     """Texts as bytes in UTF-8 and UTF-16, read back by the fallback chain."""
     utf16 = F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE"))
-    raw = t.documents.where("doc_id < 200").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(utf16).alias("content"))
+    raw = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(utf16).alias("content"))
     return raw.select("doc_id", F.length(readers.decoded(F.col("content"))).cast("long").alias("chars"))
 
 
@@ -106,15 +97,15 @@ def vector_cache_misses(t: Tables) -> DataFrame:
 
 @query("published_table", "SELECT count(*) AS n, count(DISTINCT source) AS sources FROM documents")
 def published_table(t: Tables) -> DataFrame:
-    path = _place(t.spark, "published")
+    path = scratch_path(t.spark, "published")
     sinks.publish(t.documents.select("doc_id", "source").limit(0), path)
     sinks.publish(t.documents.select("doc_id", "source"), path)
-    return t.spark.read.parquet(path).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+    return sinks.published(t.spark, path).agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
 
 
 @query("appended_log", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def appended_log(t: Tables) -> DataFrame:
-    path = _place(t.spark, "log")
+    path = scratch_path(t.spark, "log")
     for rest in (0, 1):
         sinks.append_log(t.events.where(F.col("event_id") % 2 == rest).select("event_type"), path)
     return t.spark.read.schema("event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))

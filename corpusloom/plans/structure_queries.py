@@ -58,14 +58,18 @@ def sections(t: Tables) -> DataFrame:
     return lines.withColumn("seq", seq).where("seq > 0").groupBy("doc_id", "seq").agg((F.count("*") - 1).alias("more_lines"))
 
 
-@query("section_records")
+@query("section_records", r"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+ m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^([A-Z][a-z]+)\.( .*|)$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS seq FROM l WHERE NOT regexp_matches(line, '^(?i:chapter|part)\b')),
+ g AS (SELECT doc_id, seq::BIGINT AS seq, string_agg(line, chr(10) ORDER BY i) AS a FROM m WHERE seq > 0 GROUP BY ALL)
+ SELECT doc_id, seq, regexp_extract(f, '^([A-Z][a-z]+)\.( .*|)$', 1) AS section, regexp_extract(f, '^([A-Z][a-z]+)\.( .*|)$', 2) AS heading, trim(substr(a, length(f) + 2), ' ') AS text FROM (SELECT *, string_split(a, chr(10))[1] AS f FROM g)""")
 def section_records(t: Tables) -> DataFrame:
     return C.sections(t.documents, "doc_id", r"^([A-Z][a-z]+)\.( .*|)$")
 
 
 @query("document_units")
 def document_units(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.posexplode(C.packed(C.units(F.col("text")), 2000)).alias("part", "text"))
+    units = t.documents.select("doc_id", F.explode(F.array(C.units(F.col("text")))).alias("units"))
+    return units.select("doc_id", F.posexplode(C.packed(F.col("units"), 2000)).alias("part", "text"))
 
 
 @query("bio_spans", """WITH x AS (SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN 'O' WHEN event_type IN ('click', 'error') THEN 'B-' || left(event_type, 1) ELSE 'I-' || left(event_type, 1) END AS tag, value AS score FROM events),
@@ -84,7 +88,9 @@ def contents_tables(t: Tables) -> DataFrame:
     return rows.where("not contents")
 
 
-@query("joined_words")
+@query("joined_words", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS x FROM documents), v AS (SELECT w, count(*) AS n FROM (SELECT unnest(x) AS w FROM w) GROUP BY 1),
+ b AS (SELECT doc_id, CAST(i - 1 AS INT) AS place, x[i] AS word, x[i + 1] AS following FROM w, (SELECT unnest(range(1, (SELECT max(len(x)) FROM w))) AS i) WHERE i < len(x))
+ SELECT doc_id, place, word, following, word || following AS joined FROM b JOIN v j ON j.w = word || following JOIN v p ON p.w = word JOIN v q ON q.w = following WHERE j.n >= 10 AND j.n > greatest(p.n, q.n)""")
 def joined_words(t: Tables) -> DataFrame:
     words = t.documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     vocabulary = words.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
@@ -99,10 +105,11 @@ def quote_found(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", K.quote_found(quote, F.col("text")).alias("found"))
 
 
-@query("figures")
+@query("figures", """SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS amount, 'year' AS unit FROM lineitem WHERE l_quantity <> 25 UNION ALL SELECT l_orderkey, l_linenumber, 25, 'year' FROM lineitem
+ UNION ALL SELECT l_orderkey, l_linenumber, l_orderkey, 'rupee' FROM lineitem""")
 def figures(t: Tables) -> DataFrame:
     text = F.concat_ws(" ", F.lit("for"), F.col("l_quantity").cast("int").cast("string"), F.lit("to twenty-five years and Rs."), F.col("l_orderkey").cast("string"))
-    return t.lineitem.where("l_linenumber = 1").select("l_orderkey", F.explode(K.figures(text)).alias("f")).select("l_orderkey", "f.amount", "f.unit")
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.explode(K.figures(text)).alias("f")).select("l_orderkey", "l_linenumber", "f.amount", "f.unit")
 
 
 @query("reference_lists", "SELECT l_orderkey, l_linenumber, array_to_string(CASE WHEN s BETWEEN 1 AND 30 THEN list_transform(range(a, a + s + 1), lambda x: x::VARCHAR) ELSE [a::VARCHAR, (a + s)::VARCHAR] END, ',') AS numbers FROM (SELECT l_orderkey, l_linenumber, l_partkey % 90 + 1 AS a, l_suppkey % 40 + 1 AS s FROM lineitem)")
@@ -117,9 +124,9 @@ def citation_markers(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", K.single_markers(said).alias("marks"), (F.size(K.bad_markers(K.single_markers(said), F.lit(3))) > 0).alias("bad"))
 
 
-@query("grounded_references", "SELECT DISTINCT l_orderkey, l_partkey AS number FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(lower(p_name), left(lower(p_name), 3)) AND contains(lower(p_name), 'a') AND l_linenumber = 2")
+@query("grounded_references", "SELECT DISTINCT l_orderkey, l_partkey AS number FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(lower(p_name), left(lower(p_name), 3)) AND contains(lower(p_name), 'a')")
 def grounded_references(t: Tables) -> DataFrame:
-    refs = t.lineitem.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("number"), F.array(F.lit("A")).alias("words"))
+    refs = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("number"), F.array(F.lit("A")).alias("words"))
     return K.grounded(refs, t.part.select(F.col("p_partkey").alias("number"), F.col("p_name").alias("owner"))).select("l_orderkey", "number")
 
 

@@ -164,7 +164,7 @@ def test_encodings_and_zip(spark):
 
 def test_publish_replaces_whole_tables(spark, tmp_path):
     path = f"file://{tmp_path}/a/table"
-    assert [sinks.publish(spark.range(n), path) for n in (3, 5)] == [3, 5] and spark.read.parquet(path).count() == 5
+    assert [sinks.publish(spark.range(n), path) for n in (3, 5)] == [3, 5] and sinks.published(spark, path).count() == 5
 
 
 def test_links(spark):
