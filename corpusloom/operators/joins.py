@@ -35,11 +35,15 @@ BROADCAST_SHINGLES = 2_000_000
 def shingles(rows: DataFrame, size: int, step: int) -> DataFrame:
     """``rows`` with text replaced by h, a row for each hash of ``size`` characters at every ``step``-th place (shorter texts have one).
 
-    The characters are cut once, in a projection of their own; each shingle is a slice of them.
+    A substring is found by counting characters from the front, so long texts are cut into overlapping blocks first, and
+    those into smaller ones.
     """
-    signs = rows.withColumn("__signs", F.split("text", "")).drop("text")
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__signs") - size + 1), F.lit(step))
-    return signs.withColumn("h", F.explode(F.transform(at, lambda i: F.xxhash64(F.slice("__signs", i, size))))).drop("__signs")
+    for width in (16_384 // step * step, 256 // step * step):
+        n = F.greatest(F.ceil((F.length("text") - size + 1) / width), F.lit(1))
+        rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))).withColumn("text", F.substring("text", F.col("__i") * width + 1, F.lit(width + size - 1))).drop("__i")
+    last = F.greatest(F.lit(1), F.length("text") - size + 1)
+    each = rows.withColumn("__i", F.explode(F.sequence(F.lit(1), last, F.lit(step))))
+    return each.withColumn("h", F.xxhash64(F.substring("text", F.col("__i"), F.lit(size)))).drop("__i", "text")
 
 
 def shingle_containment(chunks: DataFrame, sections: DataFrame, group: str, size: int = 30, stride: int = 10, share: float = 0.3) -> DataFrame:
