@@ -18,7 +18,9 @@ CONSEQUENCES = {
     "void": r"\bvoid\b", "voidable": r"\bvoidable\b", "invalid": r"\binvalid", "forfeiture": r"\bforfeit", "death": r"\bdeath\b", "imprisonment for life": r"\bimprisonment for life\b",
 }
 REPORTED = rf"\b(?:(?:{'|'.join(REPORTS)})\s+\d{{4}}\s+[A-Z][A-Za-z.]*(?:\s+[A-Z][A-Za-z.]*)?\s+\d+|\d{{4}}\s+(?:{'|'.join(REPORTS)})\s+\d+)\b"
-_PARTY = r"[A-Z][\w.'’-]*(?:\s+(?:of\s+|and\s+|the\s+)?[A-Z][\w.'’-]*){0,5}"
+#: A word of a party's name: titles and initials have stops.
+_WORD = r"(?:(?:Mst|Mr|Mrs|Ms|Dr|Ch)\.|[A-Z]\.|[A-Z][\w'’-]*)"
+_PARTY = rf"{_WORD}(?:\s+(?:of\s+|and\s+|the\s+)?{_WORD}){{0,5}}"
 NAMED = rf"\b{_PARTY}\s+(?:v\.|vs\.?|versus)\s+{_PARTY}"
 NUMBERED = r"(?i)\b(?:appeal|petition|revision|reference|suit|case)s?\s+no\.?\s*(\d+)(?:-?[a-z])?\s*(?:of|/)\s*(\d{4})\b"
 PARAGRAPH = r"(?i)\bpara(?:graph)?s?\.?\s+(\d{1,3}(?:\s*(?:,|and|&)\s*\d{1,3})*)"
