@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, table
+from corpusloom.llm.common import held_out, table, text_batches
 
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 300
@@ -115,6 +115,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], narrow: float = NARROW)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents")
     content = dictionaries(training_sample(docs))
     found = identify(docs.select("doc_id", "text"), content)
@@ -123,4 +124,5 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language was told apart; those that the identification rejects go."""
+    text_batches(spark)
     return identify(docs, dictionaries(training_sample(docs))).where("accepted").select(*docs.columns)

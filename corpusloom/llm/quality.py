@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, materialise, table
+from corpusloom.llm.common import held_out, materialise, table, text_batches
 
 THRESHOLD = 0.7
 #: Weight of the pooled covariance in a class's, and of the identity in the result.
@@ -142,5 +142,6 @@ def quality(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Data
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table, tokenizer_path
+from corpusloom.llm.common import table, text_batches, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -181,6 +181,7 @@ def parity(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and their digest for every whole text, and whether decoding them gives the text back."""
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents")
 
     @F.pandas_udf("n_tokens long, ids_crc32 long, round_trip boolean")
@@ -198,4 +199,5 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the whole text, and their number."""
+    text_batches(spark)
     return docs.select("doc_id", "lang", "source", encode(F.col("text")).alias("ids")).withColumn("n_tokens", F.size("ids").cast("long"))

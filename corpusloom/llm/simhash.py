@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, table
+from corpusloom.llm.common import materialise, table, text_batches
 from corpusloom.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -131,6 +131,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -141,6 +142,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Different texts that share the smallest id all stay. Rows with a null id are told apart by their text: one of them
     (of the smallest hash) stays where the whole component has no id, none elsewhere.
     """
+    text_batches(spark)
     found = near_duplicates(docs)
     chosen = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("doc_id").isNotNull() | (F.col("row_key") == F.col("component_key")))
     keep = found.where(chosen).select("doc_id", "row_key").distinct()

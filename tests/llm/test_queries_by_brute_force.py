@@ -1,6 +1,7 @@
 """The opN queries without SQL, whole: each against plain Python over the same table; and the stages on odd rows."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusloom.llm import language_id, quality, sentencepiece_codec
+from corpusloom.llm import decontamination, language_id, quality, sentencepiece_codec
 from corpusloom.llm.chat_format import END, START
 from corpusloom.llm.queries import QUERIES
 
@@ -119,6 +120,34 @@ def test_chat_query(spark, small, tables):
         assert got[c].formatted_chars > sum(len(r) + len(t) for r, t in ts)
 
 
+def test_slots_of_templates(spark):
+    """Copies of one question with other values: found if each value becomes one of its own, or if hardly any changes."""
+    random.seed(6)
+    form = "the farmer {} sold {} apples and {} pears to {} while the tall {} kept {} plums for {} and the miller {} took {} figs from {} at the fair"
+    slots, own = "AnmBAnBCmA", {"A": "Anna", "B": "Boris", "C": "Carl", "n": "25", "m": "13"}
+    names, numbers = "Anna Boris Carl Dora Emil Fred Gina Hugo".split(), ["25", "13", "31", "47", "58"]
+    item = form.format(*(own[s] for s in slots))
+    windows = lambda t: [tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)]
+    rows, want = [], set()
+    for k in range(120):
+        new = dict(zip("ABC", random.sample(names, 3))) | dict(zip("nm", random.sample(numbers, 2)))
+        values = [new[s] for s in slots]
+        if k % 4 == 0:
+            values = [own[s] for s in slots]
+        for _ in range(k % 3):  # spoil one place or two
+            i = random.randrange(len(slots))
+            values[i] = random.choice(names if slots[i].isupper() else numbers)
+        text = form.format(*values)
+        pairs = {(own[s], v) for s, v in zip(slots, values)}
+        one_to_one = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+        same = len(set(windows(item)) & set(windows(text))) >= 0.8 * len(set(windows(item)))
+        rows.append((k, f"So it says: {text} and no more."))
+        if one_to_one or same:
+            want.add((k, "verbatim" if all(a == b for a, b in pairs) else "reparameterised"))
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.kind) for r in decontamination.leaks(docs, items).collect()} == want and 30 < len(want) < 100
+
+
 @pytest.mark.parametrize("extra_spaces,user", [(True, False), (False, False), (True, True)])
 def test_unigram_model(tmp_path, extra_spaces, user):
     """A unigram model written by hand (none is trained): scores, white-space rules, byte fallback and user pieces."""
