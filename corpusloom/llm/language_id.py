@@ -44,10 +44,13 @@ MARK = bytes(range(128, 224))
 
 def training_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """lang and text of the bounded sample; held-out documents are not in it."""
+    key = F.xxhash64("text").alias("row_key")
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ranked = usable.select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    return ranked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language).select("lang", "r", "text")
+    # Ids and hashes are ranked; only the texts of those chosen leave their files.
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "row_key")
+    ranked = usable.select("lang", "doc_id", key).withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language)
+    chosen = usable.select("lang", "doc_id", key, "text").join(ranked, ["lang", "doc_id", "row_key"])
+    return chosen.select("lang", "r", "text").dropDuplicates(["lang", "r"])
 
 
 def _normal(text: str) -> bytes:
