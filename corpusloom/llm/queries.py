@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.chat_format import op10_chat_formatting
 from corpusloom.llm.decontamination import op7_benchmark_decontamination
+from corpusloom.llm.filter_audit import OP11_SQL, op11_filter_audit
 from corpusloom.llm.language_id import op5_language_id
 from corpusloom.llm.line_dedup import OP6_SQL, op6_line_dedup
 from corpusloom.llm.nearest import op9_nearest_neighbours
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op6_line_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_filter_audit": OP11_SQL}
