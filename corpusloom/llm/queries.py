@@ -11,6 +11,7 @@ from corpusloom.llm.decontamination import op7_benchmark_decontamination
 from corpusloom.llm.filter_audit import OP11_SQL, op11_filter_audit
 from corpusloom.llm.language_id import op5_language_id
 from corpusloom.llm.line_dedup import OP6_SQL, op6_line_dedup
+from corpusloom.llm.manifest import op12_merkle_manifest
 from corpusloom.llm.nearest import op9_nearest_neighbours
 from corpusloom.llm.quality import op1_quality_classifier
 from corpusloom.llm.sentencepiece_codec import op3_sentencepiece
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_filter_audit": OP11_SQL}
