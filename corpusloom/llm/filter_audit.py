@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from itertools import permutations
 from math import factorial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def interval_ends(n: int) -> list[tuple[int, int, int, int]]:
 def audit(cells: DataFrame, filters: str = FILTERS) -> DataFrame:
     """One row for each part, order and step. cells: part, mask, n, good, toxic (counts of documents of each part and mask)."""
     n, orders = len(filters), factorial(len(filters))
-    ends = cells.sparkSession.createDataFrame(interval_ends(n), "mask int, step int, rank int, delta int")
+    ends = cells.sparkSession.createDataFrame(pa.table({c: pa.array(v, pa.int32()) for c, v in zip(("mask", "step", "rank", "delta"), zip(*interval_ends(n)))}))
     totals = cells.groupBy("part").agg(
         F.sum("n").alias("__all"),
         F.array(*(F.sum(F.when(_fails(f), F.col("n")).otherwise(0)) for f in range(n))).alias("__fails"),
