@@ -45,17 +45,23 @@ def _file_system(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder below ``shared_dir``; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+    files, place = _file_system(spark, folder)
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return folder
+
+
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it back; lost executors then cost no recomputation.
 
     The application's tables go when it ends; those that nothing will read any more can go earlier (``release``).
     """
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files, place = _file_system(spark, folder)
-    files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path), path
 
 

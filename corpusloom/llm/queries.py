@@ -17,6 +17,7 @@ from corpusloom.llm.quality import op1_quality_classifier
 from corpusloom.llm.sentencepiece_codec import op3_sentencepiece
 from corpusloom.llm.simhash import op8_simhash_near_dedup
 from corpusloom.llm.token_counts import op2_token_counts
+from corpusloom.llm.token_output import op13_token_output
 from corpusloom.llm.url_filters import OP4_SQL, op4_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_output": op13_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_filter_audit": OP11_SQL}
