@@ -24,8 +24,19 @@ _PARTY = rf"{_WORD}(?:\s+(?:of\s+|and\s+|the\s+)?{_WORD}){{0,5}}"
 NAMED = rf"\b{_PARTY}\s+(?:v\.|vs\.?|versus)\s+{_PARTY}"
 NUMBERED = r"(?i)\b(?:appeal|petition|revision|reference|suit|case)s?\s+no\.?\s*(\d+)(?:-?[a-z])?\s*(?:of|/)\s*(\d{4})\b"
 PARAGRAPH = r"(?i)\bpara(?:graph)?s?\.?\s+(\d{1,3}(?:\s*(?:,|and|&)\s*\d{1,3})*)"
-#: Capitalised words that are no part of a person's name. Fixed values.
-NO_NAMES = "petition appeal revision reference suit case no nos court high supreme act order ordinance code civil criminal section article judge justice state government".split()
+# Words that may stand in capitals before a person's name, and words that are no part of one.
+BEFORE_NAMES = (
+    "whether the a an in on at for if when his her their counsel according as after before since while that this both all no did does "
+    "was is who why how what can could should would may although but"
+).split()
+NO_NAMES = (
+    "supreme court high pakistan state petitioner respondent appellant complainant trial medical board standing police station district "
+    "learned counsel the criminal petition appeal civil code penal procedure act order ordinance khyber pakhtunkhwa punjab sindh "
+    "balochistan islamabad peshawar lahore karachi quetta federal shariat government judge justice under section this that both courts "
+    "below further inquiry bail"
+).split()
+#: A first information report by its number; the three letters may have stops and spaces.
+REPORT = r"(?i)\bf[. ]{0,2}i[. ]{0,2}r\b[. ]*(?:no\b[. ]*)?(\d{1,6})\b"
 #: Words of a case's name that tell nothing.
 NAME_NOISE = "v vs versus the of and another others state".split()
 
@@ -135,24 +146,39 @@ def misattributed_figures(answers: DataFrame, passages: DataFrame, key: str) ->
     return judged.groupBy(key, "figure").agg(F.min_by("numbers", F.struct("paragraph", "sentence")).alias("numbers"))
 
 
+def person_names(text: Column) -> Column:
+    """Distinct runs of two to four capitalised words of three letters or more, without words that only stand before a name.
+
+    Runs that hold a word of courts, places and papers are no person's name.
+    """
+    runs = F.transform(_all(text, r"\b[A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){1,3}\b"), lambda r: F.split(r, r"\s+"))
+    no_lead = lambda ws: F.aggregate(ws, F.slice(ws, 1, 0), lambda kept, w: F.when((F.size(kept) == 0) & F.lower(w).isin(BEFORE_NAMES), kept).otherwise(F.concat(kept, F.array(w))))
+    people = F.filter(F.transform(runs, no_lead), lambda ws: (F.size(ws) >= 2) & ~F.exists(ws, lambda w: F.lower(w).isin(NO_NAMES)))
+    return F.array_distinct(F.transform(people, lambda ws: F.array_join(ws, " ")))
+
+
 def unsupported_mentions(items: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    """key, item, missing (dates, case numbers and sections that the document doesn't hold: drop) and names (unknown ones: flag).
+    """key, item, missing (dates, case numbers, report numbers and sections that the document lacks: drop), names (unknown: flag).
 
-    items: key, item, text; documents: key, text (one each).
+    items: key, item, text; documents: key, text (one each) and, if there, entities (texts of recognised entities), which back
+    dates, case numbers and names. Any figure of the document backs a section's number; a report's must be announced as one.
     """
     said, held = F.col("text"), F.col("__d")
+    known = F.coalesce("__e", F.lit(""))
     squash = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     day = lambda d: F.concat_ws("-", d["year"].cast("string"), F.lpad(d["month"].cast("string"), 2, "0"), F.lpad(d["day"].cast("string"), 2, "0"))
-    days = F.transform(F.array_except(T.dates(said), T.dates(held)), day)
+    days = F.transform(F.array_except(F.array_except(T.dates(said), T.dates(held)), T.dates(known)), day)
     case_parts = F.transform(_all(said, NUMBERED), lambda m: F.struct(m.alias("cite"), F.regexp_extract(m, NUMBERED, 1).alias("n"), F.right(m, F.lit(2)).alias("y")))
-    cases = F.transform(F.filter(case_parts, lambda c: ~F.regexp_like(held, F.concat(F.lit(r"(?s)\b"), c["n"], F.lit(r"\b.{0,25}?(?:\d\d)?"), c["y"], F.lit(r"\b")))), lambda c: c["cite"])
+    numbered = lambda c: F.concat(F.lit(r"(?s)\b"), c["n"], F.lit(r"\b.{0,25}?(?:\d\d)?"), c["y"], F.lit(r"\b"))
+    cases = F.transform(F.filter(case_parts, lambda c: ~F.regexp_like(held, numbered(c)) & ~F.regexp_like(known, numbered(c))), lambda c: c["cite"])
+    reports = F.array_except(F.regexp_extract_all(said, F.lit(REPORT), F.lit(1)), F.regexp_extract_all(held, F.lit(REPORT), F.lit(1)))
     numbers = F.array_distinct(F.transform(A.section_references(said), lambda r: r["number"]))
     sections = F.transform(F.filter(numbers, lambda n: ~F.regexp_like(held, F.concat(F.lit(r"(?<!\d)"), n, F.lit(r"(?!\d)")))), lambda n: F.concat(F.lit("section "), n))
-    spoken = F.array_distinct(_all(said, r"(?<![.!?]\s|^)\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"))
-    person = lambda n: ~F.exists(F.split(F.lower(n), r"\s+"), lambda w: w.isin(NO_NAMES))
-    names = F.filter(spoken, lambda n: person(n) & ~F.contains(squash(held), squash(n)))
-    joined = items.join(documents.select(key, F.col("text").alias("__d")), key)
-    return joined.select(key, "item", F.concat(days, cases, sections).alias("missing"), names.alias("names"))
+    names = F.filter(person_names(said), lambda n: ~F.contains(squash(held), squash(n)) & ~F.contains(squash(known), squash(n)))
+    entities = F.array_join("entities", " | ") if "entities" in documents.columns else F.lit(None).cast("string")
+    joined = items.join(documents.select(key, F.col("text").alias("__d"), entities.alias("__e")), key)
+    missing = F.concat(days, cases, F.transform(reports, lambda n: F.concat(F.lit("FIR "), n)), sections)
+    return joined.select(key, "item", missing.alias("missing"), names.alias("names"))
 
 
 def reasoning_report(checked: DataFrame, key: str) -> DataFrame:

@@ -64,14 +64,25 @@ def figures_misattributed(t: Tables) -> DataFrame:
     return found.select("p_partkey", F.col("figure.amount").alias("amount"), F.array_join("numbers", ",").alias("numbers"))
 
 
-@query("mentions_unsupported", """SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, CASE WHEN o_orderkey % 3 = 0 THEN 'Petition No. ' || o_custkey || ' of 1998' END, CASE WHEN o_orderkey % 5 = 0 THEN 'section 302' END], lambda x: x IS NOT NULL), ';') AS missing,
- CASE WHEN o_orderkey % 7 = 0 THEN 'Imran Ahmed' ELSE '' END AS names FROM orders""")
+@query("mentions_unsupported", r"""WITH t AS (SELECT *, o_orderkey AS k, o_custkey % 900 + 1 AS s, strftime(o_orderdate, '%-d/%-m/%Y') AS d FROM orders),
+ o AS (SELECT *, concat_ws(' ', 'Order.', CASE WHEN k % 2 > 0 THEN 'Dated ' || d END, CASE WHEN k % 3 > 0 THEN 'in No. ' || o_custkey || '-P/98' END, CASE WHEN k % 4 > 0 THEN 'FIR ' || (k + 7) END,
+   CASE WHEN k % 5 > 0 THEN 'u/s ' || s || ' PPC' END, CASE WHEN k % 7 > 0 THEN 'by IMRAN  AHMED' END, 'end') AS held,
+   concat_ws(' | ', CASE WHEN k % 11 = 0 THEN d END, CASE WHEN k % 13 = 0 THEN 'No. ' || o_custkey || ' of 1998' END, CASE WHEN k % 17 = 0 THEN 'Imran Ahmed' END) AS ents FROM t)
+ SELECT o_orderkey, array_to_string(list_filter([CASE WHEN NOT contains(held || ents, d) THEN strftime(o_orderdate, '%Y-%m-%d') END,
+   CASE WHEN NOT regexp_matches(held, '\b' || o_custkey || '\b.{0,25}?(?:\d\d)?98\b') AND NOT regexp_matches(ents, '\b' || o_custkey || '\b.{0,25}?(?:\d\d)?98\b') THEN 'Petition No. ' || o_custkey || ' of 1998' END,
+   CASE WHEN NOT contains(held, 'FIR') THEN 'FIR ' || (k + 7) END, CASE WHEN NOT regexp_matches(held, '\D' || s || '\D') THEN 'section ' || s END], lambda x: x IS NOT NULL), ';') AS missing,
+ CASE WHEN contains(held, 'IMRAN') OR contains(ents, 'Imran') THEN '' ELSE 'Imran Ahmed' END AS names FROM o""")
 def mentions_unsupported(t: Tables) -> DataFrame:
+    """Each mention stands in the document or not by its own divisor of the key; entities back some that don't. Any figure backs a section."""
     key, day, number = F.col("o_orderkey"), F.date_format("o_orderdate", "d/M/yyyy"), text_of("o_custkey")
-    items = t.orders.select("o_orderkey", F.lit(1).alias("item"), said("On ", day, " the court heard Imran Ahmed in Petition No. ", number, " of 1998 under section 302.").alias("text"))
+    report, section = (key + 7).cast("string"), (F.col("o_custkey") % 900 + 1).cast("string")
+    asked = said("Whether Imran Ahmed was heard on ", day, " in Petition No. ", number, " of 1998 after F.I.R. No. ", report, " under section ", section, " of the Penal Code.")
+    items = t.orders.select("o_orderkey", F.lit(1).alias("item"), asked.alias("text"))
     unless = lambda n, *parts: F.when(key % n != 0, said(*parts))
-    documents = t.orders.select("o_orderkey", F.concat_ws(" ", F.lit("Order."), unless(2, "Dated ", day), unless(3, "in No. ", number, "-P/98"), unless(5, "u/s 302 PPC"), unless(7, "by IMRAN  AHMED"), F.lit("end")).alias("text"))
-    found = Z.unsupported_mentions(items, documents, "o_orderkey")
+    held = F.concat_ws(" ", F.lit("Order."), unless(2, "Dated ", day), unless(3, "in No. ", number, "-P/98"), unless(4, "FIR ", report), unless(5, "u/s ", section, " PPC"), unless(7, "by IMRAN  AHMED"), F.lit("end"))
+    only = lambda n, *parts: F.when(key % n == 0, said(*parts))
+    entities = F.array_compact(F.array(only(11, day), only(13, "No. ", number, " of 1998"), only(17, "Imran Ahmed")))
+    found = Z.unsupported_mentions(items, t.orders.select("o_orderkey", held.alias("text"), entities.alias("entities")), "o_orderkey")
     return found.select("o_orderkey", F.array_join("missing", ";").alias("missing"), F.array_join("names", ";").alias("names"))
 
 

@@ -92,7 +92,7 @@ def contents_tables(t: Tables) -> DataFrame:
 
 
 @query("joined_words", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS x FROM documents), v AS (SELECT w, count(*) AS n FROM (SELECT unnest(x) AS w FROM w) GROUP BY 1),
- b AS (SELECT doc_id, CAST(i - 1 AS INT) AS place, x[i] AS word, x[i + 1] AS following FROM w, (SELECT unnest(range(1, (SELECT max(len(x)) FROM w))) AS i) WHERE i < len(x))
+ b AS (SELECT doc_id, CAST(i - 1 AS INT) AS place, x[i] AS word, x[i + 1] AS following FROM (SELECT doc_id, x, unnest(range(1, len(x))) AS i FROM w))
  SELECT doc_id, place, word, following, word || following AS joined FROM b JOIN v j ON j.w = word || following JOIN v p ON p.w = word JOIN v q ON q.w = following WHERE j.n >= 10 AND j.n > greatest(p.n, q.n)""")
 def joined_words(t: Tables) -> DataFrame:
     words = t.documents.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
