@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_BY_SIGNATURE: dict[tuple[str, str], str] = {}
+
+
+def signature(spark: SparkSession, *paths: str) -> str:
+    """One value for the files below paths: their names, sizes and times, summed where they are listed; no content is read."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "length", "modificationTime")
+    row = files.agg(F.count("*").alias("n"), F.sum("length").alias("size"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("mix")).first()
+    return f"{row.n}-{row.size}-{row.mix}"
+
+
+def stored_once(spark: SparkSession, name: str, mark: str, build: Callable[[str], None]) -> str:
+    """Folder of what ``build`` wrote for ``mark``; built once in an application, and again only where the mark is another one."""
+    at = (spark.sparkContext.applicationId, f"{name}-{mark}")
+    if at not in _BY_SIGNATURE:
+        path = scratch_path(spark, name)
+        build(path)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+        _BY_SIGNATURE[at] = path
+    return _BY_SIGNATURE[at]
