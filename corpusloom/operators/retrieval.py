@@ -26,7 +26,7 @@ class SearchOptions:
     priority: float = 0.05
     hybrid: bool = True
     hints: bool = True
-    priority_ids: tuple[str, ...] = field(default=())
+    priority_ids: tuple[int, ...] = field(default=())
 
 
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:

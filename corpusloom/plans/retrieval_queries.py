@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import filters, retrieval as R
+from corpusloom.operators import filters, lexical, questions as Q, retrieval as R
 from corpusloom.plans.registry import Tables, query
+from corpusloom.sources.scratch import scratch_path, signature, stored_once
 
 TERMS = ("the", "and", "than", "heed", "tion")
 ONE = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
@@ -26,6 +27,19 @@ def _bm25(t: Tables) -> DataFrame:
     return R.bm25(_words(t), "doc_id", {"words": 1.0}, TERMS)
 
 
+def _index(t: Tables) -> DataFrame:
+    """The stored index over documents: built once for the files as they are, and read from then on."""
+    mark = signature(t.spark, f"{t.folder}/documents.parquet")
+    path = stored_once(t.spark, "lexical", mark, lambda at: lexical.add_documents(_words(t), "doc_id", {"words": 1.0}, at))
+    return lexical.open_index(t.spark, path)
+
+
+def _indexed(t: Tables, k: int, blocks: DataFrame | None = None) -> DataFrame:
+    """doc_id, score and rank of the k best documents for the fixed question, from the index."""
+    asked = t.spark.range(1).select(F.col("id").alias("qid"), F.array(*map(F.lit, TERMS)).alias("terms"))
+    return lexical.search(_index(t) if blocks is None else blocks, asked, k).select(F.col("key").alias("doc_id"), "score", "rank")
+
+
 def _question(t: Tables) -> list[float]:
     return [float(x) for x in t.embeddings.where("vec_id = 0").select("embedding").first()[0]]
 
@@ -37,7 +51,65 @@ def bm25_all(t: Tables) -> DataFrame:
 
 @query("bm25_topk", f"WITH {BM25_CTE} SELECT doc_id, round(s, 6) AS score FROM bm ORDER BY s DESC, doc_id LIMIT 30")
 def bm25_topk(t: Tables) -> DataFrame:
-    return R.top(_bm25(t), 30).select("doc_id", F.round("score", 6).alias("score"))
+    return _indexed(t, 30).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("bm25_segments", f"WITH {BM25_CTE} SELECT doc_id, round(s, 6) AS score FROM bm ORDER BY s DESC, doc_id LIMIT 30")
+def bm25_segments(t: Tables) -> DataFrame:
+    """An index of half the documents to which the other half was added: nothing of the first segment is written again."""
+    path = scratch_path(t.spark, "lexical")
+    for part in (0, 1):
+        lexical.add_documents(_words(t).where(F.pmod(F.col("doc_id"), F.lit(2)) == part), "doc_id", {"words": 1.0}, path)
+    return _indexed(t, 30, lexical.open_index(t.spark, path)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+ASKED = f"""tok AS ({TOK}), tf AS (SELECT doc_id, t, count(*) AS f FROM tok GROUP BY ALL), dl AS (SELECT doc_id, sum(f) AS len FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len) AS av FROM dl),
+ dfq AS (SELECT t, count(*) AS df FROM tf GROUP BY 1), ask AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+|[0-9]+[a-z]?')) AS t FROM benchmark),
+ bq AS (SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / av))), 9) AS s FROM ask JOIN tf USING (t) JOIN dfq USING (t) JOIN dl USING (doc_id), st GROUP BY ALL)"""
+
+
+def _asked(t: Tables) -> DataFrame:
+    """Each item of benchmark as a question; its vector is that of the same id."""
+    terms = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+|[0-9]+[a-z]?"), F.lit(0))
+    return t.benchmark.select(F.col("item_id").alias("qid"), terms.alias("terms"))
+
+
+@query("bm25_questions", f"WITH {ASKED} SELECT qid, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS rank FROM bq) WHERE rank <= 10")
+def bm25_questions(t: Tables) -> DataFrame:
+    """Ten documents for every item of benchmark, all items in one plan."""
+    return lexical.search(_index(t), _asked(t), 10).select("qid", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("vec_topk_questions", """WITH s AS (SELECT q.vec_id AS qid, v.vec_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+ SELECT qid, vec_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def vec_topk_questions(t: Tables) -> DataFrame:
+    """Stated queries: vectors whose id is divisible by 100, against all vectors, in blocks."""
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    found = Q.vector_topk(asked, t.embeddings.select(F.col("vec_id").alias("key"), "embedding"), 10)
+    return found.select("qid", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("routed_search", f"""WITH {ASKED}, q AS (SELECT item_id AS qid, embedding AS qv, item_id % 3 > 0 AS merged FROM benchmark JOIN embeddings ON vec_id = item_id),
+ cs AS (SELECT qid, merged, vec_id AS key, label, round(list_inner_product(qv::DOUBLE[], embedding::DOUBLE[]), 9) AS s FROM q, embeddings),
+ v AS (SELECT qid, key, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, key) AS r FROM cs WHERE label < 6 QUALIFY r <= 40),
+ w AS (SELECT qid, doc_id AS key, s AS weight FROM bq WHERE qid IN (SELECT qid FROM q) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) <= 20),
+ h AS (SELECT qid, (qid * 7 + i) % 50 AS key, -i::DOUBLE AS weight FROM q, range(0, 2) t(i)),
+ wk AS (SELECT w.qid, w.key, weight, cs.s FROM w JOIN cs ON cs.qid = w.qid AND cs.key = w.key AND label < 6 LEFT JOIN v ON v.qid = w.qid AND v.key = w.key WHERE v.key IS NOT NULL OR cs.s >= 0.1),
+ kn AS (SELECT qid, key, s FROM v UNION SELECT qid, key, s FROM wk),
+ hk AS (SELECT h.qid, h.key, weight, cs.s FROM h JOIN cs ON cs.qid = h.qid AND cs.key = h.key AND label < 6 LEFT JOIN kn ON kn.qid = h.qid AND kn.key = h.key WHERE kn.key IS NOT NULL OR cs.s >= 0.1),
+ lists AS (SELECT qid, key, r FROM v UNION ALL SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, key) FROM wk UNION ALL SELECT qid, key, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, key) FROM hk),
+ f AS (SELECT qid, key, round(sum(1.0::DOUBLE / (60 + r)), 12) AS f FROM lists GROUP BY ALL),
+ b AS (SELECT f.qid, f.key, cs.s, merged, row_number() OVER (PARTITION BY f.qid ORDER BY f DESC, cs.s DESC, f.key) AS base FROM f JOIN cs USING (qid, key) QUALIFY base <= 16),
+ x AS (SELECT qid, key, s, merged, NULL AS base FROM cs WHERE merged AND label >= 6 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, key) <= 8),
+ u AS (SELECT *, CASE WHEN base IS NOT NULL AND (NOT merged OR base <= 2) THEN base END AS p, s + CASE WHEN key IN (3, 8, 21) THEN 0.05 ELSE 0 END AS l FROM (SELECT * FROM b UNION ALL SELECT * FROM x))
+ SELECT qid, key, CASE WHEN base IS NULL THEN 'more' ELSE 'core' END AS part, round(s, 6) AS relevance, s >= 0.3 AS passes, row_number() OVER (PARTITION BY qid ORDER BY p NULLS LAST, l DESC, key) AS rank FROM u QUALIFY rank <= 8""")
+def routed_search(t: Tables) -> DataFrame:
+    """Every item of benchmark that has a vector: words, vectors and hints fused, two thirds of the questions over both parts."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("key"), "embedding", F.when(F.col("label") < 6, "core").when(F.col("label") >= 6, "more").alias("part"))
+    asked = _asked(t).join(vectors.select(F.col("key").alias("qid"), F.col("embedding").alias("vector")), "qid")
+    asked = asked.withColumns({"branch": F.when(F.col("qid") % 3 > 0, "merged").otherwise("core"), "hint_ids": F.transform(F.array(F.lit(0), F.lit(1)), lambda i: (F.col("qid") * 7 + i) % 50)})
+    options = R.SearchOptions(k=8, fetch_factor=5, lexical=20, threshold=0.3, word_floor=0.1, keep_top=2, priority_ids=(3, 8, 21))
+    return Q.routed(asked, vectors, _index(t), options).select("qid", "key", "part", F.round("relevance", 6).alias("relevance"), "passes", "rank")
 
 
 @query("bm25_weighted", f"""WITH words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+|[0-9]+[a-z]?') AS w FROM documents),
@@ -81,7 +153,7 @@ RANKS = f"WITH {BM25_CTE}, {VEC_CTE}, w AS (SELECT doc_id, row_number() OVER (OR
 
 @query("rrf_fuse", f"{RANKS} SELECT doc_id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS fused FROM (SELECT doc_id, r FROM w UNION ALL SELECT doc_id, r FROM v) GROUP BY 1")
 def rrf_fuse(t: Tables) -> DataFrame:
-    words = R.ranked(R.top(_bm25(t), 20), "doc_id")
+    words = _indexed(t, 20).select("doc_id", "rank")
     vectors = R.ranked(R.top(R.vector_scores(t.embeddings, _question(t)), 20, tie="vec_id").withColumnRenamed("vec_id", "doc_id"), "doc_id")
     return R.fuse([words, vectors], "doc_id").select("doc_id", F.round("fused", 6).alias("fused"))
 
@@ -93,7 +165,7 @@ def rrf_fuse(t: Tables) -> DataFrame:
 def hybrid_search(t: Tables) -> DataFrame:
     """Vectors are linked to documents by equal ids, as the tables hold no other link."""
     scored = R.vector_scores(t.embeddings, _question(t)).select(F.col("vec_id").alias("doc_id"), "score")
-    found = R.hybrid(R.top(scored, 20), R.top(_bm25(t), 20), scored.withColumnRenamed("score", "cosine"), "doc_id")
+    found = R.hybrid(R.top(scored, 20), _indexed(t, 20).select("doc_id", "score"), scored.withColumnRenamed("score", "cosine"), "doc_id")
     return found.select("doc_id", F.round("fused", 6).alias("fused"), F.round("relevance", 6).alias("relevance"))
 
 
@@ -110,7 +182,7 @@ def core_keep_merge(t: Tables) -> DataFrame:
 
 @query("exact_then_semantic", f"{RANKS} SELECT doc_id, part FROM (SELECT doc_id, 0 AS part, r FROM w WHERE r <= 2 UNION ALL SELECT doc_id, 1, r FROM v WHERE doc_id NOT IN (SELECT doc_id FROM w WHERE r <= 2)) ORDER BY part, r LIMIT 6")
 def exact_then_semantic(t: Tables) -> DataFrame:
-    exact = R.ranked(R.top(_bm25(t), 2), "doc_id")
+    exact = _indexed(t, 2).select("doc_id", "rank")
     semantic = R.ranked(R.top(R.vector_scores(t.embeddings, _question(t)), 20, tie="vec_id").withColumnRenamed("vec_id", "doc_id"), "doc_id")
     return R.exact_then_semantic(exact, semantic, "doc_id", 6).select("doc_id", "part")
 
