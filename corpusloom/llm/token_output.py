@@ -7,7 +7,8 @@ dictionary-encoded; doc_id and at are delta-encoded (ascending numbers); row gro
 page indexes, so a read of some documents or columns takes the pages that hold them and no more.
 
 Ids are those of the tokenizers library for the whole text. The vocabulary drops white space and never joins across it, so a text is
-taken apart at ASCII white space and each different piece is encoded once by the library; its bytes are then looked up.
+taken apart at ASCII white space (and plain ASCII pieces at letters, figures and signs, as the vocabulary itself splits them), and each
+different part is encoded once by the library; its ids are then looked up.
 
 Defined results: null text is the end id alone. A null doc_id comes before all others; rows that share one stand in the order of
 their texts' XXH64, equal rows in any. No documents give no units. Columns of other names are left alone.
@@ -16,6 +17,7 @@ their texts' XXH64, equal rows in any. No documents give no units. Columns of ot
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,8 +36,10 @@ UNIT_BYTES = 256 << 20  # bytes of text of a unit, about
 BROADCAST_UNITS = 1_000_000  # rows of two numbers; with more units their bases are joined by a shuffle
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-MEMO_PIECES = 400_000  # different pieces that a worker remembers; then it starts anew
+MEMO_PIECES = 600_000  # different pieces that a worker remembers; then it starts anew
 LONG_PIECE = 64  # bytes; longer pieces are encoded each time
+JOINED = 2_000  # units that are encoded in one text
+TOGETHER_BYTES = 4 << 20  # bytes of texts that are encoded at a time
 _ENCODED = "doc_id long, unit int, at long, n_tokens int, ids array<int>"
 WRITER = {
     "parquet.writer.version": "v2",
@@ -51,32 +55,60 @@ WRITER = {
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
+    #: Parts of a printable ASCII piece in lower case that the vocabulary's own splitting never joins.
+    UNITS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+    PLAIN = re.compile(rb"[!-~]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.units: dict[bytes, bytes] = {}
 
-    def _new(self, pieces: list[bytes]) -> Iterator[bytes]:
+    def _each(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return (np.array(e.ids, "<u4").tobytes() for e in found)
-
-    def __call__(self, text: bytes) -> bytes:
-        pieces = text.split()
-        memo = self.memo
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _together(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of parts without special strings: many in one text, told apart by where the library says that a token starts."""
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            whole = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, starts = np.array(whole.ids, "<u4"), np.array([a for a, _ in whole.offsets], np.int64)
+            ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in some])).tolist()
+            yield from (ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends))
+
+    def _new(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Pieces with their ids: plain ones from their units, others (signs of any script, special strings) from the library as they are."""
+        plain = {p: self.UNITS.findall(p.lower()) for p in pieces if self.PLAIN.fullmatch(p) and b"<|" not in p}
+        if len(self.units) > MEMO_PIECES:
+            self.units.clear()
+        units = list({u for us in plain.values() for u in us if u not in self.units})
+        self.units.update(zip(units, self._together([u.decode() for u in units])))
+        known = self.units
+        yield from ((p, known[us[0]] if len(us) == 1 else b"".join([known[u] for u in us])) for p, us in plain.items())
+        others = [p for p in pieces if p not in plain]
+        special = [p for p in others if b"<|" in p]
+        signs = [p for p in others if b"<|" not in p] if special else others
+        yield from zip(signs, self._together([p.decode("utf-8", "replace") for p in signs]))
+        yield from zip(special, self._each(special))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        memo = self.pieces
         if len(memo) > MEMO_PIECES:
             memo.clear()
-        new = [p for p in set(pieces) if p not in memo]
-        if new:
-            short = [p for p in new if len(p) <= LONG_PIECE]
-            memo.update(zip(short, self._new(short)))
-            if len(short) < len(new):
-                long = [p for p in new if len(p) > LONG_PIECE]
-                once = dict(zip(long, self._new(long)))
-                return b"".join([once[p] if len(p) > LONG_PIECE else memo[p] for p in pieces])
-        return b"".join(map(memo.__getitem__, pieces))
+        new = [p for p in set().union(*split) if p not in memo]
+        found = dict(self._new(new)) if new else {}
+        memo.update(found)
+        out = [b"".join(map(memo.__getitem__, ps)) for ps in split]
+        for p in found:
+            if len(p) > LONG_PIECE:  # not worth remembering
+                del memo[p]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -85,6 +117,19 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _bounded(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts in lists of TOGETHER_BYTES, about."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t.as_py() or b"")
+        size += len(part[-1])
+        if size >= TOGETHER_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _encoded(path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -92,7 +137,7 @@ def _encoded(path: str | None, end_id: int):
         unit, at = TaskContext.get().partitionId(), 0
         encode, end = _encoder(path or tokenizer_path(MODEL)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            parts = [encode(t.as_py() or b"") + end for t in batch.column(1)]
+            parts = [ids + end for some in _bounded(batch.column(1)) for ids in encode(some)]
             sizes = np.array([len(p) >> 2 for p in parts], np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             flat = pa.Array.from_buffers(pa.int32(), int(starts[-1]), [None, pa.py_buffer(b"".join(parts))])
