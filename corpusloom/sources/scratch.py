@@ -50,3 +50,9 @@ def stored_once(spark: SparkSession, name: str, mark: str, build: Callable[[str]
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
         _BY_SIGNATURE[at] = path
     return _BY_SIGNATURE[at]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any of Spark's file systems."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
