@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from corpusloom.operators import catalog
 from corpusloom.plans.registry import Tables, query
-from corpusloom.sources import readers, sinks
+from corpusloom.streaming import staging
+from corpusloom.sources import readers, shards, sinks, versions
 from corpusloom.sources.scratch import scratch_path
 
 
@@ -121,3 +122,56 @@ def staged_report(t: Tables) -> DataFrame:
 def corpus_collection(t: Tables) -> DataFrame:
     rows = t.documents.select(F.lit("documents").alias("origin"), "text").unionByName(t.benchmark.select(F.lit("benchmark").alias("origin"), "text")).unionByName(t.conversations.select(F.lit("chat").alias("origin"), "text"))
     return rows.where(F.length(F.trim("text")) >= 50).groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@query("embedding_resumed", "SELECT DISTINCT sha256('m' || chr(10) || text) AS key, length(text)::DOUBLE AS value, true AS complete FROM documents WHERE text IS NOT NULL")
+def embedding_resumed(t: Tables) -> DataFrame:
+    """Vectors of all texts by a run that stops after one step of its units and another that goes on; none is computed twice."""
+    path, docs = scratch_path(t.spark, "vectors"), t.documents
+    embed = lambda text: F.array(F.length(text).cast("double"))
+    first = shards.embed_missing(docs, path, "m", embed, step_rows=docs.count() // 3, steps=1)
+    second = shards.embed_missing(docs, path, "m", embed)
+    whole = second.complete and second.reused == first.embedded and first.embedded + second.embedded == second.texts
+    return shards.vectors(t.spark, path).select("key", F.get("vector", F.lit(0)).alias("value"), F.lit(whole).alias("complete"))
+
+
+LISTING = "SELECT doc_id AS seq, lang AS run, source, CAST(substr(source, 4) AS INT) AS source_order, left(text, 12) AS url, doc_id % 7 = 0 AS priority, n_chars / 100.0::DOUBLE AS cost FROM documents"
+
+
+def _listing(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("seq"), F.col("lang").alias("run"), "source", F.substr("source", F.lit(4)).cast("int").alias("source_order"), F.left("text", F.lit(12)).alias("url"), (F.col("doc_id") % 7 == 0).alias("priority"), (F.col("n_chars") / 100.0).alias("cost"))
+
+
+@query("run_selection", f"""WITH l AS ({LISTING}), a AS (SELECT *, row_number() OVER (PARTITION BY run, source, url ORDER BY priority DESC, seq) AS c FROM l),
+ b AS (SELECT *, CASE WHEN c = 1 THEN count(*) FILTER (c = 1) OVER (PARTITION BY run, source ORDER BY priority DESC, seq) END AS nth FROM a),
+ d AS (SELECT *, CASE WHEN c > 1 THEN 'listed twice' WHEN nth > 3 + source_order % 4 THEN 'over the cap' ELSE 'do' END AS s FROM b),
+ e AS (SELECT run, source, seq, coalesce(sum(cost) OVER (PARTITION BY run ORDER BY source_order, priority DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 900 AS over FROM d WHERE s = 'do')
+ SELECT d.run, d.source, d.seq, CASE WHEN over THEN 'budget spent' ELSE s END AS status FROM d LEFT JOIN e ON e.run = d.run AND e.source = d.source AND e.seq = d.seq""")
+def run_selection(t: Tables) -> DataFrame:
+    """What each language's run does of its listing: priority first, a url once, a cap by source, and the seconds of all."""
+    return staging.chosen(_listing(t), 3 + F.col("source_order") % 4, 900.0).select("run", "source", "seq", "status")
+
+
+@query("staged_outcomes")
+def staged_outcomes(t: Tables) -> DataFrame:
+    """Events as fetches of a day's run: the state machine of the stream over all of them at once."""
+    at = F.col("ts").cast("timestamp")
+    rows = t.events.select(
+        F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("seq"), F.date_format(at, "yyyy-MM-dd").alias("run"), (F.col("user_id") % 5).cast("string").alias("source"),
+        F.floor("value").cast("string").alias("hash"), at.alias("fetched_at"), (F.col("event_id") % 97 == 0).alias("core"), F.when(F.col("event_id") % 31 == 0, "near-empty").alias("problem"), F.when(F.col("event_type") == "error", "timeout").alias("error"),
+    )
+    return staging.staged(rows).select("run", "seq", "url", "outcome", "reason")
+
+
+@query("reparsed_records", r"""WITH s AS (SELECT doc_id, lang AS url_part, source, doc_id % 3 = 0 AS was_changed, doc_id % 10 = 0 AS lost, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS record FROM documents),
+ h AS (SELECT *, sha256(record) AS hash FROM s), f AS (SELECT hash, min(doc_id) AS first FROM h WHERE NOT lost GROUP BY 1)
+ SELECT doc_id, CASE WHEN lost THEN 'error' WHEN first <> doc_id OR length(record) < 200 THEN 'quarantined' WHEN was_changed THEN 'changed' ELSE 'new' END AS outcome,
+  CASE WHEN lost THEN 'no original' WHEN first <> doc_id THEN 'same text as ' || lpad(first::VARCHAR, 12, '0') WHEN length(record) < 200 THEN 'near-empty' END AS reason FROM h LEFT JOIN f USING (hash)""")
+def reparsed_records(t: Tables) -> DataFrame:
+    """All documents' records rebuilt from originals that were saved twice; every tenth original is lost."""
+    name = F.lpad(F.col("doc_id").cast("string"), 12, "0")
+    state = t.documents.select("doc_id", name.alias("url"), "source", name.alias("original_url"), F.when(F.col("doc_id") % 3 == 0, "changed").otherwise("unchanged").alias("outcome"), F.lit("2024-01-01").alias("fetched_at"), F.lit("r").alias("run_id"))
+    saved = t.documents.where("doc_id % 10 <> 0").select(name.alias("url"), F.explode(F.array(F.struct(F.lit(1).alias("at"), F.lit("draft").alias("c")), F.struct(F.lit(2).alias("at"), F.col("text").alias("c")))).alias("o"))
+    parse = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\x0b]+", " "))
+    found = versions.reparsed(state, saved.select("url", F.col("o.at").alias("saved_at"), F.col("o.c").alias("content")), parse, lambda r: F.when(F.length(r) < 200, "near-empty"))
+    return found.select(F.col("url").cast("long").alias("doc_id"), "outcome", "reason")

@@ -122,6 +122,7 @@ def staged(fetched: DataFrame, skip_hours: float = 20.0) -> DataFrame:
     Runs sort by name and, within a batch, seq gives the order. A text that several urls bring in one run is the first one's; one that
     a url holds from an earlier run is already held; a url that brings another text gives its old one up.
     """
+    fetched.sparkSession.streams  # a batch needs the coordinator of state stores, too, and this starts it
     rows = fetched.select([f.strip().split(" ")[0] for f in FETCHED.split(",")])
     by_url = rows.groupBy("url").transformWithStateInPandas(ByUrl(skip_hours), outputStructType=_STEP, outputMode="Append", timeMode="None")
     return by_url.groupBy("hash").transformWithStateInPandas(ByText(), outputStructType=OUTCOME, outputMode="Append", timeMode="None")
