@@ -6,9 +6,8 @@ without it is no finished output. ``at`` is the number of ids before the documen
 dictionary-encoded; doc_id and at are delta-encoded (ascending numbers); row groups and pages have stated sizes, and the writer adds
 page indexes, so a read of some documents or columns takes the pages that hold them and no more.
 
-Ids are those of the tokenizers library for the whole text. The vocabulary drops white space and never joins across it, so a text is
-taken apart at ASCII white space (and plain ASCII pieces at letters, figures and signs, as the vocabulary itself splits them), and each
-different part is encoded once by the library; its ids are then looked up.
+Ids are those of the tokenizers library for the whole text. The vocabulary drops white space and never joins across it, nor across
+letters, figures and signs, so a text is taken apart there; each different part is encoded once by the library and then looked up.
 
 Defined results: null text is the end id alone. A null doc_id comes before all others; rows that share one stand in the order of
 their texts' XXH64, equal rows in any. No documents give no units. Columns of other names are left alone.
@@ -36,8 +35,8 @@ UNIT_BYTES = 256 << 20  # bytes of text of a unit, about
 BROADCAST_UNITS = 1_000_000  # rows of two numbers; with more units their bases are joined by a shuffle
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-MEMO_PIECES = 600_000  # different pieces that a worker remembers; then it starts anew
-LONG_PIECE = 64  # bytes; longer pieces are encoded each time
+MEMO_PIECES, MEMO_UNITS = 200_000, 800_000  # pieces between white space and their units that a worker remembers; then it starts anew
+LONG_PIECE = 64  # bytes; longer ones are encoded each time
 JOINED = 2_000  # units that are encoded in one text
 TOGETHER_BYTES = 4 << 20  # bytes of texts that are encoded at a time
 _ENCODED = "doc_id long, unit int, at long, n_tokens int, ids array<int>"
@@ -53,11 +52,15 @@ WRITER = {
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers.
 
-    #: Parts of a printable ASCII piece in lower case that the vocabulary's own splitting never joins.
-    UNITS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
-    PLAIN = re.compile(rb"[!-~]+")
+    A text is lowered and cut into units, as the vocabulary's own rules do for ASCII and Latin letters. Where a unit holds other signs
+    (its entry is None) or the text a special string, it is taken apart at white space, and what isn't all known units goes to the
+    library as it is.
+    """
+
+    UNITS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\s0-9a-z\x80-\xff]+")
+    KNOWN = re.compile("[!-~\xdf-\xf6\xf8-\u012f\u0131-\u017f]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,12 +68,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.units: dict[bytes, bytes | None] = {}
         self.pieces: dict[bytes, bytes] = {}
-        self.units: dict[bytes, bytes] = {}
 
-    def _each(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _together(self, parts: list[str]) -> Iterator[bytes]:
         """Ids of parts without special strings: many in one text, told apart by where the library says that a token starts."""
@@ -81,33 +83,38 @@ class Encoder:
             ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in some])).tolist()
             yield from (ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends))
 
-    def _new(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Pieces with their ids: plain ones from their units, others (signs of any script, special strings) from the library as they are."""
-        plain = {p: self.UNITS.findall(p.lower()) for p in pieces if self.PLAIN.fullmatch(p) and b"<|" not in p}
-        if len(self.units) > MEMO_PIECES:
-            self.units.clear()
-        units = list({u for us in plain.values() for u in us if u not in self.units})
-        self.units.update(zip(units, self._together([u.decode() for u in units])))
-        known = self.units
-        yield from ((p, known[us[0]] if len(us) == 1 else b"".join([known[u] for u in us])) for p, us in plain.items())
-        others = [p for p in pieces if p not in plain]
-        special = [p for p in others if b"<|" in p]
-        signs = [p for p in others if b"<|" not in p] if special else others
-        yield from zip(signs, self._together([p.decode("utf-8", "replace") for p in signs]))
-        yield from zip(special, self._each(special))
+    def _cut(self, text: bytes) -> list[bytes]:
+        return self.UNITS.findall(text.decode("utf-8", "replace").lower().encode())
+
+    def _by_pieces(self, text: bytes) -> bytes:
+        out: list[bytes | None] = []
+        pieces = text.split()
+        for p in pieces:
+            ids = [self.units.get(u) for u in self._cut(p)] if b"<|" not in p else [None]
+            out.append(self.pieces.get(p) if None in ids else b"".join(ids))
+        new = list({p for p, ids in zip(pieces, out) if ids is None})
+        found = dict(zip(new, self._each([p.decode("utf-8", "replace") for p in new]))) if new else {}
+        self.pieces.update((p, ids) for p, ids in found.items() if len(p) <= LONG_PIECE)
+        return b"".join([found[p] if ids is None else ids for p, ids in zip(pieces, out)])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        memo = self.pieces
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        new = [p for p in set().union(*split) if p not in memo]
-        found = dict(self._new(new)) if new else {}
-        memo.update(found)
-        out = [b"".join(map(memo.__getitem__, ps)) for ps in split]
-        for p in found:
-            if len(p) > LONG_PIECE:  # not worth remembering
-                del memo[p]
+        known = self.units
+        if len(known) > MEMO_UNITS:
+            known.clear()
+        if len(self.pieces) > MEMO_PIECES:
+            self.pieces.clear()
+        cut = [self._cut(t) for t in texts]
+        new = [u for u in set().union(*cut) if u not in known]
+        known.update(dict.fromkeys(new))
+        plain = [u for u in new if self.KNOWN.fullmatch(u.decode())]
+        known.update(zip(plain, self._together([u.decode() for u in plain])))
+        out = []
+        for text, units in zip(texts, cut):
+            ids = None if b"<|" in text else [known[u] for u in units]
+            out.append(self._by_pieces(text) if ids is None or None in ids else b"".join(ids))
+        for u in new:
+            if len(u) > LONG_PIECE:  # not worth remembering
+                del known[u]
         return out
 
 
