@@ -21,6 +21,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -104,14 +105,16 @@ class Encoder:
         if len(self.pieces) > MEMO_PIECES:
             self.pieces.clear()
         cut = [self._cut(t) for t in texts]
-        new = [u for u in set().union(*cut) if u not in known]
+        new = list(set(filterfalse(known.__contains__, chain.from_iterable(cut))))
         known.update(dict.fromkeys(new))
         plain = [u for u in new if self.KNOWN.fullmatch(u.decode())]
         known.update(zip(plain, self._together([u.decode() for u in plain])))
         out = []
         for text, units in zip(texts, cut):
-            ids = None if b"<|" in text else [known[u] for u in units]
-            out.append(self._by_pieces(text) if ids is None or None in ids else b"".join(ids))
+            try:
+                out.append(self._by_pieces(text) if b"<|" in text else b"".join(map(known.__getitem__, units)))
+            except TypeError:  # a unit of other signs, whose entry is None
+                out.append(self._by_pieces(text))
         for u in new:
             if len(u) > LONG_PIECE:  # not worth remembering
                 del known[u]
