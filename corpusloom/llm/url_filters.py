@@ -62,9 +62,13 @@ def _keys(host: Column, path: Column, depth: Column, lengths: list[int]) -> Colu
     return F.concat(named("domain", parents), named("host", F.array(host)), named("prefix", prefixes))
 
 
-def as_of(asked: DataFrame, spans: DataFrame, key: list[str], part: int = PART) -> DataFrame:
-    """The rows of ``asked`` (key, at and others) with begun: the last span (start, stop) of their key that starts at or before ``at``."""
+def as_of(asked: DataFrame, spans: DataFrame, key: list[str], part: int = PART, small: bool = False) -> DataFrame:
+    """The rows of ``asked`` (key, at and others) with begun: the last span (start, stop) of their key that starts at or before ``at``.
+
+    small: the keys are few enough to broadcast, so no row of a hot key moves before it is dealt to its part.
+    """
     parts = asked.groupBy(*key).agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    parts = F.broadcast(parts) if small else parts
     dealt = asked.withColumn("__row", F.struct(*asked.columns)).join(parts, key).withColumn("__part", F.pmod(F.xxhash64(*(c for c in asked.columns if c not in key)), "parts").cast("int"))
     copies = spans.join(parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     span = spans.select(F.struct("start", "stop").alias("s")).schema["s"].dataType
@@ -89,7 +93,7 @@ def judge(captures: DataFrame, entries: DataFrame, part: int = PART) -> DataFram
     listed = spans.select("list_name", "kind", "pattern").distinct()
     n_listed = listed.count()
     known = asked.join(F.broadcast(listed) if n_listed <= BROADCAST_ROWS else listed, ["kind", "pattern"])
-    met = as_of(known, spans, ["list_name", "kind", "pattern"], part).where("begun is not null and (begun.stop is null or at < begun.stop)")
+    met = as_of(known, spans, ["list_name", "kind", "pattern"], part, n_listed <= BROADCAST_ROWS).where("begun is not null and (begun.stop is null or at < begun.stop)")
     found = met.groupBy("url", F.col("at").alias("fetched_at")).agg(F.count("*").alias("n_matches"), F.min(F.concat_ws(":", "list_name", "kind", "pattern")).alias("first_match"))
     joined = base.join(found, ["url", "fetched_at"], "left")
     n = F.coalesce("n_matches", F.lit(0)).cast("long")
