@@ -5,9 +5,9 @@ of a few KB that cover all of it; each piece is compressed with every dictionary
 leaves the fewest bytes in all wins. The score is the margin to the runner-up; where it is narrow, the operator
 rejects the text (column ``accepted``).
 
-Bound of the sample: at most ``DOCS_PER_LANGUAGE`` documents for each language, those of the smallest hash of their
-id. Their whole texts go into the dictionary in that order, each that still fits ``DICTIONARY_BYTES``; where none fits,
-the shortest one is the dictionary. No text is cut, and all are compressed at one level.
+Bound of the sample: the ``LANGUAGES`` most frequent values of lang, at most ``DOCS_PER_LANGUAGE`` documents for each, those of
+the smallest hash of their id. In that order each whole text that still fits ``DICTIONARY_BYTES`` is chosen, by lengths alone;
+only the chosen ones leave the executors. Where none fits, the start of the shortest is the dictionary. All are compressed at one level.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0 and not accepted; equal sizes go to the
 language that comes first by name; where nothing can be learned every text is ``und``; documents with a null
@@ -29,6 +29,7 @@ from corpusloom.llm.common import held_out, table, text_batches
 
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 300
+LANGUAGES = 500
 DICTIONARY_BYTES = 64 * 1024
 PIECE = 8_192
 LEVEL = 6
@@ -42,14 +43,24 @@ _PLAIN = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 MARK = bytes(range(128, 224))
 
 
-def training_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """lang and text of the bounded sample; held-out documents are not in it."""
+def training_sample(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, size: int = DICTIONARY_BYTES) -> DataFrame:
+    """lang, r (order) and text of the bounded sample, ``size`` bytes a language at most; held-out documents are not in it."""
     key = F.xxhash64("text").alias("row_key")
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # Ids and hashes are ranked; only the texts of those chosen leave their files.
+    frequent = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    # Ids, hashes and lengths are ranked; only the texts of those chosen leave their files.
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "row_key")
-    ranked = usable.select("lang", "doc_id", key).withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language)
-    chosen = usable.select("lang", "doc_id", key, "text").join(ranked, ["lang", "doc_id", "row_key"])
+    lengths = usable.select("lang", "doc_id", key, F.octet_length("text").cast("long").alias("bytes"))
+    ranked = lengths.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language).join(F.broadcast(frequent), "lang")
+    listed = ranked.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "bytes", "doc_id", "row_key"))).alias("rows"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.slice("rows", 1, 0).alias("taken"))
+    fits = lambda s, x: s["used"] + x["bytes"] <= size
+    step = lambda s, x: F.struct(F.when(fits(s, x), s["used"] + x["bytes"]).otherwise(s["used"]).alias("used"), F.when(fits(s, x), F.concat(s["taken"], F.array(x))).otherwise(s["taken"]).alias("taken"))
+    taken = F.aggregate("rows", start, step)["taken"]
+    shortest = F.array(F.element_at(F.array_sort(F.transform("rows", lambda x: F.struct(x["bytes"].alias("bytes"), x["r"].alias("r"), x["doc_id"].alias("doc_id"), x["row_key"].alias("row_key")))), 1))
+    taken = F.when(F.size(taken) > 0, F.transform(taken, lambda x: F.struct(x["r"].alias("r"), x["doc_id"].alias("doc_id"), x["row_key"].alias("row_key")))).otherwise(F.transform(shortest, lambda x: F.struct(x["r"].alias("r"), x["doc_id"].alias("doc_id"), x["row_key"].alias("row_key"))))
+    few = listed.select("lang", F.explode(taken).alias("x")).select("lang", "x.*")
+    chosen = usable.select("lang", "doc_id", key, F.left("text", F.lit(size)).alias("text")).join(F.broadcast(few), ["lang", "doc_id", "row_key"])
     return chosen.select("lang", "r", "text").dropDuplicates(["lang", "r"])
 
 
@@ -58,18 +69,10 @@ def _normal(text: str) -> bytes:
     return b" ".join([b"", *text.lower().encode("utf-8", "replace").translate(_PLAIN).split(), b""])
 
 
-def dictionaries(sample: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from the bounded sample."""
+def dictionaries(sample: DataFrame) -> dict[str, bytes]:
+    """Raw-content dictionaries by language, from the sample, whose bytes are bounded."""
     rows = sample.toPandas().sort_values(["lang", "r"])
-    out = {}
-    for lang, group in rows.groupby("lang"):
-        texts, left, taken = [_normal(t) for t in group["text"]], size, []
-        for t in texts:
-            if len(t) <= left:
-                taken.append(t)
-                left -= len(t)
-        out[str(lang)] = b"".join(taken or [min(texts, key=len)]) + MARK
-    return out
+    return {str(lang): b"".join(map(_normal, group["text"])) + MARK for lang, group in rows.groupby("lang")}
 
 
 class Compressors:
