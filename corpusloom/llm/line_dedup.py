@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of MIN_CHARS characters or more take part; shorter ones (headings, brackets, list marks) are never touched. Equal
-lines are grouped first. Of the distinct lines, each is split into MAX_EDITS + 1 even segments, which are indexed by
+Lines that hold a letter or a figure take part; blank ones, brackets and rules are never touched. Equal lines are grouped
+first, and repeats of a line go whatever its length. Lines of MIN_CHARS characters or more are also compared. Each is split into MAX_EDITS + 1 even segments, which are indexed by
 (length, segment number, content); by the pigeonhole principle a line within MAX_EDITS edits holds one of them unchanged,
 near its place. So each line probes the index for all lengths down to MAX_EDITS less, with just the substrings at
 which such a segment can stand (multi-match-aware selection). What meets must agree in its counts of common letters (an
@@ -42,8 +42,8 @@ def _row_key() -> Column:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc (id, null last), row_key, at (line number from 0) and line of all lines that take part."""
-    lines = docs.where(F.length("text") >= MIN_CHARS).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), _row_key(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.where(F.length("line") >= MIN_CHARS)
+    lines = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), _row_key(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return lines.where((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]"))
 
 
 def _segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -220,7 +220,7 @@ def verdicts(docs: DataFrame, edits: int = MAX_EDITS) -> DataFrame:
     """doc, row_key, at, gone and degree (links of the line) for every line that repeats or has a link."""
     grouped = occurrences(docs).groupBy("line").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).select(F.xxhash64("line").alias("h"), "line", "first_doc", "n")
     lines, _ = materialise(measured(grouped), "lines")
-    links, _ = materialise(edit_links(lines, edits), "line-links")
+    links, _ = materialise(edit_links(lines.where(F.col("chars") >= MIN_CHARS), edits), "line-links")
     n_links = links.count()
     linked = links.select("h").union(links.select(F.col("other_h").alias("h"))).distinct()
     starts, _ = materialise(lines.join(F.broadcast(linked) if 2 * n_links <= BROADCAST_ROWS else linked, "h", "left_semi").select(F.col("line").alias("t"), "first_doc"), "linked-lines")
@@ -271,12 +271,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(doc_id, 9223372036854775807) AS doc, md5(text) AS row_key, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS ls FROM documents),
 o AS (SELECT DISTINCT doc, row_key, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
-occ AS (SELECT * FROM o WHERE length(line) >= 20),
+occ AS (SELECT * FROM o WHERE length(line) >= 20 OR regexp_matches(line, '[\p{L}\p{N}]')),
 l AS (SELECT line, min(doc) AS first_doc, length(line) AS n FROM occ GROUP BY 1),
-cut AS (SELECT line, n, p, md5(left(line, p - 1) || '|' || substr(line, p + 1)) AS k, md5(left(line, p - 1) || substr(line, p + 1)) AS w FROM l, (SELECT unnest(range(1, (SELECT max(n) + 1 FROM l))) AS p) WHERE p <= n),
+far AS (SELECT * FROM l WHERE n >= 20),
+cut AS (SELECT line, n, p, md5(left(line, p - 1) || '|' || substr(line, p + 1)) AS k, md5(left(line, p - 1) || substr(line, p + 1)) AS w FROM far, (SELECT unnest(range(1, (SELECT max(n) + 1 FROM far))) AS p) WHERE p <= n),
 links AS (
   SELECT DISTINCT x.line AS a, y.line AS b FROM cut x JOIN cut y ON x.k = y.k AND x.n = y.n AND x.p = y.p AND x.line < y.line
-  UNION SELECT DISTINCT x.line, y.line FROM l x JOIN cut y ON md5(x.line) = y.w AND y.n = x.n + 1),
+  UNION SELECT DISTINCT x.line, y.line FROM far x JOIN cut y ON md5(x.line) = y.w AND y.n = x.n + 1),
 ends AS (SELECT a AS t, b AS u FROM links UNION ALL SELECT b, a FROM links),
 judged AS (SELECT t, bool_or((y.first_doc, y.line) < (x.first_doc, x.line)) AS later, count(*) AS degree FROM ends JOIN l x ON x.line = t JOIN l y ON y.line = u GROUP BY 1),
 seen AS (
