@@ -5,10 +5,9 @@ row with placeholders for values; a window with fewer than two plain words keeps
 figures match only themselves. A window is held where it stands with placeholders or as plain lower-case words, so a
 copy in other letter case counts. An item is found in a document that holds at least 0.8 of its distinct windows. To find such pairs without meeting common windows, only an item's rarest windows are looked up first: a document that
 holds 0.8 of n windows holds one of any n - ceil(0.8 n) + 1. Pairs found are verified on all windows. Then values are compared:
-where an item's value recurs, the document must put one value of its own in all those places, and no other value of
-the item may have become the same. Each alignment is judged by itself, and the best ones that together hold 0.8 of the
-windows decide: a pair with a value that doesn't map that way is no copy, unless 0.8 of the windows are there word for
-word. A pair is ``verbatim`` if all values of
+where an item's value recurs, the document must put one value of its own in its places; different values may become the same. Each
+alignment is judged by itself, and the best ones that together hold 0.8 of the windows decide: a pair of whose recurring values' places under
+SLOTS keep to that mapping is no copy, unless 0.8 of the windows are there word for word. A pair is ``verbatim`` if all values of
 these alignments are the same, else ``reparameterised``.
 
 Defined results: null and empty texts have no windows and never match; texts and items of fewer than five tokens have
@@ -24,6 +23,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import materialise, table
 
 WORDS, SHARE, PLAIN = 5, 0.8, 2
+#: Share of the places of an item's recurring values that must keep to one value of the document for each value of the item.
+SLOTS = 0.8
 #: Rows up to which a benchmark-sized table (about 40 bytes a row) is broadcast; beyond that joins shuffle.
 BROADCAST_ROWS = 1_000_000
 NUMBER, NAME, UNIT = "\x02", "\x03", "\x04"
@@ -138,11 +139,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where("left(i.value, 1) = left(d.value, 1)")
     )
     values = both.select("s.doc", "s.item_id", "s.shift", F.col("i.value").alias("asked"), F.col("d.value").alias("put"))
-    # A value is kept where it has one value of its own: one in all places where it recurs, and no other value has the same.
-    of_value, of_put = (Window.partitionBy("doc", "item_id", "shift", c) for c in ("asked", "put"))
-    mapped = values.distinct().withColumns({"puts": F.count("*").over(of_value), "askers": F.count("*").over(of_put)})
-    by_value = mapped.groupBy("doc", "item_id", "shift", "asked").agg(F.bool_and((F.col("puts") == 1) & (F.col("askers") == 1)).alias("one"), F.bool_and(F.col("put") == F.col("asked")).alias("equal"))
-    judged = by_value.groupBy("doc", "item_id", "shift").agg(F.count("*").alias("asked"), F.count_if("one").alias("kept"), F.bool_and("equal").alias("equal"))
+    # Each value of the item is put as the document's value that stands in most of its places; places with another one break the mapping.
+    counted = values.groupBy("doc", "item_id", "shift", "asked", "put").agg(F.count("*").alias("places"))
+    by_value = counted.groupBy("doc", "item_id", "shift", "asked").agg(F.sum("places").alias("of"), F.max("places").alias("most"), F.bool_and(F.col("put") == F.col("asked")).alias("equal"))
+    judged = by_value.groupBy("doc", "item_id", "shift").agg(F.sum(F.when(F.col("of") > 1, F.col("of"))).alias("asked"), F.sum(F.when(F.col("of") > 1, F.col("most"))).alias("kept"), F.bool_and("equal").alias("equal"))
 
     # The best alignments first, as many as hold the share of the windows; only their values decide.
     each = aligned.groupBy("doc", "item_id", "n", "shift").agg(F.count_distinct("w").alias("windows"))
@@ -160,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     verdict = best.groupBy("doc", "item_id").agg(F.coalesce(F.try_divide(F.sum("kept"), F.sum("asked")), F.lit(1.0)).alias("consistency"), F.bool_and("equal").alias("equal"))
     out = pairs.alias("p").join(verdict.alias("j"), F.expr("p.doc <=> j.doc AND p.item_id <=> j.item_id"))
     word_for_word = F.col("n_same") >= F.ceil(F.col("p.n") * SHARE)
-    return out.where((F.col("consistency") == 1) | word_for_word).select(
+    return out.where((F.col("consistency") >= SLOTS) | word_for_word).select(
         "p.doc.doc_id", "p.doc.row_key", "p.item_id", F.col("p.n").cast("long").alias("n_windows"), "p.n_found", (F.col("p.n_found") / F.col("p.n")).alias("containment"),
         "j.consistency", F.when(F.col("equal"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
