@@ -33,9 +33,10 @@ def expanded_sections(hits: DataFrame, sections: DataFrame, question: str, key:
 
 def section_references(text: Column) -> Column:
     """Structs number and law of the sections that a text refers to; the law is the act named after the number, if any."""
-    pattern = rf"\b(?i:{T.ANNOUNCING}|ss\.)\s*({T.SECTION_NUMBER})(?![A-Za-z])(?:\([^)]*\))*(?:,?\s+(?:of\s+)?(?:the\s+)?({checks.ACT_NAME}))?"
+    pattern = rf"(?<!\w)(?i:{T.ANNOUNCING}|ss\.)\s*({T.NUMBERED})(?:\([^)]*\))*(?:,?\s+(?:of\s+)?(?:the\s+)?({checks.ACT_NAME}))?"
     part = lambda m, i: F.regexp_extract(m, pattern, i)
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(T.section_number(part(m, 1)).alias("number"), F.nullif(part(m, 2), F.lit("")).alias("law")))
+    found = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: T.is_section_number(part(m, 1)))
+    return F.transform(found, lambda m: F.struct(T.section_number(part(m, 1)).alias("number"), F.nullif(part(m, 2), F.lit("")).alias("law")))
 
 
 def merged_entities(entities: DataFrame, key: str) -> DataFrame:

@@ -122,7 +122,7 @@ def bm25_weighted(t: Tables) -> DataFrame:
     return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("question_expansion", """SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '(?i)\\b(?:sections?|secs?\\.?|s\\.|u/s|articles?|arts?\\.?)\\s*(\\d{1,4})\\b', 1), lambda x: 'sec' || x), ' ') AS refs FROM conversations""")
+@query("question_expansion", r"""SELECT conv_id, turn, array_to_string(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(?:^|[^a-z0-9_])(?:section|sections|sec|sec\.|secs|secs\.|s\.|u/s|article|articles|art|art\.|arts|arts\.)\s*([0-9]+(?:-?[a-z]+)?)', 1), lambda x: regexp_full_match(x, '[0-9]{1,4}')), lambda x: 'sec' || x), ' ') AS refs FROM conversations""")
 def question_expansion(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.array_join(F.filter(T.question_tokens(F.col("text")), lambda w: w.rlike("^sec[0-9]+$")), " ").alias("refs"))
 

@@ -37,6 +37,13 @@ def test_text_functions(spark, f, text, want):
 def test_dates(spark):
     found = one(spark, T.dates, "On 3/4/99, the 5th of March 2001 and Sept 7, 2010; 31.02.2020 too")
     assert {tuple(d) for d in found} == {(2099, 4, 3), (2001, 3, 5), (2010, 9, 7), (2020, 2, 31)}
+    more = one(spark, T.dates, "v1.2.2003 and 123.4.5.2006, 7-8-2009x, 10/11/12; 1st. May, 2004 and May 2 2005, Mayo 3, 2006, 12.13.1.2014")
+    assert {tuple(d) for d in more} == {(2006, 5, 4), (2012, 11, 10), (2005, 5, 2), (2014, 1, 13)}
+
+
+def test_section_references_by_rule(spark):
+    got = one(spark, T.section_tokens, "Section 25-A, secs. 3 and s.5b; u/s 302/34, art 7abc, arts. 12345, this 9, Articles 10")
+    assert got == ["sec25a", "sec3", "sec5b", "sec302", "sec10"]
 
 
 def test_placeholders(spark):

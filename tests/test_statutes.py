@@ -35,16 +35,58 @@ def test_statute_of_all_kinds(spark):
     assert shares[1][1] == 5 and shares[1][0] >= 5 and shares[2] == (0, 0) and shares[4] == (0, 0)
 
 
-@pytest.mark.parametrize("look,numbers,want", [(7, "1 2 4 10 3 5", "1 2 4 5"), (7, "1 2 30 31 32 33", "1 2 30 31 32 33"), (7, "1 2 200 3", "1 2 3"), (0, "1 2 30 31 3", "1 2 3"), (7, "2 1 2 3", "2 3")])
-def test_rising_numbers(look, numbers, want):
+@pytest.mark.parametrize(
+    "wide,numbers,want",
+    [(True, "1 2 4 10 3 5", "1 2 4 5"), (True, "1 2 30 31 32 33", "1 2 30 31 32 33"), (True, "1 2 200 3", "1 2 3"), (False, "1 2 30 31 3", "1 2 3"), (True, "2 1 2 3", "1 2 3"), (True, "1 2 5 3 4 5 6", "1 2 3 4 5 6"), (True, "", "")],
+)
+def test_rising_numbers(wide, numbers, want):
     n = list(map(int, numbers.split()))
-    ok = statutes._rising(n, [""] * len(n), [False] * len(n), look)
+    ok = statutes._chain(n, [""] * len(n), [False] * len(n), wide)
     assert " ".join(str(x) for x, k in zip(n, ok) if k) == want
 
 
+def test_chain_is_worth_most():
+    from itertools import combinations
+
+    rnd = random.Random(3)
+    for _ in range(60):
+        found = [(rnd.choice([*range(1, 9), 30, 31, 32]), rnd.choice(["", "", "A"]), rnd.random() < 0.2) for _ in range(8)]
+
+        def worth(chain):
+            last, total = (0, ""), 0
+            for n, letter, glued in chain:
+                cost = statutes._step_cost(n - last[0], glued, True)
+                if (n, letter) <= last or cost is None:
+                    return -9
+                total, last = total + 1 - cost, (n, letter)
+            return total
+
+        best = max(worth(c) for k in range(9) for c in combinations(found, k))
+        ok = statutes._chain([f[0] for f in found], [f[1] for f in found], [f[2] for f in found])
+        assert worth([f for f, k in zip(found, ok) if k]) == best
+
+
 def test_glued_numbers_are_the_very_next():
-    assert statutes._rising([1, 2, 38, 3, 8], ["", "", "", "", ""], [False, False, False, True, True], 7) == [True, True, False, True, False]
-    assert statutes._rising([1, 1, 1, 2], ["", "A", "B", ""], [False] * 4, 7) == [True] * 4
+    assert statutes._chain([1, 2, 38, 3, 8], ["", "", "", "", ""], [False, False, False, True, True]) == [True, True, False, True, False]
+    assert statutes._chain([1, 1, 1, 2], ["", "A", "B", ""], [False] * 4) == [True] * 4
+
+
+def test_every_footnote_word(spark):
+    rows = [(w, f"Body of section. 1{w}{'x' if w[-1].isalpha() else ''} and the rest. Page 1 of 2 Next.") for w in statutes.FOOTNOTES]
+    assert {"Deleted", "Modified", "Extended", "Sic", "Explanation", "Gaz"} <= set(statutes.FOOTNOTES)
+    df = spark.createDataFrame(rows, "w string, t string")
+    got = df.select("w", statutes.without_footnotes(statutes.with_page_breaks(F.col("t"))).alias("x")).collect()
+    assert {r.x for r in got} == {"Body of section. Next."}
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Rule 3[(1) x]2 and ]3. y", "Rule [(1) x] and]3. y"), ("a 12 [b] (3[c] 4/5[d]", "a [b] (3[c] 4/5[d]"), ("x ____ y Uploaded on 12.3.2001 z", "x y z"), ("a , b ; c )", "a, b; c)"),
+    ],
+)
+def test_marks_out(spark, text, want):
+    assert spark.range(1).select(statutes.without_marks(F.lit(text)).alias("x")).first().x == want
 
 
 def test_schedules_go_by_their_numbers(spark):
