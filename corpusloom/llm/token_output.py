@@ -9,8 +9,8 @@ page indexes, so a read of some documents or columns takes the pages that hold t
 Ids are those of the tokenizers library for the whole text. The vocabulary drops white space and never joins across it, nor across
 letters, figures and signs, so a text is taken apart there; each different part is encoded once by the library and then looked up.
 
-Defined results: null text is the end id alone. A null doc_id comes before all others; rows that share one stand in the order of
-their texts' XXH64, equal rows in any. No documents give no units. Columns of other names are left alone.
+Defined results: null text is the end id alone. A null doc_id comes before all others; rows that share one stand in the order in
+which they were read. No documents give no units. Columns of other names are left alone.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ UNIT_BYTES = 256 << 20  # bytes of text of a unit, about
 BROADCAST_UNITS = 1_000_000  # rows of two numbers; with more units their bases are joined by a shuffle
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-MEMO_PIECES, MEMO_UNITS = 200_000, 800_000  # pieces between white space and their units that a worker remembers; then it starts anew
+MEMO_PIECES, MEMO_UNITS = 100_000, 500_000  # pieces between white space and their units that a worker remembers; then it starts anew
 LONG_PIECE = 64  # bytes; longer ones are encoded each time
 JOINED = 2_000  # units that are encoded in one text
-TOGETHER_BYTES = 4 << 20  # bytes of texts that are encoded at a time
+TOGETHER_BYTES = 1 << 20  # bytes of texts that are encoded at a time
 _ENCODED = "doc_id long, unit int, at long, n_tokens int, ids array<int>"
 WRITER = {
     "parquet.writer.version": "v2",
@@ -163,16 +163,15 @@ def write_tokens(docs: DataFrame, path: str, model: str | None = None, end_id: i
     """Encode doc_id and text of ``docs`` and write them below ``path`` (a new folder). Returns ``path``.
 
     Texts are dealt to units by ranges of doc_id, as many as their bytes ask for; a doc_id with very many rows is split by the rows'
-    texts and places, so no unit grows with it.
+    places, so no unit grows with it.
     """
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = max(1, -(-total // unit_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20))
-    keyed = rows.withColumn("__text", F.xxhash64("text")).withColumn("__place", F.monotonically_increasing_id())
-    order = ["doc_id", "__text", "__place"]
-    dealt = keyed.repartitionByRange(int(units), *order).sortWithinPartitions("doc_id", "__text", "__place").select("doc_id", "text")
+    keyed = rows.withColumn("__place", F.monotonically_increasing_id())  # ranges are sampled from two numbers; no text is read for that
+    dealt = keyed.repartitionByRange(int(units), "doc_id", "__place").sortWithinPartitions("doc_id", "__place").select("doc_id", "text")
     dealt.mapInArrow(_encoded(model, end_id), _ENCODED).write.options(**WRITER).parquet(f"{path}/data")
     data = spark.read.schema(_ENCODED).parquet(f"{path}/data")
     # ranges are numbered in the order of doc_id; the units' table has a row for each task of the writing job
