@@ -175,3 +175,34 @@ def reparsed_records(t: Tables) -> DataFrame:
     parse = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\r\f\x0b]+", " "))
     found = versions.reparsed(state, saved.select("url", F.col("o.at").alias("saved_at"), F.col("o.c").alias("content")), parse, lambda r: F.when(F.length(r) < 200, "near-empty"))
     return found.select(F.col("url").cast("long").alias("doc_id"), "outcome", "reason")
+
+
+@query("archive_members", "SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents")
+def archive_members(t: Tables) -> DataFrame:
+    """All documents written into zip archives by tasks, and read back member by member through the data source."""
+    import pandas as pd
+
+    from corpusloom.sources.archives import Archives
+
+    path = scratch_path(t.spark, "archives").removeprefix("file://")
+
+    def zipped(batches):
+        import os
+        import uuid
+        import zipfile
+
+        os.makedirs(path, exist_ok=True)
+        made = f"{path}/{uuid.uuid4().hex}"
+        n = 0
+        with zipfile.ZipFile(f"{made}.part", "w", zipfile.ZIP_DEFLATED) as z:
+            for b in batches:
+                for i, text in zip(b["doc_id"], b["text"]):
+                    z.writestr(f"{i}.txt", text or "")
+                    n += 1
+        os.rename(f"{made}.part", f"{made}.zip") if n else os.remove(f"{made}.part")
+        yield pd.DataFrame({"n": [n]})
+
+    t.documents.select("doc_id", "text").repartition(4).mapInPandas(zipped, "n long").agg(F.sum("n")).collect()
+    t.spark.dataSource.register(Archives)
+    rows = t.spark.read.format("archives").option("pattern", "*.txt").option("partBytes", str(4 << 20)).load(path)
+    return rows.select(F.regexp_extract("member", r"^(\d+)", 1).cast("long").alias("doc_id"), "size", F.md5("content").alias("digest"))

@@ -172,3 +172,26 @@ def fuzzy_titles(t: Tables) -> DataFrame:
     name = F.concat_ws(" ", "p_name", "p_type")
     asked = t.part.select(F.col("p_partkey").alias("id"), F.regexp_replace(name, "a", "e").alias("title"))
     return D.fuzzy_titles(asked, t.part.select(F.col("p_partkey").alias("held_id"), name.alias("title")))
+
+
+@query("ocr_repaired")
+def ocr_repaired(t: Tables) -> DataFrame:
+    """Texts with torn words joined, until nothing more can be joined; the vocabulary is that of all texts."""
+    from corpusloom.operators import repair
+
+    docs = t.documents.select("doc_id", F.col("text").alias("text"), F.length("text").alias("before"))
+    found = repair.repaired(docs, "doc_id", repair.vocabulary(docs))
+    return found.select("doc_id", (F.col("before") - F.length("text")).cast("long").alias("joined"), F.sha2("text", 256).alias("digest"))
+
+
+@query("sections_in_sql", """SELECT c_custkey, 1::BIGINT AS seq, c_custkey::VARCHAR AS section, c_name AS heading, c_mktsegment AS text FROM customer
+ UNION ALL SELECT c_custkey, 2, 'B', 'More', 'end of ' || c_nationkey FROM customer WHERE c_custkey % 3 > 0""")
+def sections_in_sql(t: Tables) -> DataFrame:
+    """The table function of sections, called from SQL over a table."""
+    from corpusloom.functions import tables
+
+    tables.register(t.spark)
+    more = F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("\nPart II\nSection B: More\nend of "), F.col("c_nationkey").cast("string"))).otherwise("")
+    text = F.concat(F.lit("Head\nSection "), F.col("c_custkey").cast("string"), F.lit(" - "), F.col("c_name"), F.lit("\n"), F.col("c_mktsegment"), more)
+    t.customer.select("c_custkey", text.alias("text")).createOrReplaceTempView("printed_customers")
+    return t.spark.sql("SELECT * FROM section_rows(TABLE(printed_customers), 'c_custkey', 'text')")

@@ -47,7 +47,7 @@ class ByUrl(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "hash string, at timestamp")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
         held = self.last.get() if self.last.exists() else None
         digest, at = (held[0], held[1]) if held else (None, None)
         out = []
@@ -82,7 +82,7 @@ class ByText(StatefulProcessor):
         self.holder = handle.getValueState("holder", "url string")
         self.first = handle.getValueState("first", "run string, url string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
         holder = self.holder.get()[0] if self.holder.exists() else None
         run, first = tuple(self.first.get()) if self.first.exists() else (None, None)
         parts = pd.concat(list(rows))
