@@ -227,9 +227,9 @@ def confidence_flags(t: Tables) -> DataFrame:
     return R.vector_scores(t.embeddings, _question(t)).groupBy("label").agg(F.coalesce(F.max("score") >= 0.70, F.lit(False)).alias("confident"))
 
 
-@query("numbered_sources", """SELECT conv_id, string_agg('[' || (turn + 1) || '] Source: ' || role || chr(10) || left(text, 40), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations WHERE turn < 4 GROUP BY 1""")
+@query("numbered_sources", """SELECT conv_id, string_agg('[' || (turn + 1) || '] Source: ' || role || chr(10) || left(text, 40), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY 1""")
 def numbered_sources(t: Tables) -> DataFrame:
-    rows = t.conversations.where("turn < 4").withColumn("rank", F.col("turn") + 1)
+    rows = t.conversations.withColumn("rank", F.col("turn") + 1)
     return R.numbered_sources(rows, "conv_id", "rank", F.col("role"), F.left("text", F.lit(40)))
 
 
