@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from corpusloom.operators import catalog
 from corpusloom.plans.registry import Tables, query
 from corpusloom.streaming import staging
-from corpusloom.sources import readers, shards, sinks, versions
+from corpusloom.sources import listings, readers, shards, sinks, versions
 from corpusloom.sources.scratch import scratch_path
 
 
@@ -206,3 +206,17 @@ def archive_members(t: Tables) -> DataFrame:
     t.spark.dataSource.register(Archives)
     rows = t.spark.read.format("archives").option("pattern", "*.txt").option("partBytes", str(4 << 20)).load(path)
     return rows.select(F.regexp_extract("member", r"^(\d+)", 1).cast("long").alias("doc_id"), "size", F.md5("content").alias("digest"))
+
+
+@query("accordion_laws", """SELECT p_size AS page, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS nth, p_name AS title, 'law?id=' || p_partkey AS target,
+ CASE WHEN p_partkey % 3 = 0 THEN p_partkey || ' of 1950' END AS act_number, CASE p_partkey % 3 WHEN 0 THEN 'May ' || p_size || ' 1950' WHEN 1 THEN 'June 1 1951' END AS promulgated FROM part""")
+def accordion_laws(t: Tables) -> DataFrame:
+    """Listing pages printed from the parts by their size: titles nested differently, with all, some or none of what stands behind them."""
+    kind, number = F.col("p_partkey") % 3, F.col("p_partkey").cast("string")
+    link = F.concat(F.lit('<a href="law?id='), number, F.lit('">'), F.col("p_name"), F.lit("</a>"))
+    title = F.concat(F.lit('<div class="accordion-section-title">'), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<div><div>"), link, F.lit("</div></div>"))).otherwise(link), F.lit("</div>"))
+    full = F.concat(F.lit('<div class="accordion-section-content">Laws | <b>'), number, F.lit(" of 1950</b> | Promulgation Date: May "), F.col("p_size").cast("string"), F.lit(" 1950</div>"))
+    behind = F.when(kind == 0, full).when(kind == 1, '<div>x</div><div class="accordion-section-content"><div>Laws | none |</div> Promulgation Date: June 1 1951</div>').otherwise("")
+    block = F.struct("p_partkey", F.concat(F.lit("<div>"), title, behind, F.lit("</div>")).alias("b"))
+    pages = t.part.groupBy(F.col("p_size").alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), "\n").alias("html"))
+    return listings.accordion(pages, "page")
