@@ -6,23 +6,46 @@ documents in joins on the answer's key, so no answer is compared with another on
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import answers as A, checks as K
 
-# Law reports, and legal consequences with what states them in a source.
-REPORTS = "PLD SCMR CLC YLR MLD PCrLJ PLC PLJ".split()
+# Law reports that stand before their year and behind it, kinds of cases and their short forms, words that a stop doesn't
+# end a sentence after, and legal consequences with what states them in a source.
+REPORTS_BEFORE = "PLD PLJ NLR KLR".split()
+REPORTS_BEHIND = "SCMR MLD CLC YLR PCrLJ PLC CLD PTD SCJ MLR CLJ".split()
+CASE_KINDS = "petition appeal revision reference suit case".split()
+CASE_SHORT = "CPLA CP CA CrlA CrlP WP".split()
+ABBREVIATIONS = "mst v vs s ss sec secs art arts no nos mr mrs ms dr st ltd co sc lah kar pesh cr eg ie cf viz pp p".split()
 CONSEQUENCES = {
     "void": r"\bvoid\b", "voidable": r"\bvoidable\b", "invalid": r"\binvalid", "forfeiture": r"\bforfeit", "death": r"\bdeath\b", "imprisonment for life": r"\bimprisonment for life\b",
 }
-REPORTED = rf"\b(?:(?:{'|'.join(REPORTS)})\s+\d{{4}}\s+[A-Z][A-Za-z.]*(?:\s+[A-Z][A-Za-z.]*)?\s+\d+|\d{{4}}\s+(?:{'|'.join(REPORTS)})\s+\d+)\b"
+
+
+def _lettered(names: list[str]) -> str:
+    """Pattern of any of some short forms, whose letters may have stops and a space between them ("PCrLJ" is "P. Cr. L. J.")."""
+    return "|".join(r"\.?\s?".join(re.findall("[A-Z][a-z]*", name)) for name in names)
+
+
+_PAGE = r"(?:\s+\([^)]*\))?(?:\s+[0-9]{1,5}\b)?"
+_BEFORE = rf"(?:{_lettered(REPORTS_BEFORE)})\.?\s*\(?[0-9]{{4}}\)?(?:\s+[A-Z][A-Za-z.]*(?=\s+[(0-9]))?{_PAGE}"
+_BEHIND = rf"[0-9]{{4}}\s+(?:{_lettered(REPORTS_BEHIND)})(?![A-Za-z])\.?{_PAGE}"
+REPORTED = rf"\b(?:{_BEFORE}|{_BEHIND})"
+#: Spaces that end a sentence: those behind a stop that isn't one of an abbreviation or an initial.
+SENTENCE_END = rf"(?<=[.!?])(?<!(?i:\b(?:{'|'.join(ABBREVIATIONS)}|[a-z])\.))\s+"
 #: A word of a party's name: titles and initials have stops.
 _WORD = r"(?:(?:Mst|Mr|Mrs|Ms|Dr|Ch)\.|[A-Z]\.|[A-Z][\w'’-]*)"
 _PARTY = rf"{_WORD}(?:\s+(?:of\s+|and\s+|the\s+)?{_WORD}){{0,5}}"
 NAMED = rf"\b{_PARTY}\s+(?:v\.|vs\.?|versus)\s+{_PARTY}"
-NUMBERED = r"(?i)\b(?:appeal|petition|revision|reference|suit|case)s?\s+no\.?\s*(\d+)(?:-?[a-z])?\s*(?:of|/)\s*(\d{4})\b"
+#: A case by its number, or by the first of several, and its year.
+NUMBERED = (
+    rf"(?i)\b(?:(?:{'|'.join(CASE_KINDS)})s?|(?:{_lettered(CASE_SHORT)})\.?)\s*(?:nos?\b\.?\s*)?([0-9]{{1,6}})(?:-[a-z]\b)?"
+    r"(?:\s*(?:,|&|-|\band\b|\bto\b)\s*[0-9]{1,6})*\s*(?:\bof\b|/)\s*([0-9]{4})\b"
+)
 PARAGRAPH = r"(?i)\bpara(?:graph)?s?\.?\s+(\d{1,3}(?:\s*(?:,|and|&)\s*\d{1,3})*)"
 # Words that may stand in capitals before a person's name, and words that are no part of one.
 BEFORE_NAMES = (
@@ -66,13 +89,14 @@ def retrieved_cases(mentions: DataFrame, cases: DataFrame, key: str) -> DataFram
     cases: key, case_id, name, numbers (array<string>), year (string), paragraph. Mentions of no case of theirs have no row.
     """
     number, year = F.regexp_extract("cite", NUMBERED, 1), F.regexp_extract("cite", NUMBERED, 2)
-    asked = mentions.withColumns({"__words": name_words(F.regexp_replace("cite", r"\b(?:v\.|vs\.?|versus)(?=\s)", " ")), "__number": number, "__year": year})
+    several = F.slice(F.regexp_extract_all("cite", F.lit("[0-9]+"), F.lit(0)), 1, F.size(F.regexp_extract_all("cite", F.lit("[0-9]+"), F.lit(0))) - 1)  # all but the year
+    asked = mentions.withColumns({"__words": name_words(F.regexp_replace("cite", r"\b(?:v\.|vs\.?|versus)(?=\s)", " ")), "__number": number, "__year": year, "__several": F.when(number != "", several)})
     held = cases.withColumns({"__held": name_words(F.col("name"))})
-    by_number = (F.col("__number") != "") & F.array_contains("numbers", F.col("__number")) & (F.col("__year") == F.col("year"))
+    by_number = (F.col("__number") != "") & F.arrays_overlap("numbers", "__several") & (F.col("__year") == F.col("year"))
     by_name = (F.col("__number") == "") & (F.size("__words") >= 2) & (F.size(F.array_except("__words", "__held")) == 0)
     met = asked.join(held, key).where(by_number | by_name)
     first = F.row_number().over(Window.partitionBy(key, "line", "start", "cite").orderBy("case_id"))
-    return met.withColumn("__n", first).where("__n = 1").drop("__n", "__words", "__number", "__year", "__held")
+    return met.withColumn("__n", first).where("__n = 1").drop("__n", "__words", "__number", "__year", "__several", "__held")
 
 
 def wrong_paragraphs(answers: DataFrame, cases: DataFrame, key: str) -> DataFrame:
@@ -111,8 +135,7 @@ def without_unbacked_cases(answers: DataFrame, passages: DataFrame, key: str, ca
         return F.array_join(inner, "|")
 
     def prose(line: Column) -> Column:
-        # A stop ends a sentence unless it is that of "v." or "No."
-        sentences = F.split(line, r"(?<=[.!?])(?<!\bv\.)(?<!\bvs\.)(?<!\bNo\.)(?<!\bno\.)\s+")
+        sentences = F.split(line, SENTENCE_END)
         return F.regexp_replace(F.array_join(F.transform(sentences, lambda s: F.when(spoilt(s), F.lit(mark)).otherwise(s)), " "), rf"(?:\Q{mark}\E\s*){{2,}}", F.lit(f"{mark} "))
 
     lines = F.transform(F.split("text", "\n"), lambda x: F.when(~spoilt(x), x).when(F.ltrim(x).startswith("|"), table_row(x)).otherwise(F.rtrim(prose(x))))

@@ -110,6 +110,30 @@ def test_unbacked_cases_go_with_their_sentence(spark):
     assert got[1] == "One. [x] Two.\nPLD 1990 SC 12 says it. [x] End.\n| [x] | |\n| x | [x] | y |"
 
 
+@pytest.mark.parametrize("cite", ["PLD 1990 SC 12", "PLD (1990) Lah 7", "PLJ 2001 Kar. 5", "NLR 1999 SC 1", "KLR 2004 Pesh 9", "1999 SCMR 7", "2003 MLD 1", "1998 CLC 3", "2001 YLR 22", "1987 PCrLJ 5", "1987 P. Cr. L. J. 5",
+    "2010 PLC (C.S.) 15", "2011 CLD 4", "2012 PTD 8", "1986 SCJ 2", "1991 MLR 3", "1990 CLJ 6"])
+def test_every_report(spark, cite):
+    assert [r.x for r in spark.range(1).select(F.explode(F.regexp_extract_all(F.lit(f"See {cite} for it, and 1999 SCMRX 7."), F.lit(citations.REPORTED), F.lit(0))).alias("x")).collect()] == [cite]
+
+
+@pytest.mark.parametrize("cite,number", [("Civil Appeal No. 5 of 2001", "5"), ("C.P.L.A. 12/2020", "12"), ("Crl.A. No. 7-P of 1999", "7"), ("CRIMINAL PETITIONS NOS. 4657 TO 4659 OF 2022", "4657"), ("W.P. 3, 4 and 9/2010", "3"), ("C.A. 88 of 1987", "88")])
+def test_every_case_number(spark, cite, number):
+    row = spark.range(1).select(F.regexp_extract(F.lit(f"In {cite}, it"), citations.NUMBERED, 1).alias("n"), F.regexp_extract(F.lit(cite), citations.NUMBERED, 2).alias("y")).first()
+    assert row.n == number and cite.endswith(row.y)
+
+
+def test_several_numbers_name_a_case(spark):
+    mentions = citations.case_mentions(spark.createDataFrame([(1, "Petitions Nos. 3, 4 and 9 of 2010; Petition 5 of 2010.")], "k long, text string"), "k")
+    cases = spark.createDataFrame([(1, "a", "", ["9"], "2010", 1)], "k long, case_id string, name string, numbers array<string>, year string, paragraph int")
+    assert [r.cite for r in citations.retrieved_cases(mentions, cases, "k").collect()] == ["Petitions Nos. 3, 4 and 9 of 2010"]
+
+
+def test_abbreviations_end_no_sentence(spark):
+    text = "One. Held for Mst. Amna by Mr. A. Khan and Co. Ltd. in 1999 SCMR 7 at p. 9, cf. s. 5. Two."
+    answers = spark.createDataFrame([(1, text)], "k long, text string")
+    assert citations.without_unbacked_cases(answers, answers.limit(0), "k", mark="[x]").first().text == "One. [x] Two."
+
+
 def test_paragraph_of_the_nearest_case(spark):
     answers = spark.createDataFrame([(1, "Amir Khan v. Bano Bibi, para 4; Civil Appeal No. 5 of 2001 at paras 7, 8.\npara 99 alone")], "k long, text string")
     cases = spark.createDataFrame([(1, "a", "Amir Khan and another v. Mst. Bano Bibi", [], "", 3), (1, "b", "", ["5"], "2001", 8)], "k long, case_id string, name string, numbers array<string>, year string, paragraph int")
