@@ -40,7 +40,9 @@ def index_exclusion(text: Column, is_item: Column | None = None, least: int = 40
     body = F.trim(text)
     bare = F.regexp_replace(body, r"^(\s*[\[(]\s*)+", "")
     removal = bare.rlike(r"^(?i:omitted|repealed|rep\. by)") & (F.length(bare) < 250)
-    short = (F.length(body) < least) & (F.regexp_count(body, F.lit(r"\b[a-z]{2,}\b")) < 3)
+    # Bounds of words are stated by letters of any script: what \b means for them depends on the Java version.
+    words = F.regexp_count(body, F.lit(r"(?<![\p{L}\p{M}\p{N}_])[a-z]{2,}(?![\p{L}\p{M}\p{N}_])"))
+    short = (F.length(body) < least) & (words < 3)
     if is_item is not None:
         short = short & ~is_item
     return F.when(short, "body under 40 characters").when(removal, "removal note")

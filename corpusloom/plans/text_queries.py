@@ -126,7 +126,7 @@ def headings_masked(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.length(masked).cast("long").alias("n"), (masked == F.col("html")).alias("same"))
 
 
-@query("index_exclusion", r"""SELECT item, why FROM (SELECT doc_id * 10000 + i AS item, CASE WHEN length(b) < 40 AND len(regexp_extract_all(b, '\b[a-z]{2,}\b')) < 3 THEN 'body under 40 characters'
+@query("index_exclusion", r"""SELECT item, why FROM (SELECT doc_id * 10000 + i AS item, CASE WHEN length(b) < 40 AND len(list_filter(regexp_extract_all(b, '[\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{2,}'))) < 3 THEN 'body under 40 characters'
  WHEN regexp_matches(b, '^(?i:omitted|repealed|rep\. by)') AND length(b) < 250 THEN 'removal note' END AS why
  FROM (SELECT doc_id, unnest(l) AS b, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM documents WHERE lang = 'en'))) WHERE why IS NOT NULL""")
 def index_exclusion(t: Tables) -> DataFrame:
