@@ -297,9 +297,10 @@ def preambles(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", M.preamble(said("THE ACT\nWHEREAS it is fit to regulate ", F.col("p_name"), ";\n 1. Short title.")).alias("preamble"))
 
 
-@query("prose_paragraphs", r"SELECT doc_id, n >= 25 AS prose FROM (SELECT doc_id, len(regexp_extract_all(text, '\b[a-z]{2,}\b')) AS n FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[a-zA-Z \n.,]*'))")
+@query("prose_paragraphs", r"""SELECT doc_id, n >= 25 AND marks < 2 AND cited * 8 < n AS prose FROM (SELECT doc_id, len(regexp_extract_all(text, '\b[a-z]{2,}\b')) AS n,
+ len(regexp_extract_all(text, '\b(?:PLD|SCMR|CLC|YLR)\b')) AS cited, len(regexp_extract_all(left(text, 400), '(?i)\b(?:versus|petitioner|respondent|date of hearing|for the)\b')) AS marks FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[a-zA-Z \n.,]*'))""")
 def prose_paragraphs(t: Tables) -> DataFrame:
-    """On plain texts only the number of words decides; the other rules have tests of their own."""
+    """On plain texts words, reports and marks of a heading decide; brackets and footnotes have tests of their own."""
     plain = t.documents.where(F.col("text").rlike(r"^[a-zA-Z \n.,]*\z"))
     return plain.select("doc_id", M.prose(F.col("text")).alias("prose"))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import metadata as M
 from corpusloom.operators import filters
 
 
@@ -13,3 +14,19 @@ def test_words_are_bounded_by_letters_of_any_script(spark):
     """Of "étreelleon" nothing is a word of a-z, whatever the Java version says about bounds."""
     assert one(spark, filters.index_exclusion, "Éon étreelleon tre on. Ouanç èment.") == "body under 40 characters"
     assert one(spark, filters.index_exclusion, "On treelleon tre on. Ouan ment.") is None
+
+
+def test_prose_sql_states_the_marks_of_a_heading(spark, tmp_path):
+    """A plain text with two marks of a heading is no prose for query and SQL."""
+    import duckdb
+
+    from corpusloom.plans import all_queries
+
+    plain = "this is a plain sentence with many small words in it " * 5
+    spark.createDataFrame([(1, plain), (2, "Heard for the petitioner " + plain), (3, "PLD CLC YLR SCMR PLD CLC " + plain)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries, sql = all_queries()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(sql["prose_paragraphs"]).fetchall())
+    assert sorted(map(tuple, queries["prose_paragraphs"](spark, str(tmp_path)).collect())) == want == [(1, True), (2, False), (3, True)]
+    assert not one(spark, M.prose, "Heard for the petitioner " + plain)
