@@ -118,8 +118,9 @@ def citation_report(t: Tables) -> DataFrame:
     return found.select("p_partkey", joined("bad_markers").alias("bad_markers"), joined("unbacked").alias("unbacked"), F.get("unnamed_figures", F.lit(0))["amount"].alias("figure"))
 
 
-@query("section_references", "SELECT l_orderkey, l_linenumber, (l_partkey % 400 + 1) || 'A,' || (l_suppkey + 1) AS numbers, 'Goods Act, 1950' AS law FROM lineitem")
+@query("section_references", "SELECT l_orderkey, l_linenumber, (l_partkey % 400 + 1) || 'A' || CASE WHEN l_suppkey + 1 <= 9999 THEN ',' || (l_suppkey + 1) ELSE '' END AS numbers, 'Goods Act, 1950' AS law FROM lineitem")
 def section_references(t: Tables) -> DataFrame:
+    """A number of more than four figures is no section's."""
     text = said("under section ", (F.col("l_partkey") % 400 + 1).cast("string"), "-a(2) of the Goods Act, 1950 and s. ", (F.col("l_suppkey") + 1).cast("string"), " too")
     refs = A.section_references(text)
     return t.lineitem.select("l_orderkey", "l_linenumber", F.array_join(F.transform(refs, lambda r: r["number"]), ",").alias("numbers"), F.get(refs, F.lit(0))["law"].alias("law"))

@@ -30,3 +30,17 @@ def test_prose_sql_states_the_marks_of_a_heading(spark, tmp_path):
     want = sorted(con.execute(sql["prose_paragraphs"]).fetchall())
     assert sorted(map(tuple, queries["prose_paragraphs"](spark, str(tmp_path)).collect())) == want == [(1, True), (2, False), (3, True)]
     assert not one(spark, M.prose, "Heard for the petitioner " + plain)
+
+
+def test_section_reference_sql_knows_the_longest_number(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.plans import all_queries
+
+    spark.createDataFrame([(1, 1, 5, 7), (2, 1, 5, 9998), (3, 1, 5, 9999)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    queries, sql = all_queries()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(sql["section_references"]).fetchall())
+    assert sorted(map(tuple, queries["section_references"](spark, str(tmp_path)).collect())) == want
+    assert [r[2] for r in want] == ["6A,8", "6A,9999", "6A"]
