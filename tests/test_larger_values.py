@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import metadata as M
+from corpusloom.functions import metadata as M, text as T
 from corpusloom.operators import filters
 
 
@@ -44,3 +44,7 @@ def test_section_reference_sql_knows_the_longest_number(spark, tmp_path):
     want = sorted(con.execute(sql["section_references"]).fetchall())
     assert sorted(map(tuple, queries["section_references"](spark, str(tmp_path)).collect())) == want
     assert [r[2] for r in want] == ["6A,8", "6A,9999", "6A"]
+
+
+def test_a_plus_in_a_title_is_no_space(spark):
+    assert one(spark, T.title_key, "+1 (875) 555 And the Law%20Act") == "1875555andthelawact"
