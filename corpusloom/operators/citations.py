@@ -43,8 +43,8 @@ _PARTY = rf"{_WORD}(?:\s+(?:of\s+|and\s+|the\s+)?{_WORD}){{0,5}}"
 NAMED = rf"\b{_PARTY}\s+(?:v\.|vs\.?|versus)\s+{_PARTY}"
 #: A case by its number, or by the first of several, and its year.
 NUMBERED = (
-    rf"(?i)\b(?:(?:{'|'.join(CASE_KINDS)})s?|(?:{_lettered(CASE_SHORT)})\.?)\s*(?:nos?\b\.?\s*)?([0-9]{{1,6}})(?:-[a-z]\b)?"
-    r"(?:\s*(?:,|&|-|\band\b|\bto\b)\s*[0-9]{1,6})*\s*(?:\bof\b|/)\s*([0-9]{4})\b"
+    rf"(?i)\b(?:(?:{'|'.join(CASE_KINDS)})s?|(?:{_lettered(CASE_SHORT)})\.?)\s*(?:nos?\b\.?\s*)?([0-9]+)(?:-[a-z]\b)?"
+    r"(?:\s*(?:,|&|-|\band\b|\bto\b)\s*[0-9]+)*\s*(?:\bof\b|/)\s*([0-9]{4})\b"
 )
 PARAGRAPH = r"(?i)\bpara(?:graph)?s?\.?\s+(\d{1,3}(?:\s*(?:,|and|&)\s*\d{1,3})*)"
 # Words that may stand in capitals before a person's name, and words that are no part of one.
@@ -59,7 +59,7 @@ NO_NAMES = (
     "below further inquiry bail"
 ).split()
 #: A first information report by its number; the three letters may have stops and spaces.
-REPORT = r"(?i)\bf[. ]{0,2}i[. ]{0,2}r\b[. ]*(?:no\b[. ]*)?(\d{1,6})\b"
+REPORT = r"(?i)\bf[. ]{0,2}i[. ]{0,2}r\b[. ]*(?:no\b[. ]*)?(\d+)\b"
 #: Words of a case's name that tell nothing.
 NAME_NOISE = "v vs versus the of and another others state".split()
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import metadata as M, text as T
-from corpusloom.operators import filters
+from corpusloom.operators import citations, filters
 
 
 def one(spark, column, value):
@@ -48,3 +48,11 @@ def test_section_reference_sql_knows_the_longest_number(spark, tmp_path):
 
 def test_a_plus_in_a_title_is_no_space(spark):
     assert one(spark, T.title_key, "+1 (875) 555 And the Law%20Act") == "1875555andthelawact"
+
+
+def test_numbers_of_reports_and_cases_have_any_length(spark):
+    """A number of seven figures or more is checked like a shorter one."""
+    said = "In Petition No. 12345678 of 1998 and Petition No. 7654321 of 1998 after F.I.R. No. 1000007 and FIR 2000008"
+    items = spark.createDataFrame([(1, 1, said)], "id long, item int, text string")
+    held = spark.createDataFrame([(1, "Order in No. 12345678 of 1998, FIR 2000008")], "id long, text string")
+    assert citations.unsupported_mentions(items, held, "id").first()["missing"] == ["Petition No. 7654321 of 1998", "FIR 1000007"]
