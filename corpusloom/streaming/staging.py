@@ -85,7 +85,7 @@ class ByText(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
         holder = self.holder.get()[0] if self.holder.exists() else None
         run, first = tuple(self.first.get()) if self.first.exists() else (None, None)
-        parts = pd.concat(list(rows))
+        parts, out = pd.concat(list(rows)), []
         for r in parts.sort_values(["run", "seq"]).itertuples(index=False):
             outcome, reason = r.kind, r.reason if isinstance(r.reason, str) else None
             if r.kind == "left":
@@ -104,13 +104,15 @@ class ByText(StatefulProcessor):
                         outcome = "quarantined"
                     else:
                         holder = r.url
-            yield pd.DataFrame([[r.run, r.source, r.seq, r.url, key[0], outcome, reason]], columns=["run", "source", "seq", "url", "hash", "outcome", "reason"])
+            out.append((r.run, r.source, r.seq, r.url, key[0], outcome, reason))
         if holder is None:
             self.holder.clear()
         else:
             self.holder.update((holder,))
         if run is not None:
             self.first.update((run, first))
+        if out:  # one table for a key: one for each row costs more than all else
+            yield pd.DataFrame(out, columns=["run", "source", "seq", "url", "hash", "outcome", "reason"])
 
     def close(self) -> None:
         pass

@@ -56,3 +56,23 @@ def test_numbers_of_reports_and_cases_have_any_length(spark):
     items = spark.createDataFrame([(1, 1, said)], "id long, item int, text string")
     held = spark.createDataFrame([(1, "Order in No. 12345678 of 1998, FIR 2000008")], "id long, text string")
     assert citations.unsupported_mentions(items, held, "id").first()["missing"] == ["Petition No. 7654321 of 1998", "FIR 1000007"]
+
+
+def test_a_text_of_many_fetches_gives_one_table(spark):
+    """Rows of a key leave in one batch; a table for each row took most of the time."""
+    import pandas as pd
+
+    from corpusloom.streaming.staging import ByText
+
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = lambda self, v: setattr(self, "held", v)
+        clear = lambda self: setattr(self, "held", None)
+
+    by_text = ByText()
+    by_text.holder, by_text.first = Value(), Value()
+    rows = pd.DataFrame([("r1", "s", i, f"u{i}", "new", None) for i in range(50)], columns=["run", "source", "seq", "url", "kind", "reason"])
+    (out,) = by_text.handleInputRows(("h",), iter([rows[25:], rows[:25]]), None)
+    assert list(out["outcome"]) == ["new"] + ["quarantined"] * 49 and list(out["seq"]) == list(range(50)) and by_text.holder.get() == ("u0",)
