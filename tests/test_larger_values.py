@@ -76,3 +76,22 @@ def test_a_text_of_many_fetches_gives_one_table(spark):
     rows = pd.DataFrame([("r1", "s", i, f"u{i}", "new", None) for i in range(50)], columns=["run", "source", "seq", "url", "kind", "reason"])
     (out,) = by_text.handleInputRows(("h",), iter([rows[25:], rows[:25]]), None)
     assert list(out["outcome"]) == ["new"] + ["quarantined"] * 49 and list(out["seq"]) == list(range(50)) and by_text.holder.get() == ("u0",)
+
+
+def test_word_sets_far_apart_are_not_compared(spark):
+    """Sets of one rare word and much in common, but under the ratio, leave before their words are shuffled; the result is exact."""
+    import itertools
+    import random
+
+    from corpusloom.operators import dedupe
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    sets = {i: sorted({"rare", *rng.sample(base, 300 if i % 3 else 40)}) for i in range(40)}
+    sets |= {100 + i: sorted({*sets[i], *(f"x{j}" for j in range(k))}) for i, k in ((1, 50), (2, 54), (3, 7), (6, 8), (4, 0))}
+    docs = spark.createDataFrame(list(sets.items()), "id long, words array<string>")
+    found = dedupe.jaccard_pairs(docs, "id", F.col("words"))
+    ratio = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] != sets[b] and ratio(sets[a], sets[b]) >= 0.85}
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) >= 2
+    assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
