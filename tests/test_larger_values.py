@@ -95,3 +95,13 @@ def test_word_sets_far_apart_are_not_compared(spark):
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] != sets[b] and ratio(sets[a], sets[b]) >= 0.85}
     assert {(r.a, r.b) for r in found.collect()} == want and len(want) >= 2
     assert "bit_count" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_index_is_built_with_one_shuffle(spark, tmp_path):
+    """Documents are counted where they are; postings move once, to their bucket and shard."""
+    from corpusloom.operators import lexical
+
+    docs = spark.createDataFrame([(1, ["a", "b", "a", None], ["a"]), (2, None, ["b"]), (3, [], None)], "id long, words array<string>, head array<string>")
+    lexical.add_documents(docs, "id", {"words": 1.0, "head": 3.0}, f"{tmp_path}/index")
+    rows = lexical.open_index(spark, f"{tmp_path}/index").select("term", F.explode("postings").alias("p")).select("term", "p.*").collect()
+    assert sorted(map(tuple, rows)) == [("", 1, 6.0, 6.0), ("", 2, 3.0, 3.0), ("a", 1, 5.0, 6.0), ("b", 1, 1.0, 6.0), ("b", 2, 3.0, 3.0)]
