@@ -202,7 +202,8 @@ def archive_members(t: Tables) -> DataFrame:
         os.rename(f"{made}.part", f"{made}.zip") if n else os.remove(f"{made}.part")
         yield pd.DataFrame({"n": [n]})
 
-    t.documents.select("doc_id", "text").repartition(4).mapInPandas(zipped, "n long").agg(F.sum("n")).collect()
+    # An archive for each part of the input, so that no task takes a fixed share of a growing table.
+    t.documents.select("doc_id", "text").mapInPandas(zipped, "n long").agg(F.sum("n")).collect()
     t.spark.dataSource.register(Archives)
     rows = t.spark.read.format("archives").option("pattern", "*.txt").option("partBytes", str(4 << 20)).load(path)
     return rows.select(F.regexp_extract("member", r"^(\d+)", 1).cast("long").alias("doc_id"), "size", F.md5("content").alias("digest"))
