@@ -169,3 +169,18 @@ def test_next_as_of_far_ahead_and_at_the_same_time(spark):
     assert got == [(1, "b"), (1, "b"), (2, "b"), (3, "b"), (4, None), (5, None)]
     twenty = windows.next_as_of(spark.createDataFrame([(1, 100)], "id long, s long").select("id", F.timestamp_seconds("s").alias("at")), right, "at", "run_at", 3600)
     assert twenty.first()["next"]["payload"]["name"] == "far"
+
+
+def test_places_stay_in_their_rows(spark):
+    docs = spark.createDataFrame([(1, "é1. A 22. B"), (2, ""), (3, None)], "k long, t string")
+    found = statutes.places(docs, "k", "t", r"\d{1,2}\.")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(_rows(found.where("k = 1"), "n", "at", "piece")) == [(0, 0, "é"), (1, 1, "1. A "), (2, 6, "2"), (3, 7, "2. B")]
+    assert _rows(found.where("k = 2"), "n", "at", "piece") == [(0, 0, "")]
+
+
+def test_both_layouts_are_one_pass(spark):
+    laws = statutes.read_laws(spark.createDataFrame([(1, LAW), (2, "CONTENTS 1. Old rents. 2. New rents. ACT No. V OF 1962 Old rents 1. Rent is low. New rents 2. Rent is high.")], "law long, text string"), "law")
+    found = statutes.located(*laws, "law")
+    assert {(r.law, r.heading_first) for r in found.where("confirmed").collect()} >= {(1, False), (2, True)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(transform(") == 1
