@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions import metadata as M
+from corpusloom.functions import text as T
 from corpusloom.operators import answers as A
 
 JUDGMENT = "IN THE HIGH COURT OF SOMEWHERE\nCriminal Appeal No. 12-P/2011 of 2011\nAli Khan versus Bano Bibi\nPresent: Javed Iqbal Shah, J.\nBail was asked for. The bail was granted."
@@ -50,3 +51,30 @@ def test_merges(spark):
     hits = spark.createDataFrame([("q", "L", 2, None, 1)], "q string, law string, seq int, status string, rank int")
     sections = spark.createDataFrame([("L", i, "repealed" if i == 3 else None, f"t{i}") for i in range(1, 5)], "law string, seq int, status string, text string")
     assert [r.text for r in A.with_neighbours(hits, sections, "q").collect()] == ["t1"]
+
+
+def test_problems_of_texts_by_counts(spark):
+    import re
+
+    texts = ["", " ", "a b c d e " * 60, "word " * 39, "word " * 50, " " * 900 + "word " * 50, "12 34 5x " * 60, "  é " * 300, "x" * 200, "x" * 199 + " " * 500]
+
+    def want(t):
+        solid = re.sub(r"[ \t\n\x0b\f\r]+", "", t)
+        if len(solid) < 200:
+            return "near-empty"
+        letters, signs = sum(c.isalpha() for c in t), sum(not c.isspace() for c in t)
+        if signs and letters / signs < 0.55:
+            return "few letters"
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w]
+        return "single letters" if sum(len(w) == 1 and w.isalpha() for w in words) / max(len(words), 1) > 0.35 else None
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.text_problem(F.col("t"), F.lit(1), F.lit(0)).alias("p"))
+    assert {r.k: r.p for r in df.collect()} == {k: want(t) for k, t in enumerate(texts)}
+
+
+def test_a_judgment_is_read_once_for_each_fact(spark):
+    from corpusloom.operators import assembly
+
+    rows = spark.createDataFrame([(1, "x", 1, 0, None, "s")], "k long, text string, pages int, empty_pages int, listing_title string, source string")
+    records, aside = assembly.judgment_records(rows, "k", spark.createDataFrame([("s", "c")], "source string, court string"))
+    assert "RegExp" not in "".join(d._jdf.queryExecution().optimizedPlan().toString() for d in (records, aside)) and [r.reason for r in aside.collect()] == ["near-empty"]
