@@ -99,29 +99,38 @@ def zipped_texts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(members, "path string, member string, content binary").select("path", "member", decoded(F.col("content")).alias("text"))
 
 
+#: An anchor with its address and what it holds, as Python says it, and the same in Java's words (white space of any script).
+_ANCHOR = r"""<a\b[^>]*\bhref\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
+_ANCHOR_JAVA = "(?isU)" + _ANCHOR.replace(r"\s", r"[\s\x1c-\x1f]")
+
+
 def links(pages: DataFrame, base: str = "url", html: str = "html") -> DataFrame:
-    """Pages with at, target (absolute) and title of each link; the first of a target stays."""
+    """Pages with at, target (absolute) and title of each link; the first of a target stays.
+
+    Anchors are cut out of a page first, so that what goes to Python grows with the links and not with the pages.
+    """
 
     @F.pandas_udf("array<struct<target:string,title:string>>")
-    def find(urls: pd.Series, texts: pd.Series) -> pd.Series:
+    def find(urls: pd.Series, anchors: pd.Series) -> pd.Series:
         import re
         from html import unescape
         from urllib.parse import urljoin
 
-        anchor, tag = re.compile(r'<a\b[^>]*\bhref\s*=\s*["\']([^"\']+)["\'][^>]*>(.*?)</a>', re.I | re.S), re.compile(r"<[^>]+>")
+        anchor, tag = re.compile(_ANCHOR, re.I | re.S), re.compile(r"<[^>]+>")
 
-        def one(url: str | None, text: str | None) -> list[tuple[str, str]]:
+        def one(url: str | None, texts: list[str] | None) -> list[tuple[str, str]]:
             seen: dict[str, str] = {}
-            for href, body in anchor.findall(text or ""):
+            for href, body in (pair for text in ([] if texts is None else texts) for pair in anchor.findall(text)):
                 target = urljoin(url or "", unescape(href.strip()))
                 title = " ".join(unescape(tag.sub(" ", body)).split())
                 if not seen.get(target):
                     seen[target] = title
             return list(seen.items())
 
-        return pd.Series([one(u, t) for u, t in zip(urls, texts)])
+        return pd.Series([one(u, t) for u, t in zip(urls, anchors)], dtype=object)
 
-    return pages.withColumn("__l", find(base, html)).select(*pages.columns, F.posexplode("__l").alias("at", "l")).select(*pages.columns, "at", "l.target", "l.title")
+    cut = F.regexp_extract_all(html, F.lit(_ANCHOR_JAVA), F.lit(0))
+    return pages.withColumn("__l", find(base, cut)).select(*pages.columns, F.posexplode("__l").alias("at", "l")).select(*pages.columns, "at", "l.target", "l.title")
 
 
 def pages_until_empty(pages: DataFrame, letter: str, offset: str, new: Column) -> DataFrame:
