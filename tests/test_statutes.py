@@ -184,3 +184,10 @@ def test_both_layouts_are_one_pass(spark):
     found = statutes.located(*laws, "law")
     assert {(r.law, r.heading_first) for r in found.where("confirmed").collect()} >= {(1, False), (2, True)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(transform(") == 1
+
+
+def test_numbered_places_carry_no_surroundings(spark):
+    entries, places = statutes._numbered(spark.createDataFrame([(1, None, "ACT 1. Short title.— One. 2A. Long [title].— Two.")], "law long, contents string, body string"), "law")
+    assert "ahead" not in entries._jdf.queryExecution().optimizedPlan().toString()
+    assert _rows(entries.orderBy("i"), "number", "letters", "heading") == [(1, "", "Short title"), (2, "A", "Long [title]")]
+    assert _rows(places.orderBy("i"), "start", "text_at") == [(4, 20), (26, 44)]
