@@ -191,3 +191,25 @@ def test_numbered_places_carry_no_surroundings(spark):
     assert "ahead" not in entries._jdf.queryExecution().optimizedPlan().toString()
     assert _rows(entries.orderBy("i"), "number", "letters", "heading") == [(1, "", "Short title"), (2, "A", "Long [title]")]
     assert _rows(places.orderBy("i"), "start", "text_at") == [(4, 20), (26, 44)]
+
+
+def test_schedules_are_cut_in_their_rows(spark):
+    """Items and schedules come from one pass over the rows; nothing is shuffled for them."""
+    rows = spark.createDataFrame([(1, "Schedule 1", "1. Old rents of land. 2. Lost [rents. 3. Other rents. PART II Other"), (2, "Schedule 1", "1. A. 3. B."), (3, "Schedule", None), (4, "Schedule", "")], "law long, section string, text string")
+    parts = statutes.schedule_items(rows, "law")
+    assert "Exchange" not in parts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(_rows(parts, "law", "section", "text"), key=str) == [(1, "Schedule 1 Part II", "Other"), (1, "Schedule 1 item 1", "Old rents of land"), (1, "Schedule 1 item 2", "Lost [rents]"), (1, "Schedule 1 item 3", "Other rents"), (2, "Schedule 1", "1. A. 3. B."), (3, "Schedule", None), (4, "Schedule", "")]
+
+
+def test_laws_with_sections_by_their_first_place(spark):
+    texts = [LAW, "CONTENTS 1. Old rents. ACT No. V OF 1962 Old rents 1. Rent is low.", "CONTENTS 1. Old. ACT No. V OF 1962 Nothing. 7. At all.", "ACT 1. Title.— One.", "CONTENTS 2. Old. ACT No. V OF 1962 An Act. 2. Else.", "Words.", None, ""]
+    parts, entries = statutes.read_laws(spark.createDataFrame(list(enumerate(texts)), "law long, text string"), "law")
+    found = {r.law for r in statutes.section_places(parts, entries, "law").collect()}
+    assert {r.law for r in statutes.with_sections(parts, entries, "law").collect()} == found == {0, 1, 3, 4}
+    assert not statutes.with_sections(parts, entries, "law")._jdf.queryExecution().optimizedPlan().toString().count("Window")
+
+
+def test_texts_without_marks_of_pages_stay(spark):
+    texts = ["RENT ACT " * 6 + "1 x", "".join(f"THE RENT ACT {n}25A. Goods. " for n in range(1, 6)), "Page ٣ of 4 x", "a Page 1 of 2 b", None]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(statutes.with_page_breaks(F.col("t")).alias("x")).collect()]
+    assert got == [None if t is None else statutes._page_breaks(t, 5) for t in texts]
