@@ -228,3 +228,27 @@ def test_chosen(spark):
     assert [k for k, v in got.items() if v == "do"] and {k for k, v in got.items() if v == "do"} == {("a", 3), ("a", 4), ("a", 0)}
     assert {k for k, v in got.items() if v == "listed twice"} == {("a", 5), ("a", 6), ("a", 7)} and {k for k, v in got.items() if v == "over the cap"} == {("a", 1), ("a", 2), ("b", 3), ("b", 4)}
     assert {k for k, v in got.items() if v == "budget spent"} == {("b", 0), ("b", 1), ("b", 2)}
+
+
+def test_terms_are_counted_by_the_batch(spark):
+    import random
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from corpusloom.operators import lexical
+
+    rnd = random.Random(5)
+    some = lambda: rnd.choice([None, [], [rnd.choice(["a", "b", "é", "", None, "word"]) for _ in range(rnd.randrange(9))]])
+    rows = [(i, some(), some()) for i in range(300)]
+    docs = spark.createDataFrame(rows, "k long, x array<string>, y array<string>").repartition(3)
+    counted = docs.select("k", lexical._counts([1.0, 2.5])(F.col("x"), F.col("y")).alias("c"))
+    for r in counted.select("k", "c.len", "c.x").collect():
+        want = Counter()
+        for weight, tokens in zip((1.0, 2.5), rows[r.k][1:]):
+            for token in tokens or []:
+                if token is not None:
+                    want[token] += weight
+        assert r.len == sum(want.values())
+        pairs = [(p.term, p.f) for p in r.x]
+        assert sorted(pairs) == sorted([*want.items(), (lexical.EVERY, r.len)] if r.len else [])
