@@ -60,7 +60,7 @@ class Encoder:
     library as it is.
     """
 
-    UNITS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\x80-\xff]+|[0-9]|[^\s0-9a-z\x80-\xff]+")
+    UNITS = re.compile(rb"[a-z\x80-\xff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s0-9a-z\x80-\xff]+")
     KNOWN = re.compile("[!-~\xdf-\xf6\xf8-\u012f\u0131-\u017f]+")
 
     def __init__(self, path: str):
@@ -69,6 +69,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)  # ids of tokens that end a unit
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix) and i < len(self.last)]] = True
         self.units: dict[bytes, bytes | None] = {}
         self.pieces: dict[bytes, bytes] = {}
 
@@ -76,12 +79,18 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _together(self, parts: list[str]) -> Iterator[bytes]:
-        """Ids of parts without special strings: many in one text, told apart by where the library says that a token starts."""
+        """Ids of parts without special strings: many in one text, told apart by the tokens that end a unit.
+
+        A vocabulary that doesn't mark them gives other numbers of ends; then the library says where a token starts.
+        """
         for at in range(0, len(parts), JOINED):
             some = parts[at : at + JOINED]
-            whole = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, starts = np.array(whole.ids, "<u4"), np.array([a for a, _ in whole.offsets], np.int64)
-            ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in some])).tolist()
+            text = " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                starts = np.array([a for a, _ in self.tokenizer.encode(text, add_special_tokens=False).offsets], np.int64)
+                ends = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in some])).tolist()
             yield from (ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends))
 
     def _cut(self, text: bytes) -> list[bytes]:

@@ -89,3 +89,20 @@ def test_query_by_the_library(spark, small, library):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     want = {i: (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, at, ids in _want(library, docs)}
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op13_token_output"](spark, small).collect()} == want
+
+
+def test_units_are_told_apart_by_their_last_tokens(library):
+    """No places of tokens are asked for; a vocabulary without marks of ends still gives the same ids."""
+    parts = ["word", "'s", "unbelievably", "7", "</", "</w>"[2:3], "é", "...", "x" * 90]
+    want = [np.array(library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in parts]
+    encoder = T.Encoder(tokenizer_path(T.MODEL))
+    assert encoder.last.sum() > 1000
+
+    class Fast:
+        encode_batch_fast = encoder.tokenizer.encode_batch_fast
+
+    whole, encoder.tokenizer = encoder.tokenizer, Fast()
+    assert list(encoder._together(parts)) == want
+    encoder.tokenizer = whole
+    encoder.last[:] = False
+    assert list(encoder._together(parts)) == want
