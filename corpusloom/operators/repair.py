@@ -53,8 +53,9 @@ def repaired(rows: DataFrame, key: str, words: DataFrame, text: str = "text", le
     left = stored(rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("t")), "torn")
     while True:
         cut = left.select(key, F.split("t", _EDGE).alias("p"))
-        told = cut.select(key, F.transform("p", lambda x, i: _pair(F.col("p"), i)).alias("q"))
-        pairs = told.select(key, F.explode(F.array_distinct(F.array_compact("q"))).alias("pair"))
+        told = F.transform("p", lambda x, i: _pair(F.col("p"), i))
+        told = stored(cut.select(key, F.array_distinct(F.array_compact(told)).alias("q")), "pairs-of-texts")  # read twice, made once
+        pairs = told.select(key, F.explode("q").alias("pair"))
         good = stored(joinable(pairs.select("pair").distinct(), words, least), "pairs")
         good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
         own = stored(pairs.join(good, "pair").groupBy(key).agg(F.collect_set("pair").alias("go")), "own-pairs")

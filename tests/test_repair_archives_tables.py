@@ -109,3 +109,14 @@ def test_first_later_over_streams(spark, tmp_path):
     ends = [*right, ("a", 9000, "end"), ("b", 9000, "end")]
     want = {i: (lambda s, p: (at(s), p))(*min((t, p) for g, t, p in ends if g == k and t >= s)) for k, i, s in left}
     assert got == want
+
+
+def test_pairs_of_a_text_are_made_once(spark, monkeypatch):
+    from corpusloom.operators import repair
+
+    written = []
+    keep = repair.stored
+    monkeypatch.setattr(repair, "stored", lambda df, name: (written.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("split("))), keep(df, name))[1])
+    docs = spark.createDataFrame([(1, "the Coun cil met " + "council " * 12)], "k long, text string")
+    assert repair.repaired(docs, "k", repair.vocabulary(docs)).first().text.startswith("the Council met")
+    assert {n for n, cuts in written if cuts} == {"pairs-of-texts", "torn"}
