@@ -6,7 +6,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import assembly, statutes
 
 CONTENTS = "THE RENT ACT CONTENTS SECTIONS: 1. Short title. 2. Rent due. ACT No. IV OF 1962 An Act to regulate rent. "
-BEHIND = CONTENTS + "1. Short title.— It is the Rent Act. 2. Rent due.— On day 5 of 12 months. SCHEDULE 1. Old. 2. New. 3. Lost."
+BEHIND = CONTENTS + "1. Short title.— It is the Rent Act. 2. Rent due.— On day 5 of 12 months. SCHEDULE 1. Old rents of land. 2. New rents of land. 3. Lost rents of land."
 BEFORE = CONTENTS + "Short title 1. It is the law. Rent due 2. On day 5."
 NUMBERED = "ACT 1. Short title.— It is the Rent Act. 2A. Rent due.— On day 5. 9. Not the next.— x"
 
@@ -28,7 +28,7 @@ def test_sections_of_a_law_leave_its_row(spark):
         (2, "1", "Short title", "It is the law", "contents, heading first"), (2, "2", "Rent due", "On day 5", "contents, heading first"),
         (3, "1", "Short title", "It is the Rent Act", "numbering"), (3, "2A", "Rent due", "On day 5. 9. Not the next.— x", "numbering"),
     ]
-    assert sorted((r.law, r.section, r.text) for r in parts.collect()) == [(1, "Schedule item 1", "Old"), (1, "Schedule item 2", "New"), (1, "Schedule item 3", "Lost")]
+    assert sorted((r.law, r.section, r.text) for r in parts.collect()) == [(1, "Schedule item 1", "Old rents of land"), (1, "Schedule item 2", "New rents of land"), (1, "Schedule item 3", "Lost rents of land")]
     assert sorted((r.law, r.expected, r.found) for r in counted.collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 2), (4, 0, 0)]
 
 
